@@ -9,6 +9,8 @@ import importlib
 
 #: Module of each operator; its registered query carries the same name.
 MODULES = (
+    "op1_quality_forest",
+    "op3_decontaminate",
     "op5_token_files",
     "op9_token_counts",
 )

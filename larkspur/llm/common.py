@@ -92,14 +92,14 @@ def slices(batches, text: str = "text", limit: int = SLICE_BYTES):
             start = end
 
 
-def _table(chars: bytes) -> np.ndarray:
+def byte_set(chars: bytes) -> np.ndarray:
     found = np.zeros(256, bool)
     found[list(chars)] = True
     return found
 
 
 #: ASCII white space: the word separators \x20 and \x09-\x0D.
-SPACE = _table(b"\x20\x09\x0a\x0b\x0c\x0d")
+SPACE = byte_set(b"\x20\x09\x0a\x0b\x0c\x0d")
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -151,7 +151,7 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def shingles(self, n: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all n-word windows and the text of each; texts of fewer words have none."""
+        """Hashes of all n-word windows within a text and the index of the first word of each; texts of fewer words have none."""
         if len(self.hash) < n:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         size = len(self.hash) - n + 1
@@ -160,8 +160,8 @@ class Words:
             for k in range(n):
                 value = mix(value * np.uint64(0xA0761D6478BD642F) + self.hash[k : k + size] + np.uint64(k + 1))
         text = self.text_of()
-        whole = text[:size] == text[n - 1 :]
-        return value[whole], text[:size][whole]
+        whole = np.flatnonzero(text[:size] == text[n - 1 :])
+        return value[whole], whole
 
 
 def signed(x: np.ndarray) -> np.ndarray:
