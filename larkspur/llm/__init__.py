@@ -11,7 +11,10 @@ import importlib
 MODULES = (
     "op1_quality_forest",
     "op3_decontaminate",
+    "op4_ppm_score",
     "op5_token_files",
+    "op7_line_dedup",
+    "op8_jaccard_join",
     "op9_token_counts",
 )
 
