@@ -10,12 +10,15 @@ import importlib
 #: Module of each operator; its registered query carries the same name.
 MODULES = (
     "op1_quality_forest",
+    "op2_language_id",
     "op3_decontaminate",
     "op4_ppm_score",
     "op5_token_files",
+    "op6_best_fit_packing",
     "op7_line_dedup",
     "op8_jaccard_join",
     "op9_token_counts",
+    "op10_secret_spans",
 )
 
 
