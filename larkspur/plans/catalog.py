@@ -6,12 +6,15 @@ orders of a customer are what a profile tracks, region, nation, customer and sup
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo, numbers, text
 from larkspur.operators import criteria, history, linkage, ranking, register, state
 from larkspur.sources import pages
+from larkspur.streaming import scans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -469,12 +472,7 @@ def best_price_drops(spark, sf_dir):
 @registered(None)
 def stream_state(spark, sf_dir):
     """Events replayed as a stream of scans that advance a snapshot table."""
-    import tempfile
-
-    from larkspur.streaming import scans
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-scans-")
-    folder = f"{base.rstrip('/')}/scans-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    folder = f"{scans.shared_dir(spark)}/scans-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/events*.parquet")
     kind = schema["ts"].dataType.simpleString()
