@@ -52,7 +52,14 @@ class Encoder:
     def __init__(self, path: str, width: int, end_id: int):
         self.tokenizer, self.dtype = pieces.load(path), np.dtype(f"<u{width}")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.memo = pieces.Memo(self.ids) if pieces.cuts_at_spaces(path) else None
+        self.memo = None
+        if pieces.cuts_at_spaces(path):
+            self.library, self.memo = pieces.Library(path), pieces.Memo(self.of_pieces)
+
+    def of_pieces(self, found: list[str]) -> list[bytes]:
+        flat, spans = self.library.encode(found)
+        raw = flat.astype(self.dtype).tobytes()
+        return [raw[a:b] for a, b in (spans * self.dtype.itemsize).tolist()]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,10 +67,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.memo is None:
             return [x + self.end for x in self.ids(texts)]
-        cut = [pieces.split(t) for t in texts]
-        self.memo.learn(cut)
-        first, later, end = self.memo.first, self.memo.later, self.end
-        return [b"".join((first[w[0]], *map(later.__getitem__, w[1:]), end)) for w in cut]
+        return [b"".join(values) + self.end for values in self.memo.learn([pieces.split(t) for t in texts])]
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards: int | None = None, doc_id: str = "doc_id", text: str = "text") -> dict:

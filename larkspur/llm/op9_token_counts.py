@@ -26,16 +26,9 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 _counters: dict[str, object] = {}
 
 
-def byte_of_char() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 as itself, the rest from U+0100."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 def whole_tokens(path: str) -> frozenset[str]:
     """The strings of the vocabulary that are one pre-token and that the library encodes alone as their own id."""
-    tokenizer, of = pieces.load(path), byte_of_char()
+    tokenizer, of = pieces.load(path), pieces.byte_of_char()
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
     strings, ids = [], []
@@ -55,8 +48,8 @@ class PieceCounter:
     """Counts of pieces: whole tokens at once, other pre-tokens through the library, each distinct one once a batch."""
 
     def __init__(self, path: str, whole: frozenset[str]):
-        self.tokenizer, self.whole = pieces.load(path), whole
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.library, self.whole = pieces.Library(path), whole
+        self.special = [t.content for t in self.library.tokenizer.get_added_tokens_decoder().values()]
         self.memo = pieces.Memo(self.count)
 
     def count(self, found: list[str]) -> list[int]:
@@ -72,18 +65,14 @@ class PieceCounter:
                 else:
                     parts.append((k, token))
                     rest[token] = 0
-        merged = self.tokenizer.encode_batch_fast(list(rest), add_special_tokens=False)
-        for token, e in zip(rest, merged):
-            rest[token] = len(e)
+        _, spans = self.library.encode(list(rest))
+        rest = dict(zip(rest, (spans[:, 1] - spans[:, 0]).tolist()))
         for k, token in parts:
             counts[k] += rest[token]
         return counts
 
     def __call__(self, texts: list[str]) -> list[int]:
-        cut = [pieces.split(t) for t in texts]
-        self.memo.learn(cut)
-        first, later = self.memo.first, self.memo.later
-        return [first[w[0]] + sum(map(later.__getitem__, w[1:])) for w in cut]
+        return list(map(sum, self.memo.learn([pieces.split(t) for t in texts])))
 
 
 def _counter(path: str, whole: frozenset[str] | None):

@@ -7,17 +7,22 @@ that stands between two non-space characters, and the ids of the text are those
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from functools import lru_cache
 
+import numpy as np
+
 #: A space next to other white space: there the cut must look closer.
 _ADJACENT = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: Distinct pieces that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Distinct pieces that a worker remembers (about 160 bytes each); beyond that it keeps those in use.
+REMEMBERED = 2_000_000
+#: Pieces that are handed to the library as one text.
+JOINED = 1000
 
 
 @lru_cache(maxsize=4)
@@ -47,10 +52,61 @@ def split(text: str) -> list[str]:
     return _CUT.split(text) if _ADJACENT.search(text) else text.split(" ")
 
 
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 as itself, the rest from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+class Library:
+    """Ids of many pieces in few calls: pieces that begin with a space and then a word are encoded as one text.
+
+    The tokens of a byte-level vocabulary are the bytes of the text, so the ids of a piece end where its bytes do.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = load(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.size = np.zeros(max([*vocabulary.values(), *added]) + 1, np.int64)
+        for shown, i in vocabulary.items():
+            self.size[i] = len(shown)
+        for i, token in added.items():
+            self.size[i] = len(token.content.encode("utf-8"))
+
+    def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces end to end, in their order, and the offsets of each piece in them."""
+        joint, alone, parts = [], [], []
+        counts = np.zeros(len(found), np.int64)
+        for k, piece in enumerate(found):
+            inner = piece[1:]
+            (joint if piece[:1] == " " and inner and not inner[0].isspace() and not inner[-1].isspace() else alone).append(k)
+        groups = [joint[a : a + JOINED] for a in range(0, len(joint), JOINED)]
+        texts = ["".join([found[k] for k in g]) for g in groups] + [found[k] for k in alone]
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for g, e in zip(groups, coded):
+            ids = np.array(e.ids, np.int64)
+            ends = np.cumsum([len(found[k].encode("utf-8")) for k in g])
+            stops = np.cumsum(self.size[ids])
+            last = np.searchsorted(stops, ends)
+            assert stops[-1] == ends[-1] and (stops[last] == ends).all()
+            counts[g] = np.diff(np.concatenate([[0], last + 1]))
+            parts.append(ids)
+        for k, e in zip(alone, coded[len(groups) :]):
+            counts[k] = len(e)
+            parts.append(np.array(e.ids, np.int64))
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        order = np.array(joint + alone, np.int64)
+        begins = np.zeros(len(found), np.int64)
+        begins[order] = np.cumsum(counts[order]) - counts[order]
+        return flat, np.stack([begins, begins + counts], 1)
+
+
 class Memo:
     """Values of pieces, computed for all unknown pieces of a batch at once and remembered up to a bound.
 
-    ``compute`` takes a list of pieces and returns a value for each.
+    ``compute`` takes a list of pieces and returns a value for each.  At the bound, what the batch at hand uses is kept.
     """
 
     def __init__(self, compute, bound: int = REMEMBERED):
@@ -58,16 +114,36 @@ class Memo:
         self.first: dict[str, object] = {}
         self.later: dict[str, object] = {}
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Make sure that all words of the cut texts are known."""
-        if len(self.first) + len(self.later) > self.bound:
-            self.first, self.later = {}, {}
+    def learn(self, texts: list[list[str]]) -> list[list]:
+        """The values of the words of cut texts, in order."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the collector would walk all lists again and again
+        try:
+            return self._learn(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _learn(self, texts: list[list[str]]) -> list[list]:
+        if len(self.first) > self.bound // 8:
+            self.first = {}
+        if len(self.later) > self.bound:
+            used = set().union(*texts)
+            self.later = {w: self.later[w] for w in used & self.later.keys()}
+        known, again = self.later.get, []
+        out = [list(map(known, words)) for words in texts]
+        for words, values in zip(texts, out):
+            values[0] = 0
+            if None in values:
+                again.append((words, values))
+        unknown = {w for words, values in again for w, v in zip(words, values) if v is None}
         opening = {words[0] for words in texts} - self.first.keys()
-        following: set[str] = set()
-        for words in texts:
-            following.update(words[1:])
-        following -= self.later.keys()
-        firsts, laters = list(opening), list(following)
+        firsts, laters = list(opening), list(unknown)
         found = self.compute(firsts + [" " + w for w in laters])
         self.first.update(zip(firsts, found))
         self.later.update(zip(laters, found[len(firsts) :]))
+        for words, values in again:
+            values[:] = [self.later[w] if v is None else v for w, v in zip(words, values)]
+        for words, values in zip(texts, out):
+            values[0] = self.first[words[0]]
+        return out
