@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +37,37 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and lost executors cost nothing.
 
-    The folder is job scratch: ``drop_scratch`` or the cluster's clean-up empties it.
+    Within ``scratch`` the table is deleted at the end unless it is to be kept; a kept one is job scratch, which the cluster's clean-up
+    or ``drop`` removes.
     """
     path = scratch_path(df.sparkSession, tag)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files that a table made by ``materialize`` stands on, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of scratch tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are materialised inside, but for kept ones, are deleted at the end; nothing lazy may read them later."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(spark, _scopes.pop())
 
 
 def bucket(doc_id: Column, n: int) -> Column:

@@ -182,10 +182,17 @@ def calibrate(scored: DataFrame, labels: DataFrame, label: str, good_lost: float
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """Per row: doc_id, the counts, base_failed, the forest's anomaly score and kept."""
-    spark = docs.sparkSession
+    with common.scratch(docs.sparkSession):
+        scored = common.materialize(_scored(docs, labels, label), "rule-scores", keep=True)
+    threshold = calibrate(scored, labels, label)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < threshold)).withColumn("threshold", F.lit(threshold))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, the counts, base_failed and score of each row."""
     stats = common.materialize(with_rules(statistics(docs)), "rule-statistics")
     rows, good = labelled_sample(stats, labels, label)
-    forest = spark.sparkContext.broadcast(fit_forest(rows, good))
+    forest = docs.sparkSession.sparkContext.broadcast(fit_forest(rows, good))
     leaf_rows = min(LEAF_ROWS, max(int(good.sum()) or len(rows), 1))
     kept = ("doc_id", *COUNTS, "base_failed")
 
@@ -195,10 +202,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(anomaly(forest.value, x, leaf_rows))], [*kept, "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double")
-    scored = common.materialize(scored, "rule-scores")
-    threshold = calibrate(scored, labels, label)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < threshold)).withColumn("threshold", F.lit(threshold))
+    return stats.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,9 @@ def stretches(lines: DataFrame, least_words: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with all its columns, later copies of repeated runs of lines deleted from the text."""
-    gone = common.materialize(stretches(line_hashes(docs, doc_id, text), least_words), "line-stretches").select(F.col("k").alias("_gone_k"), F.col("r").alias("_gone_r"), F.col("stretches").alias("_gone"))
+    with common.scratch(docs.sparkSession):
+        gone = common.materialize(stretches(line_hashes(docs, doc_id, text), least_words), "line-stretches", keep=True)
+    gone = gone.select(F.col("k").alias("_gone_k"), F.col("r").alias("_gone_r"), F.col("stretches").alias("_gone"))
     few = F.broadcast(gone) if gone.count() <= FEW else gone
     k, r = _keyed(docs, doc_id, text)
     joined = docs.join(few, (k == F.col("_gone_k")) & (r == F.col("_gone_r")), "left")
@@ -117,7 +119,8 @@ WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents
 ), line AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i FROM (
-    SELECT doc_id, line, place, len(regexp_extract_all(line, '[^ 	-]+')) AS w FROM split)
+    SELECT doc_id, line, place, len(regexp_extract_all(line, '[^ 	-
+]+')) AS w FROM split)
   WHERE w > 0
 ), summed AS (
   SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM line
@@ -152,7 +155,8 @@ WITH split AS (
   SELECT s.doc_id, string_agg(line, chr(10) ORDER BY s.place) AS short FROM split s ANTI JOIN gone g ON g.doc_id = s.doc_id AND g.place = s.place GROUP BY s.doc_id
 ), cleaned AS (
   SELECT d.doc_id, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM stretches) THEN text
-                        WHEN regexp_matches(coalesce(short, ''), '[^ 	-]') THEN short ELSE '' END AS text
+                        WHEN regexp_matches(coalesce(short, ''), '[^ 	-
+]') THEN short ELSE '' END AS text
   FROM documents d LEFT JOIN kept USING (doc_id)
 )
 SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, CAST(length(text) AS BIGINT) AS n_chars FROM cleaned

@@ -5,8 +5,9 @@ sets as similar as asked share one of the first |x| - ceil(t |x|) + 1 n-grams of
 share such a prefix under the first order are candidates; those that do not share one under the second and the third order as
 well are dropped; what is left is verified on the whole sets.
 
-All orders put n-grams of many documents last (a table of counts by hash class, of fixed size, counted over all documents)
-and break ties by different hashes, so that prefixes are rare n-grams.
+All orders put n-grams of many documents last and break ties by different hashes, so that prefixes are rare n-grams.  What is
+frequent is counted over all documents: tasks count the n-grams that they see again, so that the many that are in one
+document only don't drown the others, and their sums by hash class are a table of fixed size.
 
 How groups are found without all pairs of a group: the nodes of a prefix n-gram are first compared with one of them, which
 joins nearly all near copies; only pairs of nodes that are still in different groups are then compared with each other.
@@ -31,11 +32,14 @@ from larkspur.llm import common
 
 #: Words of an n-gram, and the least similarity in percent.
 WORDS, PERCENT = 3, 90
-#: Classes of n-gram hashes whose occurrences are counted.
-CLASSES = 1 << 18
+#: Bits of an n-gram's hash that name its class; the repetitions of the n-grams of each class are counted.
+CLASS_BITS = 22
+#: N-grams that a counting task holds at a time: those that it has seen in one document only are not counted.
+HELD = 4_000_000
 #: Keys that may be broadcast; beyond that the texts are shuffled to them.
 FEW = 500_000
 
+_SHIFT = np.uint64(64 - CLASS_BITS)
 _SALTS = tuple(np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1342543DE82EF95))
 
 
@@ -67,7 +71,7 @@ def node_of(own: np.ndarray) -> int:
 def prefix(own: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The first n-grams of a set under a global order, as many as two similar sets cannot miss."""
     size = len(own) - (percent * len(own) + 99) // 100 + 1
-    rank = (levels[own >> np.uint64(46)].astype(np.uint64) << np.uint64(56)) | (common.mix(own ^ _SALTS[order]) >> np.uint64(8))
+    rank = (levels[own >> _SHIFT].astype(np.uint64) << np.uint64(56)) | (common.mix(own ^ _SALTS[order]) >> np.uint64(8))
     return own[np.argpartition(rank, size - 1)[:size]] if size < len(own) else own
 
 
@@ -76,33 +80,40 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _scan(rows: DataFrame, n: int) -> DataFrame:
-    """class null: doc_id, row_hash, node and size of each row; else the occurrences of a class of n-grams in some rows."""
+    """class null: doc_id, row_hash, node and size of each row; else how often n-grams of a class were seen again in a task."""
+    names = ["doc_id", "row_hash", "node", "size", "class", "count"]
+
+    def seen_again(held: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(held))
+        found, counts = np.unique((every[1:][every[1:] == every[:-1]] >> _SHIFT).astype(np.int32), return_counts=True)
+        none = pa.nulls(len(found), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none.cast(pa.int32()), pa.array(found), pa.array(counts.astype(np.int64))], names)
 
     def run(batches):
-        counts = np.zeros(CLASSES, np.int64)
-        names = ["doc_id", "row_hash", "node", "size", "class", "count"]
+        held, size = [np.zeros(0, np.uint64)], 0
         for part in common.slices(batches):
             nodes, sizes = [], []
             for own in sets_of(part, 2, n):
                 nodes.append(node_of(own))
                 sizes.append(len(own))
-                np.add.at(counts, (own >> np.uint64(46)).astype(np.int64), 1)
+                held.append(own)
+                size += len(own)
             none = pa.nulls(len(nodes), pa.int32())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), none, none.cast(pa.int64())], names)
-        found = np.flatnonzero(counts)
-        none = pa.nulls(len(found), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none.cast(pa.int32()), pa.array(found.astype(np.int32)), pa.array(counts[found])], names)
+            if size > HELD:
+                yield seen_again(held)
+                held, size = [np.zeros(0, np.uint64)], 0
+        yield seen_again(held)
 
     return rows.mapInArrow(run, "doc_id long, row_hash long, node long, size int, class int, count long")
 
 
 def _levels(counted: DataFrame) -> np.ndarray:
-    """How frequent each class of n-grams is: 0 up to one and a half times the mean, then a level each half power of two."""
+    """How frequent the n-grams of each class are: 0 for those never seen again, then a level each power of two."""
     sums = counted.groupBy("class").agg(F.sum("count").alias("count")).toArrow()
-    counts = np.zeros(CLASSES)
-    counts[sums.column("class").to_numpy()] = sums.column("count").to_numpy()
-    ratio = counts / max(counts.mean(), 1.0)
-    return np.where(ratio > 1.5, np.minimum(1 + np.floor(2 * np.log2(np.maximum(ratio, 1.5) / 1.5)), 255), 0).astype(np.uint8)
+    levels = np.zeros(1 << CLASS_BITS, np.uint8)
+    levels[sums.column("class").to_numpy()] = 1 + np.floor(np.log2(sums.column("count").to_numpy()))
+    return levels
 
 
 def _prefixes(rows: DataFrame, levels, n: int, percent: int) -> DataFrame:
@@ -130,34 +141,58 @@ def _prefixes(rows: DataFrame, levels, n: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "token long, node long, size int")
 
 
-def _sets(rows: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """node, its prefixes under the second and third order (32 bits of each n-gram), and its whole set."""
+def _distinct_nodes(rows: DataFrame, n: int, schema: str, columns) -> DataFrame:
+    """One pass over rows: ``columns`` of the sets of a batch's nodes, each node once a task."""
 
     def run(batches):
+        done: set[int] = set()
         for part in common.slices(batches):
-            found = [(node_of(own), own) for own in sets_of(part, 2, n) if len(own)]
-            columns = [pa.array([node for node, _ in found], pa.int64())]
-            for order in (1, 2):
-                columns.append(pa.array([(prefix(own, levels.value, order, percent) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for _, own in found], pa.list_(pa.int32())))
-            columns.append(pa.array([common.signed(own) for _, own in found], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["node", "second", "third", "grams"])
+            found = {}
+            for own in sets_of(part, 2, n):
+                node = node_of(own)
+                if len(own) and node not in done:
+                    found[node] = own
+                    done.add(node)
+            if found:
+                nodes = pa.array(list(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([nodes, *columns(list(found.values()))], [c.split()[0] for c in schema.split(", ")])
 
-    return rows.mapInArrow(run, "node long, second array<int>, third array<int>, grams array<long>")
+    return rows.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes that share prefixes under the other orders too and are similar by their whole sets."""
+def _other_prefixes(rows: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """node and its prefixes under the second and the third order (32 bits of each n-gram)."""
+
+    def columns(sets):
+        return [pa.array([(prefix(own, levels.value, order, percent) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for own in sets], pa.list_(pa.int32())) for order in (1, 2)]
+
+    return _distinct_nodes(rows, n, "node long, second array<int>, third array<int>", columns)
+
+
+def _sets(rows: DataFrame, n: int) -> DataFrame:
+    """node and its whole set."""
+    return _distinct_nodes(rows, n, "node long, grams array<long>", lambda sets: [pa.array([common.signed(own) for own in sets], pa.list_(pa.int64()))])
+
+
+def _rows_of(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row of each node in pairs (and its repetitions)."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     one = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("row"))
     one = common.materialize(one.select(F.col("row.doc_id").alias("w_id"), F.col("row.row_hash").alias("w_hash")), "compared")
     few = F.broadcast(one) if one.count() <= FEW else one
-    own = rows.join(few, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row_hash") == F.col("w_hash")), "left_semi")
-    sets = common.materialize(_sets(own, levels, n, percent).dropDuplicates(["node"]), "sets")
-    x, y = (sets.select(F.col("node").alias(k), F.col("second").alias(f"{k}2"), F.col("third").alias(f"{k}3")) for k in "ab")
+    return rows.join(few, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row_hash") == F.col("w_hash")), "left_semi")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of nodes that share prefixes under the other orders too and are similar by their whole sets."""
+    others = common.materialize(_other_prefixes(_rows_of(pairs, rows, nodes), levels, n, percent), "prefixes")
+    x, y = (others.select(F.col("node").alias(k), F.col("second").alias(f"{k}2"), F.col("third").alias(f"{k}3")) for k in "ab")
     filtered = pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+    filtered = common.materialize(filtered.distinct(), "filtered")
+    sets = common.materialize(_sets(_rows_of(filtered, rows, nodes), n), "sets")
     x, y = (sets.select(F.col("node").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "ab")
     shared = filtered.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("a_grams", "b_grams")).cast("long").alias("both"), (F.size("a_grams") + F.size("b_grams")).cast("long").alias("all"))
-    return common.materialize(shared.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"), "links")
+    return common.materialize(shared.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b").distinct(), "links")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -188,8 +223,19 @@ def connected(links: DataFrame) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row_hash, n_shingles, node (hash of the set) and component_id of each row."""
-    spark = docs.sparkSession
-    rows = _rows(docs, doc_id, text)
+    with common.scratch(docs.sparkSession):
+        placed = _placed(_rows(docs, doc_id, text), n, percent)
+    # a set without n-grams is no set: its rows are groups of their own
+    some, none = placed.where(F.col("size") > 0), placed.where(F.col("size") == 0)
+    least = some.groupBy("group").agg(F.min("doc_id").alias("least"))
+    joined = some.join(least, "group").select("doc_id", "row_hash", "size", "node", "least")
+    both = joined.union(none.select("doc_id", "row_hash", "size", "node", F.col("doc_id").alias("least")))
+    return both.select("doc_id", "row_hash", F.col("size").cast("long").alias("n_shingles"), "node", F.col("least").alias("component_id"))
+
+
+def _placed(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, row_hash, node, size and the smallest node of the group of each row, as a kept table."""
+    spark = rows.sparkSession
     scanned = common.materialize(_scan(rows, n), "nodes")
     nodes = scanned.where(F.col("class").isNull()).select("doc_id", "row_hash", "node", "size")
     levels = spark.sparkContext.broadcast(_levels(scanned.where(F.col("class").isNotNull())))
@@ -201,26 +247,19 @@ def jaccard_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     stars = shared.where((F.col("node") != F.col("hub")) & near(F.col("size"), F.col("hub_size")))
     stars = common.materialize(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = _verified(stars, rows, nodes, levels, n, percent)
-    groups = connected(links)
+    groups = connected(_verified(stars, rows, nodes, levels, n, percent))
 
-    placed = shared.join(groups, "node", "left").select("token", "node", "size", "hub", F.coalesce("group", "node").alias("group"))
-    open_tokens = placed.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
-    rest = common.materialize(placed.where("node != hub").join(open_tokens, "token", "left_semi").distinct(), "open")
+    inside = shared.join(groups, "node", "left").select("token", "node", "size", "hub", F.coalesce("group", "node").alias("group"))
+    open_tokens = inside.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
+    rest = common.materialize(inside.where("node != hub").join(open_tokens, "token", "left_semi").distinct(), "open")
     x, y = (rest.select("token", F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("group").alias(f"{k}_group")) for k in "ab")
     pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group")) & near(F.col("a_size"), F.col("b_size")))
     pairs = common.materialize(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         more = _verified(pairs, rows, nodes, levels, n, percent)
         groups = connected(more.union(groups.select(F.col("group").alias("a"), F.col("node").alias("b"))))
-
     placed = nodes.join(groups, "node", "left").select("doc_id", "row_hash", "node", "size", F.coalesce("group", "node").alias("group"))
-    # a set without n-grams is no set: its rows are groups of their own
-    placed = common.materialize(placed.withColumn("alone", F.col("size") == 0), "placed")
-    least = placed.where(~F.col("alone")).groupBy("group").agg(F.min("doc_id").alias("least"))
-    joined = placed.where(~F.col("alone")).join(least, "group").select("doc_id", "row_hash", "size", "node", "least")
-    alone = placed.where("alone").select("doc_id", "row_hash", "size", "node", F.col("doc_id").alias("least"))
-    return joined.union(alone).select("doc_id", "row_hash", F.col("size").cast("long").alias("n_shingles"), "node", F.col("least").alias("component_id"))
+    return common.materialize(placed, "placed", keep=True)
 
 
 def keep_one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -229,7 +268,7 @@ def keep_one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
     first = found.where("n_shingles > 0").groupBy(F.col("component_id").alias("group")).agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = found.where("n_shingles > 0").join(first, F.col("component_id").eqNullSafe(F.col("group"))).where(~key.eqNullSafe(F.col("first")))
-    gone = common.materialize(gone.select(F.col("doc_id").alias("g_id"), F.col("row_hash").alias("g_hash")).distinct(), "gone")
+    gone = common.materialize(gone.select(F.col("doc_id").alias("g_id"), F.col("row_hash").alias("g_hash")).distinct(), "gone", keep=True)
     few = F.broadcast(gone) if gone.count() <= FEW else gone
     return docs.join(few, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("g_hash")), "left_anti")
 
