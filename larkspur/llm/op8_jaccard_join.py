@@ -185,6 +185,11 @@ def _rows_of(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, levels, n: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes that share prefixes under the other orders too and are similar by their whole sets."""
+    with common.scratch(rows.sparkSession):  # the sets are large: they go as soon as the links are there
+        return common.materialize(_similar(pairs, rows, nodes, levels, n, percent), "links", keep=True)
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, levels, n: int, percent: int) -> DataFrame:
     others = common.materialize(_other_prefixes(_rows_of(pairs, rows, nodes), levels, n, percent), "prefixes")
     x, y = (others.select(F.col("node").alias(k), F.col("second").alias(f"{k}2"), F.col("third").alias(f"{k}3")) for k in "ab")
     filtered = pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
@@ -192,7 +197,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, levels, n: in
     sets = common.materialize(_sets(_rows_of(filtered, rows, nodes), n), "sets")
     x, y = (sets.select(F.col("node").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "ab")
     shared = filtered.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("a_grams", "b_grams")).cast("long").alias("both"), (F.size("a_grams") + F.size("b_grams")).cast("long").alias("all"))
-    return common.materialize(shared.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b").distinct(), "links")
+    return shared.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b").distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
