@@ -406,6 +406,12 @@ def normalize_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_name(F.substring("text", 1, 200)).alias("name"))
 
 
+@registered(f"SELECT doc_id, lower(translate(trim(regexp_replace(text, '[\\s\\x{{a0}}]+', ' ', 'g')), '{text.MARKED}', '{text.PLAIN}')) AS name FROM documents")
+def normalize_texts(spark, sf_dir):
+    """normalize_names over whole texts, not their first 200 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_name(F.col("text")).alias("name"))
+
+
 @registered("SELECT p_partkey, p_size AS size_m2, p_size * 10 + 1000 AS land_m2, CAST(p_size AS VARCHAR) AS number, CAST(p_partkey % 9 AS VARCHAR) || 'b' AS entrance FROM part")
 def extract_numbers(spark, sf_dir):
     p = table(spark, sf_dir, "part")

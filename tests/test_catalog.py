@@ -45,3 +45,9 @@ def test_survivors_are_never_removed_and_keepers_are_final(spark):
     removed = {(r.group, r.removed) for r in rows}
     assert rows and len(removed) == len(rows)
     assert all((r.group, r.keeper) not in removed or (r.group, r.keeper) == (r.group, r.removed) for r in rows)
+
+
+def test_whole_texts_are_normalized(spark):
+    rows = catalog.table(spark, SF, "documents").join(catalog.normalize_texts(spark, SF), "doc_id").collect()
+    long = [r for r in rows if len(r.text or "") > 200]
+    assert long and all(len(r.name) == len(" ".join(r.text.replace("\xa0", " ").split())) for r in long)
