@@ -9,9 +9,9 @@ starts after three bytes that no text holds and ends with an end symbol, so that
 The same pass counts the words of a plain add-one unigram model (the base score).
 
 How it scales: every task counts words and byte contexts of its own texts and only the counts are shuffled.  What is
-broadcast has a bound: at most ``CONTEXTS`` contexts of each of the two longer orders (rarer ones escape to the shorter
-order, as unseen contexts do) and at most ``COMMON_WORDS`` words; all other words are joined by key, exactly, and each of
-them is rare by construction, so no key is hot.
+broadcast has a bound: all contexts of up to two bytes (65,536 at most), the ``CONTEXTS`` most frequent ones of three bytes and
+``COMMON_WORDS`` words; all other contexts and words are joined by key, exactly, and each of them is rare by construction, so no
+key is hot.  Scores do not depend on the bounds.
 
 Defined results: null and empty texts are the end token alone; rows of equal id and text share their values, a row each;
 without training rows the words have no counts and all bytes are equally likely; other columns are not read.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import common
 
-#: Contexts of three bytes, and of two, that the model holds at most.
+#: Contexts of three bytes, the most frequent ones, that are broadcast at most.
 CONTEXTS = 32_768
 #: Words, the most frequent ones, whose counts are broadcast at most.
 COMMON_WORDS = 200_000
@@ -141,8 +141,11 @@ def heaviest(rows: DataFrame, bound: int) -> tuple[DataFrame, int]:
 class Model:
     """log10 probabilities of all bytes in each context of the trie."""
 
-    def __init__(self, zero: np.ndarray, one: np.ndarray, two: dict, three: dict):
-        """Counts of 256 followers: of the empty context, of each byte (256 x 256), and keys and counts of the longer ones."""
+    def __init__(self, zero: np.ndarray, one: np.ndarray, two: tuple, three: tuple, partial: bool = False):
+        """Counts of 256 followers: of the empty context, of each byte (256 x 256), and keys and counts of the longer ones.
+
+        partial: whether there are contexts of three bytes beside those given, which ``gains`` is to be asked for.
+        """
         keys2, counts2 = two
         keys3, counts3 = three
         under0 = np.where(zero > 0, 0, 1.0 / max(1, 256 - (zero > 0).sum()))[None]
@@ -152,6 +155,7 @@ class Model:
         p1[~one.any(1)] = p0[0]
         parent2 = (keys2 & 0xFF).astype(int)
         under2 = self._under(counts2, parent2, one, under1)
+        self.upper = (counts2, under2) if partial else None
         at2 = np.full(1 << 16, -1, np.int32)
         at2[keys2] = np.arange(len(keys2))
         parent3 = at2[keys3 & 0xFFFF]
@@ -193,6 +197,18 @@ class Model:
         row = np.where((slot >= 0) & (longer >= 0), longer, row)
         return self.table[row * 256 + wide[3:]][out[3:] != START]
 
+    def unheld(self, code: np.ndarray) -> np.ndarray:
+        """Whether the three bytes before each of these grams are a context that the table lacks."""
+        slot = self.slot[(code >> 8) & 0xFFFF]
+        return (slot >= 0) & (self.row3[np.maximum(slot, 0) * 256 + (code >> 24)] < 0)
+
+    def gains(self, context: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What log10 probabilities of all bytes gain over those of ``score``, in contexts that the table lacks, from their followers."""
+        parent = self.slot[context & 0xFFFF]
+        mixed = self._mixed(counts, self._under(counts, parent, *self.upper))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.log10(mixed) - self.table.reshape(-1, 256)[parent + 256]
+
 
 def _cells(rows, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted context keys and their counts of followers, from rows of (context << 8 | byte, n)."""
@@ -204,25 +220,60 @@ def _cells(rows, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
-def fit(counts: DataFrame, contexts: int = CONTEXTS) -> Model:
-    """The model of the byte grams in ``counts``; what reaches the driver has a bound (``contexts`` x 256 cells an order)."""
+def fit(counts: DataFrame, contexts: int | None = None, held: int = CONTEXTS) -> Model:
+    """The model of the byte grams in ``counts``; see ``fit_all``."""
+    return fit_all(counts, contexts, held)[0]
+
+
+def fit_all(counts: DataFrame, contexts: int | None = None, held: int = CONTEXTS) -> tuple[Model, DataFrame | None]:
+    """The model, and code and n of the grams of contexts that it lacks; None if it has all.
+
+    What reaches the driver has a bound: ``held`` x 256 cells of the longest order, 65,536 x 256 of the one below.  With
+    ``contexts``, the trie itself is cut to so many contexts of each of the two longer orders.
+    """
     gram = counts.where(F.col("kind") == GRAM)
 
     def cells(bits: int, bound: int):
         code = gram.groupBy((F.col("key").bitwiseAND((1 << bits) - 1)).alias("code")).agg(F.sum("n").alias("n"))
         totals = code.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("n"))
         chosen, threshold = heaviest(totals, bound)
+        rest = None
         if threshold:
-            code = code.join(chosen.select("context"), F.shiftright("code", 8) == F.col("context"), "left_semi")
-        return _cells(code, bits // 8)
+            own = lambda these: code.join(these.select("context"), F.shiftright("code", 8) == F.col("context"), "left_semi")
+            code, rest = own(chosen), own(totals.where(F.col("n") < threshold))
+        return _cells(code, bits // 8), rest
 
-    keys1, counts1 = cells(16, 256)
+    keys1, counts1 = cells(16, 256)[0]
     one = np.zeros((256, 256))
     one[keys1] = counts1
-    return Model(one.sum(0), one, cells(24, contexts), cells(32, contexts))
+    two = cells(24, contexts or 1 << 16)[0]
+    three, rest = cells(32, contexts or held)
+    rest = None if contexts else rest
+    return Model(one.sum(0), one, two, three, rest is not None), rest
 
 
-def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", contexts: int = CONTEXTS, common_words: int = COMMON_WORDS) -> DataFrame:
+def _gains(rest: DataFrame, wanted: DataFrame, shared) -> DataFrame:
+    """code, gain: of the grams ``wanted`` those in a context of ``rest``."""
+
+    def run(batches):
+        model = shared.value[0]
+        for batch in batches:
+            for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+                context = part.column(0).to_numpy()
+                size = lambda k: np.repeat(np.arange(part.num_rows), part.column(k).value_lengths().to_numpy())
+                counts = np.zeros((part.num_rows, 256), np.float32)
+                counts[size(1), part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                own, byte = size(3), part.column(3).flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(context[own] << 8 | byte), pa.array(model.gains(context, counts)[own, byte].astype(np.float64))], ["code", "gain"])
+
+    context, byte = F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(0xFF).alias("byte")
+    # of a context there are at most 256 of either
+    followers = rest.select(context, F.struct(byte, "n").alias("f")).groupBy("context").agg(F.collect_list("f").alias("f"))
+    asked = wanted.distinct().select(context, byte).groupBy("context").agg(F.collect_list("byte").alias("asked"))
+    return followers.join(asked, "context").select("context", F.col("f.byte").alias("bytes"), F.col("f.n").alias("n"), "asked").mapInArrow(run, "code long, gain double")
+
+
+def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", contexts: int | None = None, common_words: int = COMMON_WORDS, held: int = CONTEXTS) -> DataFrame:
     """Learn from rows where ``train`` holds and score all rows.
 
     Gives doc_id, train, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (log10 probability of the
@@ -238,8 +289,9 @@ def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str =
     known = frequent.select("key", "m").toArrow()
     key = known.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((fit(counts, contexts), key[order], known.column("m").to_numpy()[order]))
-    names = ("doc_id", "row_hash", "train", "n_tokens", "n_known", "base", "score", "n_symbols", "words", "times")
+    model, rest = fit_all(counts, contexts, held)
+    shared = spark.sparkContext.broadcast((model, key[order], known.column("m").to_numpy()[order]))
+    names = ("doc_id", "row_hash", "train", "n_tokens", "n_known", "base", "score", "n_symbols", "words", "times", "codes", "code_times")
 
     def run(batches):
         model, keys, in_train = shared.value
@@ -263,20 +315,41 @@ def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str =
             first = np.flatnonzero(new)
             lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own[first], minlength=n))]), pa.int32())
             size = np.diff(at) + 1
-            total = np.add.reduceat(model.score(symbols(data, at)).astype(np.float64), np.concatenate([[0], np.cumsum(size)[:-1]]))
+            out = symbols(data, at)
+            total = np.add.reduceat(model.score(out).astype(np.float64), np.concatenate([[0], np.cumsum(size)[:-1]]))
             columns = [part.column(0), part.column(3), part.column(2), pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(total), pa.array(size)]
             columns += [pa.ListArray.from_arrays(lists, pa.array(common.signed(rare[first]))), pa.ListArray.from_arrays(lists, pa.array(np.diff(np.append(first, len(rare)))))]
+            code, text = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if model.upper is not None:
+                code = grams(out).astype(np.int64)
+                lacks = model.unheld(code)
+                code, text = code[lacks], np.repeat(np.arange(n), size)[lacks]
+            # grams of a text are together, so that one sort by both counts them
+            both, times = np.unique(text << 32 | code, return_counts=True)
+            lists = pa.array(np.searchsorted(both >> 32, np.arange(n + 1)), pa.int32())
+            columns += [pa.ListArray.from_arrays(lists, pa.array(both & 0xFFFFFFFF)), pa.ListArray.from_arrays(lists, pa.array(times))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, row_hash long, train boolean, n_tokens long, n_known long, base double, score double, n_symbols long, words array<long>, times array<long>"
+    schema = "doc_id long, row_hash long, train boolean, n_tokens long, n_known long, base double, score double, n_symbols long, words array<long>, times array<long>, codes array<long>, code_times array<long>"
     scored = common.materialize(_rows(docs, train, doc_id, text).mapInArrow(run, schema), "scored")
     rare = word.where((F.col("m") > 0) & (F.col("n") < threshold)).select("key", "m")
     at = F.explode(F.arrays_zip("words", "times")).alias("at")
     found = scored.select("doc_id", "row_hash", at).select("doc_id", "row_hash", F.col("at.words").alias("key"), F.col("at.times").alias("times")).join(rare, "key")
-    nothing = {c: F.lit(None).cast(t) for c, t in scored.dtypes if c not in ("doc_id", "row_hash", "words", "times")}
-    found = found.select("doc_id", "row_hash", *(v.alias(c) for c, v in nothing.items()), (F.col("times") * F.log10(F.col("m") + 1.0)).alias("more"), F.col("times").alias("more_known"), F.lit(0).alias("rows"))
-    own = scored.select("doc_id", "row_hash", *nothing, F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), F.lit(1).alias("rows"))
-    both = own.unionByName(found).groupBy("doc_id", "row_hash").agg(*(F.max(c).alias(c) for c in nothing), F.sum("more").alias("more"), F.sum("more_known").alias("more_known"), F.sum("rows").cast("int").alias("rows"))
+    lists = ("words", "times", "codes", "code_times")
+    nothing = {c: F.lit(None).cast(t) for c, t in scored.dtypes if c not in ("doc_id", "row_hash", *lists)}
+    added = {"more": F.lit(0.0), "more_known": F.lit(0).cast("long"), "more_score": F.lit(0.0), "rows": F.lit(0)}
+
+    def line(df: DataFrame, own: dict, **more) -> DataFrame:
+        return df.select("doc_id", "row_hash", *(v.alias(c) for c, v in (own | added | more).items()))
+
+    both = line(scored, {c: F.col(c) for c in nothing}, rows=F.lit(1)).unionByName(line(found, nothing, more=F.col("times") * F.log10(F.col("m") + 1.0), more_known=F.col("times")))
+    if rest is not None:
+        at = F.explode(F.arrays_zip("codes", "code_times")).alias("at")
+        code = scored.select("doc_id", "row_hash", at).select("doc_id", "row_hash", F.col("at.codes").alias("code"), F.col("at.code_times").alias("times"))
+        gains = common.materialize(_gains(rest, code.select("code"), shared), "gains")
+        both = both.unionByName(line(code.join(gains, "code"), nothing, more_score=F.col("times") * F.col("gain")))
+    both = both.groupBy("doc_id", "row_hash").agg(*(F.max(c).alias(c) for c in nothing), *(F.sum(c).alias(c) for c in ("more", "more_known", "more_score")), F.sum("rows").cast("int").alias("rows"))
+    both = both.withColumn("score", F.col("score") + F.col("more_score") / F.col("rows"))
     end = float(np.log10(n_docs + 1.0))
     scale = float(np.log10(train_tokens + vocabulary + 1.0))
     # rows of equal id and text have each added their words

@@ -106,3 +106,16 @@ def test_repeated_rows_no_training_rows_and_an_empty_table(spark):
     none = sorted(op.score_documents(docs, F.lit(False)).collect())
     assert none[0].train_tokens == 0 and none[0].n_known == 0 and none[1].score == pytest.approx(4 * math.log10(1 / 256), rel=1e-5)
     assert op.score_documents(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("held", [0, 40])
+def test_contexts_that_are_not_broadcast_count_as_well(spark, held):
+    rows = texts()
+    model = Brute([t for i, t in enumerate(rows) if is_train(i)])
+    again = next(i for i in range(20, 60) if not is_train(i))
+    twice = documents(spark, rows).union(documents(spark, rows).where(F.col("doc_id") == again))
+    found = op.score_documents(twice, common.bucket(F.col("doc_id"), 7) != 2, held=held).collect()
+    assert len(found) == len(rows) + 1
+    for r in found:
+        if len(rows[r.doc_id] or "") < 3000:
+            assert r.score == pytest.approx(model.log10(rows[r.doc_id]), rel=1e-4)
