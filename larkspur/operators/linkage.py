@@ -7,12 +7,14 @@ land.  Candidate pairs come from blocks that no pair of the least useful score c
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.geo import metres
 from larkspur.functions.numbers import known
+from larkspur.streaming import scans
 
 # Place tiers from the finest, with points, near and far in metres, and the points of a shared name.
 TIERS = ("gps", "street", "part", "quarter", "town")
@@ -23,6 +25,8 @@ LAYOUT_SAME, LAYOUT_DIFFERENT = 15, -35
 PRICE_SHARE, PRICE_POINTS, PRICE_FALL, PRICE_LOSS = 0.10, 15, 0.20, 25
 SIZE_SAME, SIZE_NEAR, SIZE_POINTS, SIZE_FALL, SIZE_LOSS = 2, 6, 10, 10, 15
 MATCH, UNCERTAIN = 55, 30
+#: Records of a block that one part of a candidate join takes.
+HOT_BLOCK = 1_000
 
 
 def gps_points(metres_apart: Column, tier: Column) -> Column:
@@ -87,10 +91,23 @@ def price_block(price: Column) -> Column:
 def candidates(records: DataFrame, *equal: str, price: str = "price", id_: str = "ord", source: str = "source") -> DataFrame:
     """Pairs a, b of records (as structs, a before b in input order) of different sources that agree in ``equal`` and
     whose prices may be within the share: one equi-join on the block."""
-    one = records.select(F.struct("*").alias("a"), *(F.col(c).alias(f"_{c}") for c in equal), F.explode(F.array(*(price_block(F.col(price)) + k for k in (-1, 0, 1)))).alias("_block"))
-    two = records.select(F.struct("*").alias("b"), *(F.col(c).alias(f"_{c}") for c in equal), price_block(F.col(price)).alias("_block"))
-    pairs = one.join(two, [f"_{c}" for c in equal] + ["_block"]).where((F.col(f"a.{id_}") < F.col(f"b.{id_}")) & (F.col(f"a.{source}") != F.col(f"b.{source}")))
-    return pairs.select("a", "b")
+    own = [F.col(c).alias(f"_{c}") for c in equal]
+    one = records.select(F.struct("*").alias("a"), *own, F.explode(F.array(*(price_block(F.col(price)) + k for k in (-1, 0, 1)))).alias("_block"))
+    two = records.select(F.struct("*").alias("b"), *own, price_block(F.col(price)).alias("_block"))
+    return _meet(one, two, [f"_{c}" for c in equal] + ["_block"], id_, source)
+
+
+def _meet(one: DataFrame, two: DataFrame, keys: list[str], id_: str, source: str) -> DataFrame:
+    """The pairs a, b of equal keys, a before b and of different sources.
+
+    Blocks with more than ``HOT_BLOCK`` records on the side of b are dealt over several parts: a record a is in one of them, b in all.
+    """
+    hot = two.groupBy(keys).count().where(F.col("count") > HOT_BLOCK).select(*keys, F.ceil(F.col("count") / HOT_BLOCK).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    one = one.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(f"a.{id_}"), parts).cast("int"))
+    two = two.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pairs = one.drop("_parts").join(two.drop("_parts"), [*keys, "_part"])
+    return pairs.where((F.col(f"a.{id_}") < F.col(f"b.{id_}")) & (F.col(f"a.{source}") != F.col(f"b.{source}"))).select("a", "b")
 
 
 def nearby(records: DataFrame, reach: float, id_: str = "ord", source: str = "source") -> DataFrame:
@@ -102,29 +119,50 @@ def nearby(records: DataFrame, reach: float, id_: str = "ord", source: str = "so
     at = cell(F.col("lat"), F.col("lon"), side, side / math.cos(math.radians(70)))
     one = records.where("lat is not null and lon is not null").select(F.struct("*").alias("a"), F.explode(neighbour_cells(at)).alias("_cell"))
     two = records.where("lat is not null and lon is not null").select(F.struct("*").alias("b"), at.alias("_cell"))
-    pairs = one.join(two, "_cell").where((F.col(f"a.{id_}") < F.col(f"b.{id_}")) & (F.col(f"a.{source}") != F.col(f"b.{source}")))
-    return pairs.where(metres(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= reach).select("a", "b")
+    return _meet(one, two, ["_cell"], id_, source).where(metres(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= reach).select("a", "b")
 
 
 def greedy_merge(matches: DataFrame, group: str) -> DataFrame:
     """group, removed, keeper: which record each removed one is merged into.
 
     matches: group, i, j, keep_i (whether i is the richer one) with i < j.  Pairs are taken in the order of i, then j.  A pair is
-    passed over if j is gone, or if i was gone before its own turn began; so merging is not transitive.  One fold a
-    group over the matches alone, which are few beside the candidates.
+    passed over if j is gone, or if i was gone before its own turn began; so merging is not transitive.
+
+    A record is gone before its turn only by a pair (h, r) with keep_h whose h is not itself gone before its turn; a record that
+    loses in its own turn stops no pair.  So the records gone early are found in rounds over those pairs: what no undecided
+    pair can remove stays, what it removes is gone, and pairs of gone records are dropped.  All state is in the shared folder.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("i", "j", "keep_i")))
-    empty = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<struct<keeper:bigint,turn:bigint>>"))
-
-    def step(gone, pair):
-        i, j = pair["i"].cast("bigint"), pair["j"].cast("bigint")
-        lost, keeper = F.when(pair["keep_i"], j).otherwise(i), F.when(pair["keep_i"], i).otherwise(j)
-        passed = F.map_contains_key(gone, j) | F.coalesce(gone[i]["turn"] < i, F.lit(False))
-        entry = F.map_from_arrays(F.array(lost), F.array(F.struct(keeper.alias("keeper"), i.alias("turn"))))
-        return F.when(passed, gone).otherwise(F.map_concat(F.map_filter(gone, lambda k, v: k != lost), entry))
-
-    folded = matches.groupBy(group).agg(F.aggregate(ordered, empty, step).alias("gone"))
-    return folded.select(group, F.explode("gone").alias("removed", "entry")).select(group, "removed", F.col("entry.keeper").alias("keeper"))
+    spark = matches.sparkSession
+    folder = f"{scans.shared_dir(spark)}/greedy-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str, mode: str = "error") -> DataFrame:
+        df.write.mode(mode).parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    def meets(df: DataFrame, c: str, others: DataFrame, how: str) -> DataFrame:
+        """df by whether its record c is among (g, r) of others."""
+        return df.join(others.select(F.col("g").alias("_g"), F.col("r").alias("_r")), F.col("g").eqNullSafe(F.col("_g")) & (F.col(c) == F.col("_r")), how)
+
+    pairs = written(matches.select(F.col(group).alias("g"), F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "keep_i"), "pairs")
+    taking = pairs.where("keep_i").select("g", "i", "j")
+    undecided, gone, turn = taking, written(taking.select("g", F.col("j").alias("r")).limit(0), "gone"), 0
+    while undecided.limit(1).count():
+        staying = meets(undecided, "i", undecided.select("g", F.col("j").alias("r")).distinct(), "left_anti").select("g", F.col("i").alias("r")).distinct()
+        lost = written(meets(undecided, "i", staying, "left_semi").select("g", F.col("j").alias("r")).distinct(), f"lost{turn}")
+        gone = written(lost, "gone", "append")
+        undecided = written(meets(meets(undecided, "i", lost, "left_anti"), "j", lost, "left_anti"), f"undecided{turn}")
+        turn += 1
+    by = meets(taking, "i", gone, "left_anti").groupBy("g", F.col("j").alias("removed")).agg(F.min("i").alias("keeper"))
+    own = meets(pairs.where("not keep_i"), "i", gone, "left_anti")
+    taken = by.select(F.col("g").alias("_g"), F.col("removed").alias("_r"), F.col("keeper").alias("_turn"))
+    own = own.join(taken, F.col("g").eqNullSafe(F.col("_g")) & (F.col("j") == F.col("_r")), "left").where("_turn is null or _turn >= i")
+    own = own.groupBy("g", F.col("i").alias("removed")).agg(F.max("j").alias("keeper"))
+    out = by.unionByName(own).select(F.col("g").alias(group), "removed", "keeper")
+    path = f"{scans.shared_dir(spark)}/merged-{uuid.uuid4().hex}"
+    out.write.parquet(path)
+    home = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    home.getFileSystem(spark._jsc.hadoopConfiguration()).delete(home, True)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def final_keepers(merged: DataFrame, group: str) -> DataFrame:

@@ -105,6 +105,27 @@ def test_greedy_merge_equals_a_loop_and_is_not_transitive(spark):
     assert {(r.removed, r.keeper) for r in kept.collect()} == {(1, 4), (2, 4), (3, 4)}
 
 
+def test_greedy_merge_collects_no_group(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(0, i, j, rng.random() < 0.5) for i in range(300) for j in range(i + 1, 300) if rng.random() < 0.1]
+    rows += [(1, i, i + 1, True) for i in range(12)]
+    matches = spark.createDataFrame(rows, "g long, i long, j long, keep_i boolean")
+    monkeypatch.setattr(linkage.F, "collect_list", None)
+    found = {0: {}, 1: {}}
+    for r in linkage.greedy_merge(matches, "g").collect():
+        found[r.g][r.removed] = r.keeper
+    assert found == {g: loop([r[1:] for r in rows if r[0] == g]) for g in found}
+
+
+def test_hot_blocks_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "HOT_BLOCK", 7)
+    rows = [(i, "ab"[i % 2], "x", 100, 50.0, 14.0) for i in range(60)]
+    records = spark.createDataFrame(rows, "ord long, source string, layout string, price long, lat double, lon double")
+    want = sorted((i, j) for i in range(60) for j in range(i + 1, 60) if (i + j) % 2)
+    for pairs in (linkage.candidates(records, "layout"), linkage.nearby(records, 800.0)):
+        assert sorted((r.a.ord, r.b.ord) for r in pairs.collect()) == want
+
+
 def test_blocks_lose_no_pair(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice("ab"), rng.choice("xy"), rng.randrange(0, 400), rng.uniform(50, 50.2), rng.uniform(14, 14.2)) for i in range(150)]
