@@ -1,7 +1,7 @@
 """Linkage of records of one thing across sources: pairwise, explainable, greedy in input order and not transitive.
 
-Records have: ord, source, lat, lon, tier (how exact the place is), names (array of name and tier rank), layout, price, size,
-land.  Candidate pairs come from blocks that no pair of the least useful score can avoid, not from all pairs.
+Records have: ord, source, lat, lon, tier (how exact the place is), names (array of name and tier), layout, price, size,
+land.  ``useful`` gives the pairs of three blocks of which no pair of the least useful score can avoid all, not all pairs.
 """
 
 from __future__ import annotations
@@ -88,10 +88,12 @@ def price_block(price: Column) -> Column:
     return F.when(known(price), F.floor(F.log(price.cast("double")) / -math.log(1 - PRICE_SHARE)))
 
 
-def candidates(records: DataFrame, *equal: str, price: str = "price", id_: str = "ord", source: str = "source") -> DataFrame:
+def candidates(records: DataFrame, *equal: str, price: str | None = "price", id_: str = "ord", source: str = "source") -> DataFrame:
     """Pairs a, b of records (as structs, a before b in input order) of different sources that agree in ``equal`` and
-    whose prices may be within the share: one equi-join on the block."""
+    whose prices may be within the share: one equi-join on the block.  Without ``price``, whatever their prices."""
     own = [F.col(c).alias(f"_{c}") for c in equal]
+    if price is None:
+        return _meet(records.select(F.struct("*").alias("a"), *own), records.select(F.struct("*").alias("b"), *own), [f"_{c}" for c in equal], id_, source)
     one = records.select(F.struct("*").alias("a"), *own, F.explode(F.array(*(price_block(F.col(price)) + k for k in (-1, 0, 1)))).alias("_block"))
     two = records.select(F.struct("*").alias("b"), *own, price_block(F.col(price)).alias("_block"))
     return _meet(one, two, [f"_{c}" for c in equal] + ["_block"], id_, source)
@@ -122,6 +124,28 @@ def nearby(records: DataFrame, reach: float, id_: str = "ord", source: str = "so
     return _meet(one, two, ["_cell"], id_, source).where(metres(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= reach).select("a", "b")
 
 
+def useful(records: DataFrame, id_: str = "ord", source: str = "source") -> DataFrame:
+    """All pairs a, b that can have a total of ``UNCERTAIN`` or more, and others: the distinct union of three blocks.
+
+    Where place and names give less than 5, the total needs equal layouts and prices within the share.  Otherwise the pair shares
+    a name of a tier below the town, or is closer than half way from near to far of the looser tier, beyond which a place gives
+    nothing.  Records have the columns named above; ``names`` is an array of (name, tier), the tier as in ``TIERS``.
+    """
+    ids = lambda pairs: pairs.select(F.col(f"a.{id_}").alias("i"), F.col(f"b.{id_}").alias("j"))
+    slim = records.select(id_, source, "layout", "price")
+    found = ids(candidates(slim, "layout", id_=id_, source=source))
+    rank = F.array_position(F.array(*(F.lit(t) for t in TIERS)), F.col("tier"))
+    placed = records.select(id_, source, "lat", "lon", rank.alias("rank")).where("rank > 0")
+    for k, tier in enumerate(TIERS, 1):
+        _, near, far = GPS[tier]
+        close = nearby(placed.where(F.col("rank") <= k), (near + far) / 2, id_, source)
+        found = found.unionByName(ids(close.where(F.greatest("a.rank", "b.rank") == k)))
+    named = records.select(id_, source, F.explode("names").alias("n")).where(F.col("n.tier").isin(*(t for t in TIERS if NAME_POINTS.get(t, 0) >= 5))).select(id_, source, F.col("n.name").alias("name")).distinct()
+    found = found.unionByName(ids(candidates(named, "name", price=None, id_=id_, source=source))).distinct()
+    side = lambda s: records.select(F.struct("*").alias(s), F.col(id_).alias("i" if s == "a" else "j"))
+    return found.join(side("a"), "i").join(side("b"), "j").select("a", "b")
+
+
 def greedy_merge(matches: DataFrame, group: str) -> DataFrame:
     """group, removed, keeper: which record each removed one is merged into.
 

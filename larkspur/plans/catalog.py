@@ -363,7 +363,8 @@ def _records(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    pairs = linkage.candidates(_records(spark, sf_dir), "name", "layout")
+    # the block of shared names, as far as the SQL of the queries goes: layouts are equal, prices may be missing or far apart
+    pairs = linkage.candidates(_records(spark, sf_dir), "name", "layout", price=None)
     total = linkage.layout_points(a("layout"), b("layout")) + linkage.price_points(a("price"), b("price")) + linkage.size_points(a("size"), b("size")) + F.lit(float(linkage.NAME_POINTS["street"]))
     agrees = linkage.property_agrees("flat", a("layout"), b("layout"), a("price"), b("price"), a("size"), b("size"), a("land"), b("land"))
     return pairs.select(a("ord").alias("i"), b("ord").alias("j"), a("layout").alias("layout"), total.alias("total"), agrees.alias("agrees"), linkage.price_gap(a("price"), b("price")).alias("gap"), F.lit(False).alias("keep_j"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import criteria, history, linkage, ranking, register, state
+from larkspur.plans import catalog
 
 T = dt.datetime(2024, 1, 1)
 
@@ -136,6 +137,37 @@ def test_blocks_lose_no_pair(spark):
     assert {(r.a.ord, r.b.ord) for r in linkage.nearby(records, 1450.0).collect()} == near(rows, 1450)
 
 
+def test_useful_pairs_are_all_found(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(160):
+        names = [(rng.choice(["n1", "n2", "n3", "n4"]), rng.choice(linkage.TIERS[1:])) for _ in range(rng.randrange(3))]
+        rows.append((i, rng.choice("abc"), rng.choice(["x", "y", None]), rng.choice([None, 0, 100, 108, 125, 400]), rng.choice([50, 52, 70, None]), rng.choice([None, 50 + rng.random() / 5]), 14 + rng.random() / 5, rng.choice([*linkage.TIERS, None]), names))
+    records = spark.createDataFrame(rows, "ord long, source string, layout string, price long, size int, lat double, lon double, tier string, names array<struct<name:string,tier:string>>")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    every = records.select(F.struct("*").alias("a")).crossJoin(records.select(F.struct("*").alias("b"))).where("a.ord < b.ord and a.source <> b.source")
+    tiers = F.array(*(F.lit(t) for t in linkage.TIERS))
+    place = lambda t: F.array_position(tiers, t)
+    looser = F.element_at(tiers, F.greatest(place(a("tier")), place(b("tier"))).cast("int"))
+    known = a("lat").isNotNull() & b("lat").isNotNull() & a("tier").isNotNull() & b("tier").isNotNull()
+    gps = F.when(known, linkage.gps_points(linkage.metres(a("lat"), a("lon"), b("lat"), b("lon")), looser)).otherwise(0.0)
+    shared = F.flatten(F.transform(a("names"), lambda x: F.transform(F.filter(b("names"), lambda y: y["name"] == x["name"]), lambda y: F.greatest(place(x["tier"]), place(y["tier"])))))
+    tier = F.try_element_at(tiers, F.array_min(shared).cast("int"))
+    name = F.when((F.size(a("names")) == 0) | (F.size(b("names")) == 0), 0.0).otherwise(linkage.name_points(tier, F.lit(False)))
+    total = gps + name + linkage.layout_points(a("layout"), b("layout")) + linkage.price_points(a("price"), b("price")) + linkage.size_points(a("size"), b("size"))
+    want = {tuple(r[:2]): r for r in every.select("a.ord", "b.ord", total.alias("t"), "a.price", "b.price").where("t >= 30").collect()}
+    found = [(r.a.ord, r.b.ord) for r in linkage.useful(records).collect()]
+    assert len(found) == len(set(found)) and want.keys() <= set(found) and len(found) < every.count()
+    assert any(r[3] is None for r in want.values()) and any({r[3], r[4]} == {100, 125} for r in want.values())
+
+
+def test_queries_score_pairs_without_prices_or_far_apart(spark, tmp_path):
+    rows = [(1, "n", "b1", "t", 5, 100.0), (2, "n", "b2", "t", 5, None), (3, "n", "b3", "t", 5, 75.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    found = {(r.i, r.j): r.total for r in catalog.pair_score(spark, str(tmp_path)).collect()}
+    assert found == {(1, 2): 55.0, (2, 3): 55.0, (1, 3): pytest.approx(36.25)}
+
+
 def near(rows, reach):
     import math
 
