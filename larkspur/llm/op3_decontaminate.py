@@ -233,40 +233,78 @@ def remove_spans(text: str, automaton: Automaton, max_coverage: float, min_span:
             return text
         if sum(b - a for a, b in spans) > max_coverage * len(words):
             return None
-        places = [m.span() for m in _WORD.finditer(flat)]
-        kept, end = [], 0
-        for a, b in spans:
-            kept.append(raw[end : places[a][0]])
-            end = places[b - 1][1]
-        text = b"".join([*kept, raw[end:]]).decode("utf-8")
+        text = _without(raw, flat, spans)
+
+
+def _without(raw: bytes, flat: bytes, spans: list[tuple[int, int]]) -> str:
+    places = [m.span() for m in _WORD.finditer(flat)]
+    kept, end = [], 0
+    for a, b in spans:
+        kept.append(raw[end : places[a][0]])
+        end = places[b - 1][1]
+    return b"".join([*kept, raw[end:]]).decode("utf-8")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, min_span: int = MIN_SPAN, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
     """docs with all its columns and without hit spans; rows of which more than max_coverage is hit are gone.
 
-    Rows without a hit come back byte for byte.  One pass over the text a block, without a shuffle.
+    Rows without a hit come back byte for byte.  With one block of items this is one pass over the text without a shuffle; with
+    more, all blocks are run over the rows before anything is removed, so that the result is the same for any block size.
     """
+    blocks = item_blocks(benchmark, window, block_words)
+    block, more = next(blocks, None), next(blocks, None)
+    if more is not None:
+        block.unpersist()
+        more.unpersist()
+        return _clean_by_blocks(docs, benchmark, window, max_coverage, min_span, block_words, text)
+    if block is None:
+        return docs
     schema = docs.schema
     place = docs.columns.index(text)
 
-    def step(df: DataFrame, block) -> DataFrame:
-        def run(batches):
-            automaton = _automaton(block)
-            for batch in batches:
-                clean = [None if t is None else remove_spans(t, automaton, max_coverage, min_span) for t in batch.column(place).to_pylist()]
-                keep = pa.array([c is not None or t is None for c, t in zip(clean, batch.column(place).to_pylist())])
-                columns = list(batch.columns)
-                columns[place] = pa.array(clean, batch.schema.field(place).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
-
-        return df.mapInArrow(run, schema)
-
-    out, several = docs, False
-    for block in item_blocks(benchmark, window, block_words):
-        if several:
-            out = common.materialize(out, "cleaned")
-        out, several = step(out, block), True
-    return out
+    def run(batches):
+        automaton = _automaton(block)
+        for batch in batches:
+            clean = [None if t is None else remove_spans(t, automaton, max_coverage, min_span) for t in batch.column(place).to_pylist()]
+            keep = pa.array([c is not None or t is None for c, t in zip(clean, batch.column(place).to_pylist())])
+            columns = list(batch.columns)
+            columns[place] = pa.array(clean, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _clean_by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, max_coverage: float, min_span: int, block_words: int, text: str) -> DataFrame:
+    """In rounds: the merged spans of all blocks in the rows still open; rows without one are done, the others lose theirs or go."""
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                raw = t.encode("utf-8")
+                flat = raw.translate(_WORD_BYTES)
+                spans = [(s["start"], s["end"]) for s in spans]
+                out.append(None if sum(b - a for a, b in spans) > max_coverage * len(flat.split()) else _without(raw, flat, spans))
+            kept = pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, batch.schema.field(1).type)], ["row", "text"])
+            yield kept.filter(pa.array([t is not None for t in out]))
+
+    still, done = docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), []
+    while True:
+        # equal texts have equal hits, so a text's two hashes stand for it
+        keyed = still.withColumn("one", F.xxhash64("text", F.lit(1))).withColumn("two", F.xxhash64("text"))
+        found = match_items(keyed.select("one", "text"), benchmark, window, block_words, "one")
+        spans = F.filter("spans", lambda s: s["end"] - s["start"] >= min_span)
+        found = found.select(F.col("doc_id").alias("one"), F.col("row_hash").alias("two"), spans.alias("spans")).where(F.size("spans") > 0).dropDuplicates(["one", "two"])
+        met = common.materialize(keyed.join(found, ["one", "two"], "left").select("row", "text", "spans"), "met")
+        done.append(met.where("spans is null").select("row", "text"))
+        hit = met.where("spans is not null")
+        if not hit.limit(1).count():
+            break
+        still = common.materialize(hit.mapInArrow(cut, still.schema), "cleaned")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select(*(F.col("text" if c == text else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

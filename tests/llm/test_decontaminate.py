@@ -67,3 +67,18 @@ def test_empty_sides(spark):
     some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert op.match_items(spark.createDataFrame([], SCHEMA), some).count() == 0
     assert op.decontaminate(documents(spark, ["a b"]), none).collect()[0].text == "a b"
+
+
+def test_results_do_not_depend_on_the_size_of_a_block(spark):
+    texts, items = cases(5)
+    passages = [" ".join(f"p{k}w{i}" for i in range(6)) for k in range(10)]
+    covered = " tail ".join(passages)
+    nested = " ".join(["p0w0 p0w1 p0w2", passages[1], "p0w3 p0w4 p0w5"])
+    texts = [*texts, covered, nested + " and twelve more words of which no item has any at all, so it stays", None]
+    items = [(k, t) for k, t in items if len(words(t)) >= 5] + [(200 + k, p) for k, p in enumerate(passages)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, texts, extra=True)
+    once, several = (sorted(map(tuple, op.decontaminate(docs, bench, 5, 0.8, block_words=n).collect()), key=lambda r: r[0]) for n in (op.BLOCK_WORDS, 6))
+    assert once == several
+    left = {r[0]: r[1] for r in several}
+    assert len(texts) - 3 not in left and "p0" not in left[len(texts) - 2] and left[len(texts) - 1] is None
