@@ -244,7 +244,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAM
     found = common.materialize(found, "suspicious")
     words = []
     for marked in (True, False):
-        for r in found.where(F.col("marked") == marked).orderBy("h", "tags", "features").limit(sample_words // 2).collect():
+        # copies of a word in the same surroundings teach nothing new, and must not use up the sample
+        for r in found.where(F.col("marked") == marked).select("h", "tags", "features").distinct().orderBy("h", "tags", "features").limit(sample_words // 2).collect():
             words.append(([f.split("\t") for f in r.features.split("\n")], [int(t) for t in r.tags]))
     if not words:
         return None

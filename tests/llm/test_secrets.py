@@ -89,3 +89,11 @@ def test_promising_misses_nothing():
 def test_an_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert op.fit(none) is None and op.scan_secrets(none, None).count() == 0
+
+
+def test_copies_do_not_use_up_the_training_sample(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(op.Field, "train", lambda self, words: taken.extend(words))
+    rows = ["password: Zk39fjQ0aLmP7"] * 50 + [f"password: Qw{i}rTz84Lm0x{i}Pq" for i in range(3)]
+    op.fit(documents(spark, rows), sample_words=40)
+    assert len(taken) == 4
