@@ -1,70 +1,79 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions alone.
 
-Only lines with a word count as lines here.  A window is a run of consecutive lines, the shortest from its first line on that has
-``LEAST_WORDS`` words.  Of the line hashes of a window the least is its fingerprint (the last of equals), so that any run of
-lines of so many words that occurs twice has a window, and with it a fingerprint, in common.  The positions of equal
-fingerprints of equal windows are joined to the first of them in document order; matched windows of a document that touch are
-one stretch, which is extended line by line both ways along the first copies that its outermost windows match; and the
-stretch, the later copy, is deleted.  Every line deleted equals an earlier line, so the first copy of a line always stays.
-
-How it scales: lines are reduced to hashes at the scan.  Positions join only the first position of their window (one row
-a window after a group-by with partial aggregation), never each other, and only the outermost windows of a stretch meet
-the line hashes of the two documents.  Texts are read again with the stretches to delete beside them; they move only if
-there are more than ``FEW`` such documents.
+Only lines with a word count as lines here.  A unit is a run of consecutive lines, the shortest from its first line on that has
+``LEAST_WORDS`` words; its hash is taken over the hashes of its lines.  Of the units that lie within ``SURE_WORDS`` words from some
+line on, those of the least hash are selected as fingerprints: any run of lines of so many words that occurs twice has a
+fingerprint in common, while most units are not selected.  Positions of a fingerprint are joined to the first of them in
+document order, verified by the line hashes, and extended line by line both ways along that first copy; stretches that
+touch are one; and they, the later copies, are deleted.  Every line deleted equals an earlier line, so the first copy of a line
+always stays.
+
+How it scales: lines are reduced to hashes at the scan.  Positions join only the first position of their fingerprint (one row
+a fingerprint after a group-by with partial aggregation), never each other.  A position carries the hashes of the lines up to
+``SURE_WORDS`` words before and after it, and is extended along these: a longer common run holds another fingerprint there, which is
+extended in its turn.  So no row meets a whole other text, however long it is or often copied.  Texts are read again with the
+stretches to delete beside them; they move only if there are more than ``FEW`` such documents.
 
 Defined results: lines are split at \\n; words are runs of characters other than \\x20 and \\x09-\\x0D; null and empty texts and
-texts of fewer words than a window stay as they are; rows of equal id and text share one result (a copy under the same id isn't
+texts of fewer words than a unit stay as they are; rows of equal id and text share one result (a copy under the same id isn't
 an earlier document); documents come in the order of their id (null first), of equal ids in the order of their text's hash;
-lines without a word between the lines of a stretch go with it; a text all of whose lines go becomes empty; other columns
+units of equal, least hash are all selected; repeated runs of at least SURE_WORDS words are found without fail, those of fewer than
+LEAST_WORDS stay; lines without a word between the lines of a stretch go with it; a text all of whose lines go becomes empty; other columns
 pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import common
 
-#: Words of a window: repeated runs of at least so many words are found without fail, and shorter ones stay.
+#: Words of a unit: repeated runs of fewer words stay.
 LEAST_WORDS = 30
+#: Repeated runs of so many words are found without fail.
+SURE_WORDS = 50
 #: Documents with lines to delete whose keys may be broadcast.
 FEW = 100_000
 
 
 NULL_ID = -(2**63)
+WORD = r"[^\x20\x09-\x0D]"
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str):
+def _keyed(doc_id: str, text: str):
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), F.xxhash64(text)
 
 
+def number(text: Column) -> Column:
+    """The first 60 bits of the MD5 sum of a text."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def line_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per distinct (id, text): k (the id), r (hash of the text) and its lines with a word: place among all lines, hash, words."""
-    k, r = _keyed(docs, doc_id, text)
+    """Per line with a word of each distinct (id, text): k (the id), r (hash of the text), i (its number), h, and words before it."""
+    k, r = _keyed(doc_id, text)
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    line = lambda x, i: F.struct(i.alias("place"), F.xxhash64(x).alias("h"), F.size(F.regexp_extract_all(x, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    line = lambda x: F.struct(number(x).alias("h"), F.size(F.regexp_extract_all(x, F.lit(WORD + "+"), F.lit(0))).alias("w"))
     rows = docs.select(k.alias("k"), r.alias("r"), F.filter(F.transform(lines, line), lambda x: x["w"] > 0).alias("lines"))
-    return rows.dropDuplicates(["k", "r"])
-
-
-def windows(lines: DataFrame, least_words: int) -> DataFrame:
-    """All windows: k, r, first and last line (from 0), fingerprint f, its position p, and a hash of the window's lines."""
-    line = lines.select("k", "r", F.posexplode("lines").alias("i", "line")).select("k", "r", "i", "line.h", F.col("line.w").cast("long").alias("w"))
+    line = rows.dropDuplicates(["k", "r"]).select("k", "r", F.posexplode("lines").alias("i", "line")).select("k", "r", "i", "line.h", F.col("line.w").cast("long").alias("w"))
     document = Window.partitionBy("k", "r").orderBy("i")
-    line = line.withColumn("before", F.coalesce(F.sum("w").over(document.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ahead = Window.partitionBy("k", "r").orderBy("before").rangeBetween(0, least_words - 1)
-    line = line.withColumn("words", F.sum("w").over(ahead)).withColumn("own", F.collect_list("h").over(ahead)).where(F.col("words") >= least_words)
-    n = F.size("own")
-    return line.select("k", "r", "i", (F.col("i") + n - 1).alias("e"), F.array_min("own").alias("f"), (F.col("i") + n - F.array_position(F.reverse("own"), F.array_min("own"))).cast("int").alias("p"), F.xxhash64("own").alias("window"))
+    return line.withColumn("before", F.coalesce(F.sum("w").over(document.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """Windows that occur earlier: k, r, i, e and the place of the first copy (sk, sr, si, se)."""
-    first = found.groupBy("f", "window").agg(F.min(F.struct("k", "r", "p", "i", "e")).alias("s"), F.count("*").alias("n")).where("n > 1").select("f", "window", "s")
-    again = found.join(first, ["f", "window"]).where(~F.struct("k", "r", "p").eqNullSafe(F.struct("s.k", "s.r", "s.p")))
-    return again.select("k", "r", "i", "e", F.col("s.k").alias("sk"), F.col("s.r").alias("sr"), F.col("s.i").alias("si"), F.col("s.e").alias("se"))
+def units(lines: DataFrame, least_words: int, sure_words: int) -> DataFrame:
+    """All units: k, r, first line i, n lines, hash f, whether it is selected; and hashes of the lines from i on and (backwards) before it."""
+    words = Window.partitionBy("k", "r").orderBy("before")
+    own, wide = words.rangeBetween(0, least_words - 1), words.rangeBetween(0, least_words + sure_words - 1)
+    unit = lines.select("k", "r", "i", "before", F.count("*").over(own).cast("int").alias("n"), F.sum("w").over(own).alias("words"), F.collect_list("h").over(wide).alias("ahead"), F.collect_list("h").over(words.rangeBetween(-sure_words, -1)).alias("back"))
+    f = F.when(F.col("words") >= least_words, number(F.array_join(F.slice("ahead", F.lit(1), F.col("n")).cast("array<string>"), ",")))
+    unit = unit.withColumn("f", f)
+    # a unit is selected if it is the least from some line on whose SURE_WORDS words hold it
+    room = sure_words - least_words
+    unit = unit.withColumn("least", F.min("f").over(words.rangeBetween(0, room)))
+    unit = unit.withColumn("selected", F.max("least").over(words.rangeBetween(-room, 0)) == F.col("f"))
+    return unit.where(F.col("f").isNotNull()).select("k", "r", "i", "n", "f", "selected", "ahead", F.reverse("back").alias("back"))
 
 
 def _same(x, y):
@@ -73,40 +82,41 @@ def _same(x, y):
     return F.when(differs > 0, differs - 1).otherwise(F.least(F.size(x), F.size(y))).cast("int")
 
 
-def stretches(lines: DataFrame, least_words: int) -> DataFrame:
-    """k, r and the stretches to delete, as pairs of places among all lines of the text."""
-    lines = common.materialize(lines, "line-hashes")
-    found = common.materialize(matches(windows(lines, least_words)), "line-matches")
-    document = Window.partitionBy("k", "r").orderBy("i", "e")
-    apart = F.col("i") > F.coalesce(F.max("e").over(document.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1
+def matches(positions: DataFrame) -> DataFrame:
+    """k, r and the first and last line (a, b) of the run around each selected position that equals one around its first copy."""
+    first = positions.groupBy("f").agg(F.min(F.struct("k", "r", "i", "ahead", "back")).alias("s"), F.count("*").alias("times")).where("times > 1")
+    again = positions.join(first, "f").where(~F.struct("k", "r", "i").eqNullSafe(F.struct("s.k", "s.r", "s.i")))
+    again = again.withColumn("on", _same(F.col("ahead"), F.col("s.ahead"))).where("on >= n")
+    return again.select("k", "r", (F.col("i") - _same(F.col("back"), F.col("s.back"))).alias("a"), (F.col("i") + F.col("on") - 1).alias("b"))
+
+
+def stretches(docs: DataFrame, least_words: int, sure_words: int, doc_id: str, text: str) -> DataFrame:
+    """k, r and the stretches to delete, as pairs of numbers of lines with a word."""
+    selected = units(line_hashes(docs, doc_id, text), least_words, sure_words).where("selected").drop("selected")
+    found = common.materialize(matches(common.materialize(selected, "fingerprints")), "line-matches").distinct()
+    document = Window.partitionBy("k", "r").orderBy("a", "b")
+    apart = F.col("a") > F.coalesce(F.max("b").over(document.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1
     placed = found.withColumn("stretch", F.sum(apart.cast("int")).over(document.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("k", "r", "stretch")
-    placed = placed.withColumn("low", F.min("i").over(whole)).withColumn("high", F.max("e").over(whole))
-    outer = placed.where((F.col("i") == F.col("low")) | (F.col("e") == F.col("high"))).distinct()
-    hashes = lines.select("k", "r", F.transform("lines", lambda x: x["h"]).alias("h"), F.transform("lines", lambda x: x["place"]).alias("place"))
-    both = outer.join(hashes, ["k", "r"]).join(hashes.select(F.col("k").alias("sk"), F.col("r").alias("sr"), F.col("h").alias("sh")), ["sk", "sr"])
-    after = lambda a, at: F.slice(a, at + 2, F.greatest(F.size(a) - at - 1, F.lit(0)))
-    until = lambda a, at: F.reverse(F.slice(a, F.lit(1), at))
-    more = F.when(F.col("e") == F.col("high"), _same(after(F.col("h"), F.col("e")), after(F.col("sh"), F.col("se")))).otherwise(0)
-    less = F.when(F.col("i") == F.col("low"), _same(until(F.col("h"), F.col("i")), until(F.col("sh"), F.col("si")))).otherwise(0)
-    grown = both.select("k", "r", "place", F.greatest(F.col("low") - less, F.lit(0)).alias("a"), (F.col("high") + more).alias("b"), "low", "high")
-    grown = grown.groupBy("k", "r", "low", "high").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.any_value("place").alias("place"))
-    at = lambda c: F.element_at("place", (F.col(c) + 1).cast("int"))
-    return grown.groupBy("k", "r").agg(F.collect_list(F.struct(at("a").alias("a"), at("b").alias("b"))).alias("stretches"))
-
-
-def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    whole = placed.groupBy("k", "r", "stretch").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return whole.groupBy("k", "r").agg(F.collect_list(F.struct("a", "b")).alias("stretches"))
+
+
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, sure_words: int = SURE_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with all its columns, later copies of repeated runs of lines deleted from the text."""
     with common.scratch(docs.sparkSession):
-        gone = common.materialize(stretches(line_hashes(docs, doc_id, text), least_words), "line-stretches", keep=True)
-    gone = gone.select(F.col("k").alias("_gone_k"), F.col("r").alias("_gone_r"), F.col("stretches").alias("_gone"))
+        gone = common.materialize(stretches(docs, least_words, sure_words, doc_id, text), "line-stretches", keep=True)
     few = F.broadcast(gone) if gone.count() <= FEW else gone
-    k, r = _keyed(docs, doc_id, text)
-    joined = docs.join(few, (k == F.col("_gone_k")) & (r == F.col("_gone_r")), "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists("_gone", lambda s: i.between(s["a"], s["b"])))
-    short = F.array_join(kept, "\n")
-    clean = F.when(F.col("_gone").isNull(), F.col(text)).when(short.rlike(r"[^\x20\x09-\x0D]"), short).otherwise("")
-    return joined.select(*(clean.alias(c) if c == text else docs[c] for c in docs.columns))
+    k, r = _keyed(doc_id, text)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), k.alias("row_k"), r.alias("row_r"))
+    joined = rows.join(few, (F.col("row_k") == F.col("k")) & (F.col("row_r") == F.col("r")), "left")
+    lines = F.split("text", "\n", -1)
+    places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
+    at = lambda x: F.element_at(places, (x + 1).cast("int"))
+    spans = F.transform("stretches", lambda s: F.struct(at(s["a"]).alias("a"), at(s["b"]).alias("b")))
+    short = F.array_join(F.filter(F.col("cut.lines"), lambda x, i: ~F.exists("cut.spans", lambda s: i.between(s["a"], s["b"]))), "\n")
+    joined = joined.withColumn("cut", F.when(F.col("stretches").isNotNull(), F.struct(lines.alias("lines"), spans.alias("spans")))).withColumn("short", short)
+    clean = F.when(F.col("cut").isNull(), F.col("text")).when(F.col("short").rlike(WORD), F.col("short")).otherwise("")
+    return joined.select(*(clean.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,46 +128,46 @@ ORACLE_SQL = r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents
 ), line AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i FROM (
-    SELECT doc_id, line, place, len(regexp_extract_all(line, '[^ 	-
-]+')) AS w FROM split)
+  SELECT *, substr(md5(line), 1, 15) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i FROM (
+    SELECT doc_id, line, place, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM split)
   WHERE w > 0
 ), summed AS (
-  SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM line
-), win AS (
-  SELECT doc_id, i, i + len(own) - 1 AS e, own FROM (
-    SELECT doc_id, i, sum(w) OVER ahead AS words, list(line) OVER ahead AS own FROM summed
-    WINDOW ahead AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING))
-  WHERE words >= 30
+  SELECT *, CAST(('0x' || x) AS BIGINT) AS h, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM line
+), framed AS (
+  SELECT doc_id, i, before, count(*) OVER own AS n, sum(w) OVER own AS words, list(h) OVER wide AS ahead, coalesce(list_reverse(list(h) OVER prior), []) AS back FROM summed
+  WINDOW own AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING),
+         wide AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 79 FOLLOWING),
+         prior AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN 50 PRECEDING AND 1 PRECEDING)
+), unit AS (
+  SELECT *, CASE WHEN words >= 30 THEN substr(md5(array_to_string(ahead[1:n], ',')), 1, 15) END AS f FROM framed
+), winnowed AS (
+  SELECT *, min(f) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 20 FOLLOWING) AS least FROM unit
+), marked AS (
+  SELECT *, max(least) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN 20 PRECEDING AND CURRENT ROW) = f AS selected FROM winnowed
 ), ranked AS (
-  SELECT *, first_value(doc_id) OVER o AS sd, first_value(i) OVER o AS si, first_value(e) OVER o AS se, row_number() OVER o AS n
-  FROM win WINDOW o AS (PARTITION BY own ORDER BY doc_id, i)
+  SELECT *, first_value(ahead) OVER o AS sa, first_value(back) OVER o AS sb, row_number() OVER o AS copy
+  FROM marked WHERE selected WINDOW o AS (PARTITION BY f ORDER BY doc_id, i)
 ), match AS (
-  SELECT doc_id, i, e, sd, si, se FROM ranked WHERE n > 1
-), cut AS (
-  SELECT *, sum(CASE WHEN i > prev + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i, e ROWS UNBOUNDED PRECEDING) AS stretch FROM (
-    SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY i, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -2) AS prev FROM match)
-), placed AS (
-  SELECT *, min(i) OVER (PARTITION BY doc_id, stretch) AS low, max(e) OVER (PARTITION BY doc_id, stretch) AS high FROM cut
-), lists AS (
-  SELECT doc_id, list(line ORDER BY i) AS h, list(place ORDER BY i) AS place FROM line GROUP BY doc_id
-), grown AS (
-  SELECT p.doc_id, low, high, d.place,
-         CASE WHEN i = low THEN low - coalesce(list_position(list_transform(range(least(i, si)), lambda t: d.h[i - t] = s.h[si - t]), false) - 1, least(i, si)) ELSE low END AS a,
-         CASE WHEN e = high THEN high + coalesce(list_position(list_transform(range(least(len(d.h) - e, len(s.h) - se) - 1), lambda t: d.h[e + 2 + t] = s.h[se + 2 + t]), false) - 1,
-                                                 least(len(d.h) - e, len(s.h) - se) - 1) ELSE high END AS b
-  FROM placed p JOIN lists d ON d.doc_id = p.doc_id JOIN lists s ON s.doc_id = p.sd WHERE i = low OR e = high
-), stretches AS (
-  SELECT doc_id, any_value(place)[min(a) + 1] AS a, any_value(place)[max(b) + 1] AS b FROM grown GROUP BY doc_id, low, high
+  SELECT doc_id, i, n, i - coalesce(list_position(list_transform(range(least(len(back), len(sb))), lambda t: back[t + 1] = sb[t + 1]), false) - 1, least(len(back), len(sb))) AS a,
+         i + coalesce(list_position(list_transform(range(least(len(ahead), len(sa))), lambda t: ahead[t + 1] = sa[t + 1]), false) - 1, least(len(ahead), len(sa))) - 1 AS b
+  FROM ranked WHERE copy > 1
+), ranges AS (
+  SELECT DISTINCT m.doc_id, x.place AS a, y.place AS b FROM match m JOIN line x ON x.doc_id = m.doc_id AND x.i = m.a JOIN line y ON y.doc_id = m.doc_id AND y.i = m.b WHERE m.b - m.i + 1 >= m.n
+), touched AS (
+  SELECT DISTINCT doc_id FROM ranges
+), islands AS (
+  SELECT doc_id, i, max(b) AS b, min(a) AS a FROM (
+    SELECT m.doc_id, m.a, m.b, sum(CASE WHEN m.a > m.prev + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM (
+      SELECT doc_id, a, b, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -2) AS prev FROM match WHERE b - i + 1 >= n) m)
+  GROUP BY doc_id, i
 ), gone AS (
-  SELECT DISTINCT s.doc_id, s.place FROM split s JOIN stretches t ON t.doc_id = s.doc_id AND s.place BETWEEN t.a AND t.b
+  SELECT DISTINCT s.doc_id, s.place FROM islands t JOIN line x ON x.doc_id = t.doc_id AND x.i = t.a JOIN line y ON y.doc_id = t.doc_id AND y.i = t.b
+  JOIN split s ON s.doc_id = t.doc_id AND s.place BETWEEN x.place AND y.place
 ), kept AS (
   SELECT s.doc_id, string_agg(line, chr(10) ORDER BY s.place) AS short FROM split s ANTI JOIN gone g ON g.doc_id = s.doc_id AND g.place = s.place GROUP BY s.doc_id
 ), cleaned AS (
-  SELECT d.doc_id, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM stretches) THEN text
-                        WHEN regexp_matches(coalesce(short, ''), '[^ 	-
-]') THEN short ELSE '' END AS text
-  FROM documents d LEFT JOIN kept USING (doc_id)
+  SELECT d.doc_id, CASE WHEN t.doc_id IS NULL THEN text WHEN regexp_matches(coalesce(short, ''), '[^\x20\x09-\x0D]') THEN short ELSE '' END AS text
+  FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN touched t USING (doc_id)
 )
 SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, CAST(length(text) AS BIGINT) AS n_chars FROM cleaned
 """
