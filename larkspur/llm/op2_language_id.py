@@ -4,9 +4,10 @@ Features are hashed byte n-grams of the lower-cased text (one to three bytes), a
 support vector machine is trained for each pair of families, and for each pair of languages within a family; at either level
 the class that wins most pairs is taken, ties going to the larger sum of margins.
 
-Training sees about ``SAMPLE`` labelled rows of each language, chosen by a hash of their id (fewer if there are fewer),
-and at most ``LANGUAGES`` languages, the most frequent ones.  Each machine is trained in a task of its own on such rows
-alone.  Prediction is one pass over the whole texts without a shuffle.
+Training sees about ``SAMPLE`` distinct labelled rows of each language, chosen by a hash of their id and text (fewer if there
+are fewer); all languages are learned.  Each machine is trained in a task of its own on such rows alone; a row goes to at most ``COPIES``
+machines of a level, so that with very many classes each machine sees fewer rows of a class and the shuffle stays linear in the
+languages.  Prediction is one pass over the whole texts without a shuffle.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without labelled rows so is every text;
 with one language only, that is predicted with score 1; repeated rows give a row each; other columns are not read.
@@ -14,19 +15,21 @@ with one language only, that is predicted with score 1; repeated rows give a row
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import common
 
-#: Labelled rows of a language that training sees, about; languages that are learned, at most.
-SAMPLE, LANGUAGES = 1000, 500
+#: Labelled rows of a language that training sees, about; machines of a level that a row is sent to, at most.
+SAMPLE, COPIES = 1000, 64
 #: Classes of n-gram hashes, and the longest n-gram in bytes.
 CLASSES, LONGEST = 2048, 3
 #: Texts whose features are held at a time.
@@ -152,10 +155,11 @@ class Classifier:
         return out, score
 
 
-def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, languages: int = LANGUAGES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Classifier | None:
+def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, copies: int = COPIES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Classifier | None:
     """Train on rows where ``learn`` holds and the language is known; None if there are none."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    # one row a language; the count is of distinct rows, so that copies don't use up the sample
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("count")).collect()
     if not counted:
         return None
     langs = sorted(r.lang for r in counted)
@@ -173,13 +177,24 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, languages: int = L
         return Classifier(langs, {})
     share = {r.lang: min(1.0, sample / r["count"]) for r in counted}
     picked = F.create_map(*(x for g in langs for x in (F.lit(g), F.lit(int(share[g] * 1_000_000)))))[F.col("lang")]
-    picked = rows.where(picked.isNotNull() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < picked))
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < picked).withColumn("h", F.xxhash64("text", "doc_id")).dropDuplicates(["doc_id", "h"]).drop("h")
+
+    def chosen(own: list[tuple[str, str, str, int]], x: np.ndarray) -> list[tuple[str, str, str, int]]:
+        """The machines that a row goes to: of each level all, or as many as copies allow, at random by the row itself."""
+        if len(own) <= copies:
+            return own
+        out = []
+        for level in dict.fromkeys(m[0] for m in own):
+            these = [m for m in own if m[0] == level]
+            some = np.random.default_rng(zlib.crc32(x.tobytes())).choice(len(these), min(copies, len(these)), replace=False)
+            out += [these[k] for k in sorted(some)]
+        return out
 
     def spread(batches):
         for part in common.slices(batches):
             own = part.column(2).to_pylist()
             for a, x in _featured(part, 1):
-                out = [(i, *m) for i in range(len(x)) for m in models[own[a + i]]]
+                out = [(i, *m) for i in range(len(x)) for m in chosen(models[own[a + i]], x[i])]
                 if out:
                     columns = [pa.array([o[k] for o in out]) for k in (1, 2, 3)]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array([o[4] for o in out], pa.int32()), pa.array([x[o[0]].astype(np.float16).tobytes() for o in out])], ["level", "a", "b", "side", "x"])
@@ -223,17 +238,28 @@ def predict_languages(docs: DataFrame, classifier: Classifier | None, extra: tup
     return rows.mapInArrow(run, "doc_id long, row_hash long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, classifier: Classifier | None, least_score: float) -> DataFrame:
-    """docs with all its columns, without rows whose language is undetermined or whose score is below least_score."""
+def keep_identified(docs: DataFrame, classifier: Classifier | None, least_score: float = 0.0, text: str = "text", lang: str | None = None) -> DataFrame:
+    """docs with all its columns, without rows whose language is undetermined or whose score is below least_score.
+
+    With lang, that column gets the predicted language where it is null.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
-    place = docs.columns.index("text")
+    place, filled = docs.columns.index(text), docs.columns.index(lang) if lang else None
 
     def run(batches):
         model = shared.value
-        for part in common.slices(batches):
-            scores = [model.predict(x)[1] for _, x in _featured(part, place)] if model is not None else [np.ones(part.num_rows)]
+        for part in common.slices(batches, text):
+            found, scores = [], []
+            for _, x in _featured(part, place) if model is not None else ():
+                langs, score = model.predict(x)
+                found += langs
+                scores.append(score)
             lettered = np.array([bool(t and _LETTER.search(t)) for t in part.column(place).to_pylist()])
-            yield part.filter(pa.array(lettered & (np.concatenate(scores) >= least_score)))
+            keep = lettered & (np.concatenate(scores) >= least_score) if scores else lettered
+            if filled is not None and found:
+                own = part.column(filled)
+                part = part.set_column(filled, part.schema.field(filled), pc.coalesce(own, pa.array(found, own.type)))
+            yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 

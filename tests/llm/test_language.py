@@ -61,6 +61,66 @@ def test_machine_separates():
     assert np.mean(np.sign(x @ op.train_machine(x, y)) == y) > 0.95
 
 
+def test_features_equal_brute_force():
+    import pyarrow as pa
+
+    texts = ["Abc abD", "", "naïve", "x"]
+    got = op.features(*common.text_bytes(pa.array(texts)))
+    for row, text in zip(got, texts):
+        raw, total = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode()), np.zeros(op.CLASSES)
+        for k in range(1, op.LONGEST + 1):
+            for i in range(len(raw) - k + 1):
+                code = int.from_bytes(raw[i : i + k], "big") + k
+                total[(code * 2654435761 % 2**32) >> (32 - op.CLASSES.bit_length() + 1)] += 1
+        want = np.sqrt(total) / max(np.sqrt(total.sum()), 1e-12)
+        assert np.allclose(row[:-1], want, atol=1e-6) and row[-1] == 1
+
+
+def test_votes_and_ties_equal_brute_force():
+    rng = np.random.default_rng(4)
+    langs = ["en", "de", "nl", "fr", "es", "ru", "xx"]
+    families = op.by_family(langs)
+    level = {"": sorted(families), **{f: own for f, own in families.items() if len(own) > 1}}
+    pairs = lambda own: [(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
+    machines = {k: {p: rng.normal(size=4) for p in pairs(own)} for k, own in level.items()}
+    model = op.Classifier(langs, machines)
+    x = rng.normal(size=(200, 4)).astype(np.float32)
+    found, score = model.predict(x)
+
+    def pick(k, row):
+        own = {c: [] for c in level[k]}
+        for (a, b), w in machines[k].items():
+            own[a].append(float(row @ w))
+            own[b].append(-float(row @ w))
+        best = max(level[k], key=lambda c: (sum(m > 0 for m in own[c]), sum(own[c])))
+        return best, np.mean([1 / (1 + np.exp(-2 * m)) for m in own[best]])
+
+    for row, lang, s in zip(x, found, score):
+        family, sure = pick("", row)
+        want = families[family][0]
+        if len(families[family]) > 1:
+            want, more = pick(family, row)
+            sure *= more
+        assert lang == want and abs(s - sure) < 1e-4
+
+
+def test_many_languages_are_all_learned_and_rows_have_few_copies(spark):
+    rng = random.Random(9)
+    own = [f"l{k:02d}" for k in range(20)]
+    docs = documents(spark, [" ".join(f"{g}{rng.randrange(5)}" for _ in range(20)) for g in own for _ in range(12)], [g for g in own for _ in range(12)])
+    classifier = op.fit(docs.union(docs.limit(5)), F.lit(True), copies=6)
+    assert len(classifier.families) == 20
+    found = op.predict_languages(docs, classifier).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
+
+
+def test_missing_languages_are_filled_in(spark):
+    docs, langs = table(spark, 80)
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 4 > 0, F.col("lang")))
+    kept = {r.doc_id: r.lang for r in op.keep_identified(some, op.fit(some, F.lit(True)), lang="lang").collect()}
+    assert all(kept[i] == g for i, g in enumerate(langs) if i % 4) and np.mean([kept[i] == g for i, g in enumerate(langs)]) > 0.9
+
+
 def test_filter_keeps_all_columns(spark):
     docs, _ = table(spark, 60)
     both = docs.unionByName(documents(spark, [None, "", "12"], extra=True).withColumn("doc_id", F.col("doc_id") + 1000))
