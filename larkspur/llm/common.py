@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a worker turns into numpy arrays at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,8 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+#: Tables to delete at the end of each open ``scratch`` of a thread.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
@@ -47,8 +49,8 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     or ``drop`` removes.
     """
     path = scratch_path(df.sparkSession, tag)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    if _scopes.get() and not keep:
+        _scopes.get()[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -63,11 +65,13 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables that are materialised inside, but for kept ones, are deleted at the end; nothing lazy may read them later."""
-    _scopes.append([])
+    own: list[str] = []
+    outer = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        drop(spark, _scopes.pop())
+        _scopes.reset(outer)
+        drop(spark, own)
 
 
 def bucket(doc_id: Column, n: int) -> Column:

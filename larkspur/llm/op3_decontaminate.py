@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,8 @@ from larkspur.llm import common
 
 #: Words of a window.
 WINDOW = 10
-#: Item words that one automaton takes in; about 100 MB at most in a worker.
-BLOCK_WORDS = 200_000
+#: Item words that one automaton takes in; about 100 MB in a worker.
+BLOCK_WORDS = 500_000
 #: A document of which more than this share is hit goes as a whole; of others the hit spans go.
 MAX_COVERAGE = 0.8
 #: Hit spans of fewer words than this stay; a window is the shortest there is, unless an item is shorter.
@@ -45,57 +46,94 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the items that each window and each short item belongs to."""
+    """Suffix automaton of several word sequences, with the items that each window and each short item belongs to.
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    Words are numbers here, and states lie in plain arrays: nearly all have one follower, which is kept beside them; the followers of
+    others, as far as there are more, are in ``more``.
+    """
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.vocabulary: set[bytes] = set()
-        for _, words in items:
+        self.word, self.to, self.more = array("i", [-1]), array("i", [-1]), {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.vocabulary: dict[bytes, int] = {}
+        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary))
+        sequences = [array("i", [number(w) for w in words]) for _, words in items]
+        for own in sequences:
             last = 0
-            for w in words:
+            for w in own:
                 last = self._extend(last, w)
-            self.vocabulary.update(words)
-        self.windows: dict[int, set[int]] = {}
+        self.items = [item for item, _ in items]
+        #: The item of a state that stands for a window; where there are several, -2 - k for the k-th of ``shared``.
+        self.owner = array("i", [-1]) * len(self.link)
+        self.shared: list[tuple[int, ...]] = []
         self.shorts: dict[int, list[tuple[int, int]]] = {}
-        for item, words in items:
+        for item, own in enumerate(sequences):
             state = 0
-            for k, w in enumerate(words, 1):
-                state = self.next[state][w]
+            for k, w in enumerate(own, 1):
+                state = self.step(state, w)
                 if k >= window:
-                    self.windows.setdefault(self._at_window(state), set()).add(item)
-            if 0 < len(words) < window:
-                self.shorts.setdefault(state, []).append((len(words), item))
-        self.least = min((min(len(w), window) for _, w in items if w), default=window)
-
-    def _extend(self, last: int, w: bytes) -> int:
-        if w in self.next[last]:
-            there = self.next[last][w]
+                    self._own(self._at_window(state), item)
+            if 0 < len(own) < window:
+                self.shorts.setdefault(state, []).append((len(own), item))
+        self.least = min((min(len(own), window) for own in sequences if own), default=window)
+
+    def step(self, state: int, w: int) -> int:
+        """The state that follows by a word, or -1."""
+        if self.word[state] == w:
+            return self.to[state]
+        others = self.more.get(state)
+        return others.get(w, -1) if others else -1
+
+    def _put(self, state: int, w: int, to: int) -> None:
+        if self.word[state] in (-1, w):
+            self.word[state], self.to[state] = w, to
+        else:
+            self.more.setdefault(state, {})[w] = to
+
+    def _own(self, state: int, item: int) -> None:
+        held = self.owner[state]
+        if held == -1:
+            self.owner[state] = item
+        elif held <= -2:
+            if item not in self.shared[-2 - held]:
+                self.shared[-2 - held] += (item,)
+        elif held != item:
+            self.shared.append((held, item))
+            self.owner[state] = -1 - len(self.shared)
+
+    def owners(self, state: int) -> tuple[int, ...]:
+        held = self.owner[state]
+        return self.shared[-2 - held] if held <= -2 else () if held == -1 else (held,)
+
+    def _extend(self, last: int, w: int) -> int:
+        there = self.step(last, w)
+        if there >= 0:
             return there if self.length[there] == self.length[last] + 1 else self._clone(last, w, there)
-        new = self._state({}, -1, self.length[last] + 1)
+        new = self._state(-1, self.length[last] + 1)
         p = last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = new
+        while p >= 0 and (there := self.step(p, w)) < 0:
+            self._put(p, w, new)
             p = self.link[p]
         if p < 0:
             self.link[new] = 0
         else:
-            there = self.next[p][w]
             self.link[new] = there if self.length[there] == self.length[p] + 1 else self._clone(p, w, there)
         return new
 
-    def _state(self, following: dict[bytes, int], link: int, length: int) -> int:
-        self.next.append(following)
-        self.link.append(link)
-        self.length.append(length)
-        return len(self.next) - 1
+    def _state(self, link: int, length: int) -> int:
+        for values, x in ((self.word, -1), (self.to, -1), (self.link, link), (self.length, length)):
+            values.append(x)
+        return len(self.link) - 1
 
-    def _clone(self, p: int, w: bytes, there: int) -> int:
-        copy = self._state(dict(self.next[there]), self.link[there], self.length[p] + 1)
+    def _clone(self, p: int, w: int, there: int) -> int:
+        copy = self._state(self.link[there], self.length[p] + 1)
+        self.word[copy], self.to[copy] = self.word[there], self.to[there]
+        if there in self.more:
+            self.more[copy] = dict(self.more[there])
         self.link[there] = copy
-        while p >= 0 and self.next[p].get(w) == there:
-            self.next[p][w] = copy
+        while p >= 0 and self.step(p, w) == there:
+            self._put(p, w, copy)
             p = self.link[p]
         return copy
 
@@ -105,26 +143,29 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int], int]:
+    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
         """Hit spans [start, end) in words, items found, and the longest match."""
-        known = bytes(map(self.vocabulary.__contains__, words))
+        numbers = list(map(self.vocabulary.get, words))
+        known = bytes([w is not None for w in numbers])
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
         longest = 0
         for run in re.finditer(b"\x01{%d,}" % self.least, known):
             state = size = 0
             for at in range(run.start(), run.end()):
-                w = words[at]
-                while state and w not in self.next[state]:
+                w = numbers[at]
+                to = self.step(state, w)
+                while state and to < 0:
                     state = self.link[state]
                     size = self.length[state]
-                if w in self.next[state]:
-                    state, size = self.next[state][w], size + 1
+                    to = self.step(state, w)
+                if to >= 0:
+                    state, size = to, size + 1
                 longest = max(longest, size)
                 found = 0
                 if size >= self.window:
                     found = self.window
-                    items |= self.windows[self._at_window(state)]
+                    items.update(self.owners(self._at_window(state)))
                 if self.shorts:
                     up = state
                     while up > 0:
@@ -138,7 +179,7 @@ class Automaton:
                     while spans and spans[-1][1] >= begin:
                         begin = min(begin, spans.pop()[0])
                     spans.append((begin, at + 1))
-        return spans, items, longest
+        return spans, {self.items[k] for k in items}, longest
 
 
 def _automaton(block) -> Automaton:

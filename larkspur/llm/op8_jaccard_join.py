@@ -41,7 +41,7 @@ COUNTED = 3
 #: N-grams that one node in so many has at least come last in all orders; some of up to half that share do too.
 HOT_SHARE = 32
 #: N-grams that a counting task holds at a time.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Parts that the postings of a hot n-gram are dealt over.
 SALTS = 64
 #: Nodes of different groups with an n-gram in common that are compared by it; beyond that the next order decides.
