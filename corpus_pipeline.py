@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import common, op2_language_id, op3_decontaminate, op6_best_fit_packing, op7_line_dedup, op8_jaccard_join
 
-#: A document whose language is surer than this stays.
-LEAST_SCORE = 0.1
 #: Near duplicates: word shingles of five, similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,10 +23,10 @@ def _with_text(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told, with the predicted one as lang where that is missing; texts without a letter go."""
     docs = docs.select(*COLUMNS)
     classifier = op2_language_id.fit(docs, common.bucket(F.col("doc_id"), 5) != 0)
-    return op2_language_id.keep_identified(docs, classifier, LEAST_SCORE)
+    return op2_language_id.keep_identified(docs, classifier, lang="lang")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
