@@ -13,6 +13,9 @@ from pyspark.sql.types import StringType
 MARKED = "áäčďéěëíľĺňóôöőřŕšťúůüűýžàâçèêîïñûùÁÄČĎÉĚËÍĽĹŇÓÔÖŐŘŔŠŤÚŮÜŰÝŽÀÂÇÈÊÎÏÑÛÙ"
 PLAIN = "aacdeeeillnoooorrstuuuuyzaaceeiinuuAACDEEEILLNOOOORRSTUUUUYZAACEEIINUU"
 
+# Fixed value: a house number in a normalised name.
+HOUSE_NUMBER = r"\b\d+[a-z]?(\s*/\s*\d+[a-z]?)?\b"
+
 
 def collapse(text: Column) -> Column:
     """Runs of white space (no-break spaces too) as one space, none at the ends."""
@@ -42,13 +45,13 @@ def slug(text: Column) -> Column:
 
 
 def candidate_names(names: Column) -> Column:
-    """Each name, and the name without a house number at its end, normalised; in order, without repeats or blanks."""
-    own = lambda n: F.array(normalize_name(n), normalize_name(F.regexp_replace(n, r"\s+\d+[a-zA-Z]?(\s*/\s*\d+[a-zA-Z]?)?\s*$", "")))
+    """Each name, and the name without the house numbers in it, normalised; in order, without repeats or blanks."""
+    own = lambda n: F.array(normalize_name(n), collapse(F.regexp_replace(normalize_name(n), HOUSE_NUMBER, " ")))
     return F.array_distinct(F.filter(F.flatten(F.transform(names, own)), lambda n: n != ""))
 
 
 def _number(text: Column) -> Column:
-    return F.expr("try_cast(nullif(x, '') as int)") if text is None else F.nullif(text, F.lit("")).try_cast("int")
+    return F.nullif(text, F.lit("")).try_cast("int")
 
 
 def size_m2(text: Column) -> Column:
@@ -75,15 +78,18 @@ def layout_code(text: Column) -> Column:
 
 
 def split_address(text: Column) -> Column:
-    """names and district of a free-text address: parts between commas and spaced dashes; 'okres X' names the district."""
+    """names (distinct, in order) and district of a free-text address: parts between commas and spaced dashes; 'okres X' names the
+    district, the last one if there are several."""
     parts = F.filter(F.transform(F.flatten(F.transform(F.split(text, ","), lambda p: F.split(p, r"\s+[-–]\s+"))), collapse), lambda p: p != "")
     stated = lambda p: F.lower(p).startswith("okres ")
-    return F.struct(F.filter(parts, lambda p: ~stated(p)).alias("names"), F.trim(F.substring(F.try_element_at(F.filter(parts, stated), F.lit(1)), 7, 1_000)).alias("district"))
+    last = F.try_element_at(F.filter(parts, stated), F.lit(-1))
+    district = F.trim(F.substring(last, F.lit(7), F.char_length(last)))
+    return F.struct(F.array_distinct(F.filter(parts, lambda p: ~stated(p))).alias("names"), district.alias("district"))
 
 
 def capitalized(text: Column) -> Column:
     text = collapse(text)
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.char_length(text)))
 
 
 def joined(separator: str, *parts: Column) -> Column:

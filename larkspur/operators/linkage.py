@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.geo import metres
 from larkspur.functions.numbers import known
+from larkspur.operators.steps import Steps
 from larkspur.streaming import scans
 
 # Place tiers from the finest, with points, near and far in metres, and the points of a shared name.
@@ -38,13 +39,99 @@ def gps_points(metres_apart: Column, tier: Column) -> Column:
     return F.coalesce(out, F.lit(0.0))
 
 
-def name_points(shared_tier: Column, streets_disagree: Column) -> Column:
-    out = F.when(streets_disagree, float(STREETS_DISAGREE))
+def looser_tier(a: Column, b: Column) -> Column:
+    """The less exact of two place tiers; null if either is missing or none of ``TIERS``."""
+    rank = lambda t: F.array_position(F.array(*(F.lit(x) for x in TIERS)), t)
+    place = F.greatest(rank(a), rank(b))
+    both = (rank(a) > 0) & (rank(b) > 0)
+    return F.when(both, F.element_at(F.array(*(F.lit(x) for x in TIERS)), F.when(both, place).otherwise(1).cast("int")))
+
+
+def place_evidence(lat: Column, lon: Column, unit_lat: Column, unit_lon: Column, unit_kind: Column) -> Column:
+    """lat, lon and tier of a record: its own position, else that of its finest unit, else null."""
+    at = lambda y, x, t: F.struct(y.alias("lat"), x.alias("lon"), t.alias("tier"))
+    return F.when(lat.isNotNull() & lon.isNotNull(), at(lat, lon, F.lit("gps"))).when(unit_kind.isNotNull(), at(unit_lat, unit_lon, unit_kind))
+
+
+def shared_tier(a: Column, b: Column) -> Column:
+    """The most exact tier of a name that both have (arrays of name and tier), each at the looser of the two sides; null without one."""
+    rank = lambda t: F.array_position(F.array(*(F.lit(x) for x in TIERS)), t)
+    of = lambda names: F.map_from_entries(F.transform(names, lambda n: F.struct(n["name"], rank(n["tier"]))))
+    both = F.array_intersect(F.transform(a, lambda n: n["name"]), F.transform(b, lambda n: n["name"]))
+    best = F.array_min(F.transform(both, lambda n: F.greatest(F.element_at(of(a), n), F.element_at(of(b), n))))
+    return F.when(best > 0, F.element_at(F.array(*(F.lit(x) for x in TIERS)), F.greatest(best, F.lit(1)).cast("int")))
+
+
+def streets_disagree(a: Column, b: Column) -> Column:
+    """Whether both sides name streets and none in common."""
+    streets = lambda names: F.transform(F.filter(names, lambda n: n["tier"] == "street"), lambda n: n["name"])
+    return (F.size(streets(a)) > 0) & (F.size(streets(b)) > 0) & ~F.arrays_overlap(streets(a), streets(b))
+
+
+def name_points(shared_tier: Column, streets_disagree: Column, both_named: Column | None = None) -> Column:
+    """Points of the names; 0 (and no evidence) where a side has none."""
+    out = F.when(~both_named, 0.0).when(streets_disagree, float(STREETS_DISAGREE)) if both_named is not None else F.when(streets_disagree, float(STREETS_DISAGREE))
     for name, points in NAME_POINTS.items():
         out = out.when(shared_tier == name, float(points))
     return out.otherwise(float(NOTHING_SHARED))
 
 
+def score(pairs: DataFrame, estate: str, id_: str = "ord") -> DataFrame:
+    """i, j, the points of the five factors, evidence, total and band of each pair a, b.
+
+    Records have lat, lon and tier (their place's evidence, null if none), names (array of name and tier; empty if none is known),
+    has_names, layout, price, size and land.  One projection: no shuffle, no Python.
+    """
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    tier = looser_tier(a("tier"), b("tier"))
+    apart = metres(a("lat"), a("lon"), b("lat"), b("lon"))
+    named = a("has_names") & b("has_names")
+    factors = {
+        "gps": F.when(tier.isNotNull(), gps_points(apart, tier)).otherwise(0.0),
+        "shared_name": name_points(shared_tier(a("names"), b("names")), streets_disagree(a("names"), b("names")), named),
+        "layout": layout_points(a("layout"), b("layout")),
+        "price": price_points(a("price"), b("price")),
+        "size": size_points(a("size"), b("size")),
+    }
+    agrees = property_agrees(estate, *(side(c) for c in ("layout", "price", "size", "land") for side in (a, b)))
+    rows = pairs.select(a(id_).alias("i"), b(id_).alias("j"), *(v.alias(k) for k, v in factors.items()), tier.isNotNull().alias("gps_evidence"), named.alias("name_evidence"), agrees.alias("agrees"))
+    total = sum((F.col(k) for k in list(factors)[1:]), F.col("gps"))
+    return rows.withColumn("total", total).withColumn("band", band(total, F.col("gps_evidence") | F.col("name_evidence"), F.col("agrees")))
+
+
+def richer_first(a_facts: Column, b_facts: Column) -> Column:
+    """Whether the earlier record of a pair is kept: it knows as much or more."""
+    return a_facts >= b_facts
+
+
+def absorbed_sources(merged: DataFrame, records: DataFrame, id_: str = "ord", source: str = "source") -> DataFrame:
+    """keeper and the sources merged into it, each once in the order of merging, without its own.  merged: removed, keeper (the last one), seq."""
+    own = lambda c, s: records.select(F.col(id_).alias(c), F.col(source).alias(s))
+    rows = merged.join(own("removed", "_of"), "removed").join(own("keeper", "_own"), "keeper").where("_of <> _own")
+    return rows.groupBy("keeper").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_of"))), lambda x: x["_of"])).alias("sources"))
+
+
+def promoted(kept: dict[str, Column], absorbed: dict[str, Column]) -> tuple[dict[str, Column], Column]:
+    """The facts of a kept record with gaps filled from an absorbed one, and a map of where the two differ (field to the absorbed
+    value as text)."""
+    canonical = {k: F.coalesce(v, absorbed[k]) for k, v in kept.items()}
+    text = lambda c: c.cast("string")
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.when(absorbed[k].isNotNull() & (text(absorbed[k]) != text(canonical[k])), text(absorbed[k])).alias("value")) for k in kept))
+    return canonical, F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+
+def name_tiers(listings: DataFrame, places: DataFrame) -> DataFrame:
+    """id and names (array of name and tier): for each candidate name (id, names, town_norm) the coarsest kind that carries it in the
+    listing's town, or in the whole register where the town is not known."""
+    rank = F.array_position(F.array(*(F.lit(t) for t in TIERS)), F.col("kind"))
+    units = places.where(rank > 0).groupBy("name_norm", "town_norm").agg(F.max(rank).alias("rank"))
+    anywhere = units.groupBy("name_norm").agg(F.max("rank").alias("rank")).withColumn("town_norm", F.lit(None).cast("string"))
+    asked = listings.select("id", "town_norm", F.explode("names").alias("name_norm")).distinct()
+    found = asked.join(units.unionByName(anywhere), (asked["name_norm"] == units["name_norm"]) & asked["town_norm"].eqNullSafe(units["town_norm"]))
+    tier = F.element_at(F.array(*(F.lit(t) for t in TIERS)), F.col("rank").cast("int"))
+    return found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(asked["name_norm"].alias("name"), tier.alias("tier")))).alias("names"))
+
+
 def layout_points(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), 0.0).when(a == b, float(LAYOUT_SAME)).otherwise(float(LAYOUT_DIFFERENT))
 
@@ -190,15 +277,18 @@ def greedy_merge(matches: DataFrame, group: str) -> DataFrame:
 
 
 def final_keepers(merged: DataFrame, group: str) -> DataFrame:
-    """Follow keepers that are removed themselves to the last one, by doubling the step until nothing moves."""
-    current = merged
-    while True:
+    """Follow keepers that are removed themselves to the last one, by doubling the step; chains that end in a circle end after as many
+    rounds as their length has bits.  The state of each round is a table in the shared folder."""
+    steps = Steps(merged.sparkSession, "keepers")
+    current = steps.written(merged.select(group, "removed", "keeper"))
+    for _ in range(64):
         up = current.select(F.col(group).alias("_g"), F.col("removed").alias("_r"), F.col("keeper").alias("_k"))
-        moved = current.join(up, (F.col(group) == F.col("_g")) & (F.col("keeper") == F.col("_r")) & (F.col("_k") != F.col("removed")), "left")
-        current = moved.select(group, "removed", F.coalesce("_k", "keeper").alias("keeper"), F.col("_k").isNotNull().alias("_moved")).cache()
-        if not current.where("_moved").limit(1).count():
-            return current.drop("_moved")
-        current = current.drop("_moved")
+        moved = current.join(up, F.col(group).eqNullSafe(F.col("_g")) & (F.col("keeper") == F.col("_r")) & (F.col("_k") != F.col("removed")), "left")
+        moved = steps.written(moved.select(group, "removed", F.coalesce("_k", "keeper").alias("keeper"), F.col("_k").isNotNull().alias("_moved")))
+        current = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            break
+    return steps.last(current)
 
 
 def completeness(*facts: Column) -> Column:

@@ -14,17 +14,18 @@ FULL_PRICE_PER_M2, PER_POINT = 550, 2.5
 
 
 def match_score(price: Column, size: Column, land: Column, layout: Column, in_preferred_place: Column, weights: dict[str, float], preferred: dict) -> Column:
-    """Weighted score of six parts, each from 0 to 100; a part whose fact is missing is left out, the place never is.
+    """Weighted score of six parts, each from 0 to 100; a part whose fact or preferred value is missing is left out, the place never is.
 
     weights: price_per_m2, layout, size, place, land, price; preferred: layouts, size, land, price.
     """
+    value = {k: preferred.get(k) for k in ("size", "land", "price")}
     parts = {
         "price_per_m2": (price.isNotNull() & known(size), clamp((FULL_PRICE_PER_M2 - price / F.nullif(size, F.lit(0))) / PER_POINT, 0, 100)),
         "layout": (layout.isNotNull(), F.when(layout.isin(preferred.get("layouts", [])), 100.0).otherwise(0.0)),
-        "size": (known(size), F.least(F.lit(100.0), size / F.lit(float(preferred.get("size") or 1)) * 100)),
+        "size": (known(size) & F.lit(bool(value["size"])), F.least(F.lit(100.0), size / F.lit(float(value["size"] or 1)) * 100)),
         "place": (F.lit(True), F.when(F.coalesce(in_preferred_place, F.lit(False)), 100.0).otherwise(0.0)),
-        "land": (known(land), F.least(F.lit(100.0), land / F.lit(float(preferred.get("land") or 1)) * 100)),
-        "price": (known(price), clamp((2 - price / F.lit(float(preferred.get("price") or 1))) * 100, 0, 100)),
+        "land": (known(land) & F.lit(bool(value["land"])), F.least(F.lit(100.0), land / F.lit(float(value["land"] or 1)) * 100)),
+        "price": (known(price) & F.lit(bool(value["price"])), clamp((2 - price / F.lit(float(value["price"] or 1))) * 100, 0, 100)),
     }
     terms = [F.when(there, F.lit(float(weights[name])) / 100 * value).otherwise(0.0) for name, (there, value) in parts.items() if weights.get(name)]
     return half_even(reduce(Column.__add__, terms, F.lit(0.0)))

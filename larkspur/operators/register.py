@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Kinds of units from the finest.
-KINDS = ("street", "part", "quarter", "district_part", "town", "district", "region")
+KINDS = ("street", "part", "quarter", "borough", "town", "district", "region")
 LADDER = ("street", "part", "quarter", "town")
 
 
 def only(x: Column) -> Column:
-    """Aggregate: the one distinct value, or null if there are none or several."""
-    return F.when(F.count_distinct(x) == 1, F.max(x))
+    """Aggregate: the one distinct value, or null if there are none or several; one pass with partial sums."""
+    return F.when(F.min(x) == F.max(x), F.max(x))
 
 
 def hierarchy(*levels: DataFrame) -> DataFrame:
@@ -53,19 +53,6 @@ def resolve(candidates: DataFrame, id_: str) -> DataFrame:
     return single.groupBy(id_).agg(F.min_by(F.struct("kind_rank", "code", "pass"), F.struct("pass", "kind_rank")).alias("_u")).select(id_, F.col("_u.kind_rank").alias("kind_rank"), F.col("_u.code").alias("code"), F.col("_u.pass").alias("pass"))
 
 
-def passes(pool: DataFrame, id_: str, names: str, districts: str) -> DataFrame:
-    """Rows of a name pool (id, name_norm, kind_rank, code, town_norm, district_norm, names, districts, inside) with the passes
-    they may be taken in: 1 the town is named too, 2 the district is, 3 the name is of one town, 4 inside the searched place."""
-    own = F.col("name_norm")
-    vouched = F.array_contains(F.array_except(F.col(names), F.array(own)), F.col("town_norm"))
-    in_district = F.array_contains(F.array_except(F.col(districts), F.array(own)), F.col("district_norm"))
-    one_town = F.size(F.collect_set("town_norm").over(Window.partitionBy(id_, "name_norm"))) == 1
-    flags = [(1, vouched), (2, in_district), (3, F.col("_one")), (4, F.col("inside"))]
-    marked = pool.withColumn("_one", one_town)
-    taken = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in flags)))
-    return marked.withColumn("pass", F.explode(taken)).drop("_one")
-
-
 def refined(stored_rank: Column, stored_house: Column, new_rank: Column, new_house: Column) -> Column:
     """Whether a new location is more exact than the stored one: a finer unit, or as fine with a house number."""
     has = lambda h: h.isNull().cast("int")

@@ -255,7 +255,7 @@ def resolve_ladder(spark, sf_dir):
 
 @registered("SELECT c_custkey, CASE WHEN n_name = c_mktsegment OR n_name = r_name THEN concat_ws(', ', c_mktsegment, r_name) ELSE concat_ws(', ', c_mktsegment, n_name) END AS place FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
 def display_place(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return c.select("c_custkey", text.display_place(F.col("c_mktsegment"), F.col("n_name"), F.col("r_name")).alias("place"))
 
 
@@ -402,14 +402,14 @@ def completeness_keeper(spark, sf_dir):
 # -- texts and pages -------------------------------------------------------------------------------------------------
 
 
-@registered(f"SELECT doc_id, lower(translate(trim(regexp_replace(substr(text, 1, 200), '[\\s\\x{{a0}}]+', ' ', 'g')), '{text.MARKED}', '{text.PLAIN}')) AS name FROM documents")
+@registered(f"SELECT doc_id, lower(translate(trim(regexp_replace(text, '[\\s\\x{{a0}}]+', ' ', 'g')), '{text.MARKED}', '{text.PLAIN}')) AS name FROM documents")
 def normalize_names(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_name(F.substring("text", 1, 200)).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_name(F.col("text")).alias("name"))
 
 
 @registered(f"SELECT doc_id, lower(translate(trim(regexp_replace(text, '[\\s\\x{{a0}}]+', ' ', 'g')), '{text.MARKED}', '{text.PLAIN}')) AS name FROM documents")
 def normalize_texts(spark, sf_dir):
-    """normalize_names over whole texts, not their first 200 characters."""
+    """The same as normalize_names, which once read the first 200 characters of a text only."""
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_name(F.col("text")).alias("name"))
 
 
@@ -423,7 +423,7 @@ def extract_numbers(spark, sf_dir):
 
 @registered("SELECT c_custkey, c_name || '|' || n_name AS names, r_name AS district FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
 def address_split(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     parts = text.split_address(F.concat(F.col("c_name"), F.lit(" - "), F.col("n_name"), F.lit(",  okres "), F.col("r_name")))
     return c.select("c_custkey", F.array_join(parts["names"], "|").alias("names"), parts["district"].alias("district"))
 
@@ -491,3 +491,6 @@ def stream_state(spark, sf_dir):
 def _is_folder(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+from larkspur.plans import fields, places, tracking  # noqa: E402, F401  (they register their queries)

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import criteria, history, linkage, ranking, register, state
+from larkspur.functions.text import normalize_name
+from larkspur.operators import criteria, history, linkage, ranking, register, resolver, state
 from larkspur.plans import catalog
 
 T = dt.datetime(2024, 1, 1)
@@ -207,10 +208,68 @@ def test_resolver_takes_one_unit_or_none(spark):
     rows = [("a", 1, 1, 10), ("a", 1, 1, 11), ("a", 1, 2, 20), ("b", 1, 1, 5), ("b", 1, 1, 5), ("c", 2, 3, 7), ("c", 1, 1, 1), ("c", 1, 1, 2), ("d", 1, 1, 1), ("d", 1, 1, 2)]
     found = {r.id: (r["pass"], r.kind_rank, r.code) for r in register.resolve(spark.createDataFrame(rows, "id string, pass int, kind_rank int, code long"), "id").collect()}
     assert found == {"a": (1, 2, 20), "b": (1, 1, 5), "c": (2, 3, 7)}
-    pool = [("l1", "holesovice", 2, 1, "praha", None, ["holesovice", "praha"], [], False), ("l1", "holesovice", 2, 2, "rudna", "x", ["holesovice", "praha"], [], False), ("l2", "kdyne", 4, 3, "kdyne", "domazlice", ["kdyne"], ["domazlice"], None)]
-    marked = register.passes(spark.createDataFrame(pool, "id string, name_norm string, kind_rank int, code long, town_norm string, district_norm string, names array<string>, districts array<string>, inside boolean"), "id", "names", "districts")
-    assert {(r.id, r.code, r["pass"]) for r in marked.collect()} == {("l1", 1, 1), ("l2", 3, 2), ("l2", 3, 3)}
-    assert {r.id: r.code for r in register.resolve(marked, "id").collect()} == {"l1": 1, "l2": 3}
+
+
+PLACES = "kind string, code long, name string, town_code long, town string, district_code long, district string, borough_code long, region_code long"
+
+
+def small_register(spark):
+    """A capital with two boroughs, and two towns in districts; names that are shared between them."""
+    rows = [
+        ("region", 1, "R1", None, None, None, None, None, 1), ("region", 2, "R2", None, None, None, None, None, 2),
+        ("district", 5, "Domažlice", None, None, 5, "Domažlice", None, 2), ("district", 6, "Rudna", None, None, 6, "Rudna", None, 2),
+        ("town", 10, "Praha", 10, "Praha", None, None, None, 1), ("town", 11, "Rudná", 11, "Rudná", 6, "Rudna", None, 2), ("town", 12, "Kdyně", 12, "Kdyně", 5, "Domažlice", None, 2),
+        ("borough", 1, "Praha 1", 10, "Praha", None, None, 1, 1), ("borough", 7, "Praha 7", 10, "Praha", None, None, 7, 1),
+        ("quarter", 71, "Holešovice", 10, "Praha", None, None, 7, 1),
+        ("part", 100, "Holešovice", 10, "Praha", None, None, None, 1), ("part", 101, "Holešovice", 11, "Rudná", 6, "Rudna", None, 2), ("part", 102, "Kdyně", 12, "Kdyně", 5, "Domažlice", None, 2),
+        ("street", 200, "Dlouhá", 10, "Praha", None, None, None, 1), ("street", 201, "Dlouhá", 12, "Kdyně", 5, "Domažlice", None, 2), ("street", 202, "Krátká", 12, "Kdyně", 5, "Domažlice", None, 2), ("street", 203, "Holešovice", 12, "Kdyně", 5, "Domažlice", None, 2),
+    ]
+    places = spark.createDataFrame(rows, PLACES).withColumn("name_norm", normalize_name(F.col("name"))).withColumn("town_norm", normalize_name(F.col("town"))).withColumn("district_norm", normalize_name(F.col("district")))
+    pairs = lambda rows, a, b: spark.createDataFrame(rows, f"{a} long, {b} long")
+    return resolver.Register(places, pairs([(200, 71)], "street_code", "quarter_code"), pairs([(200, 100), (201, 102)], "street_code", "part_code"), pairs([(100, 71)], "part_code", "quarter_code"))
+
+
+@pytest.mark.parametrize("names, district, want", [
+    (["Holešovice", "Praha"], None, (1, None, 10, 7, 71, 100, None)),  # the town vouches, and the part lies in one quarter
+    (["Holešovice"], None, None),  # three towns have it
+    (["Holešovice"], "Rudná", (2, 6, 11, None, None, 101, None)),  # the district is named
+    (["Kdyně"], None, (2, 5, 12, None, None, None, None)),  # the part named like its town is the town
+    (["Krátká", "Nikde"], None, (2, 5, 12, None, None, None, 202)),  # a name of one town
+    (["Krátká 12/3", "Nikde"], None, (2, 5, 12, None, None, None, 202)),
+    (["Dlouhá", "Praha 7"], None, (1, None, 10, 7, 71, 100, 200)),  # the name without its number vouches for the town
+    (["Nikde"], "Domažlice", (2, 5, None, None, None, None, None)),  # the district itself
+    (["Dlouhá", "Praha"], None, (1, None, 10, 7, 71, 100, 200)),
+    ([], None, None),
+])
+def test_names_are_one_place_or_none(spark, names, district, want):
+    listings = spark.createDataFrame([(1, names, district)], "id long, names array<string>, district string")
+    found = resolver.locate(listings, small_register(spark)).drop("pass").collect()
+    assert [tuple(r)[1:] for r in found] == ([want] if want else [])
+
+
+def test_each_name_counts_for_itself_and_the_first_wins(spark):
+    listings = spark.createDataFrame([(1, ["Krátká", "Praha 1", "Kdyně"], None), (2, ["Krátká", "Rudná"], None)], "id long, names array<string>, district string")
+    register_ = small_register(spark)
+    found = {r.id: (r["pass"], r.kind, r.code) for r in resolver.resolved(resolver.readings(resolver.pool(listings, register_.places))).collect()}
+    assert found == {1: (1, "street", 202), 2: (3, "street", 202)}
+
+
+def test_one_place_of_a_name(spark):
+    places = small_register(spark).places
+    assert resolver.place_named(places, "town", "PRAHA") == ("town", 10)
+    with pytest.raises(LookupError):
+        resolver.place_named(places, "town", "Brno")
+    with pytest.raises(ValueError):
+        resolver.place_named(places, "street", "dlouha")
+
+
+def test_tiers_and_names_of_a_pair(spark):
+    names = lambda *own: F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("tier")) for n, t in own)) if own else F.array().cast("array<struct<name:string,tier:string>>")
+    a, b = names(("x", "street"), ("y", "part")), names(("y", "town"), ("x", "part"))
+    assert one(spark, linkage.shared_tier(a, b)) == "part" and one(spark, linkage.shared_tier(a, names())) is None
+    assert one(spark, linkage.streets_disagree(a, names(("z", "street")))) and not one(spark, linkage.streets_disagree(a, b))
+    assert one(spark, linkage.looser_tier(F.lit("gps"), F.lit("quarter"))) == "quarter" and one(spark, linkage.looser_tier(F.lit("gps"), F.lit("district"))) is None
+    assert one(spark, linkage.name_points(F.lit("street"), F.lit(False), F.lit(False))) == 0
 
 
 def test_search_needs_two_letters(spark):
@@ -226,6 +285,7 @@ def test_score_skips_missing_facts(spark):
     assert score(price=1, w={"price_per_m2": 100}) == 0 and score(w={"place": 50}, place=True) == 50 and score(w={"place": 50}) == 0
     assert score(size=20, w={"size": 100}, p={"size": 40}) == 50 and score(size=90, w={"size": 100}, p={"size": 40}) == 100
     assert score(price=15, w={"price": 100}, p={"price": 10}) == 50 and score(price=25, w={"price": 5}, p={"price": 16}) == 2
+    assert score(size=20, w={"size": 100}) == 0 and score(land=20, w={"land": 100}) == 0 and score(price=20, w={"price": 100}) == 0
     assert score(layout="2+1", place=True, w={"layout": 80, "place": 80}, p={"layouts": ["2+1"]}) == 160
 
 
