@@ -114,7 +114,9 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, sure_words: int
     at = lambda x: F.element_at(places, (x + 1).cast("int"))
     spans = F.transform("stretches", lambda s: F.struct(at(s["a"]).alias("a"), at(s["b"]).alias("b")))
     short = F.array_join(F.filter(F.col("cut.lines"), lambda x, i: ~F.exists("cut.spans", lambda s: i.between(s["a"], s["b"]))), "\n")
-    joined = joined.withColumn("cut", F.when(F.col("stretches").isNotNull(), F.struct(lines.alias("lines"), spans.alias("spans")))).withColumn("short", short)
+    joined = joined.withColumn("cut", F.when(F.col("stretches").isNotNull(), F.struct(lines.alias("lines"), spans.alias("spans"))))
+    # as the output of a generator, it is computed once a row, whatever is asked of the text later on
+    joined = joined.select("row", "text", "cut", F.explode(F.array(short)).alias("short"))
     clean = F.when(F.col("cut").isNull(), F.col("text")).when(F.col("short").rlike(WORD), F.col("short")).otherwise("")
     return joined.select(*(clean.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
