@@ -106,7 +106,7 @@ def last_of_run(spark, sf_dir):
 TRACKING = """(SELECT p.profile, c_custkey AS property, CAST(c_custkey * 2 AS BIGINT) AS index, CASE WHEN c_custkey % 3 > 0 THEN TIMESTAMP '2024-01-01' + c_custkey * INTERVAL 1 HOUR END AS viewed_at, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-02-01' + c_custkey * INTERVAL 1 HOUR END AS favourited_at,
   CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2024-03-01' + c_custkey * INTERVAL 1 HOUR END AS updated_at FROM customer, (VALUES ('a'), ('b')) p(profile) WHERE p.profile = 'a' OR c_custkey % 2 = 0)"""
 LISTED = "(SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'b' ELSE 'a' END AS profile, o_orderkey AS id, o_orderdate AS first_seen FROM orders)"
-PRICED = "(SELECT l_orderkey AS id, l_shipdate AS seen_at, l_orderkey * 10 + l_linenumber AS n, CAST(floor(l_extendedprice / 10000) AS BIGINT) AS price FROM lineitem)"
+PRICED = "(SELECT l_orderkey AS id, l_shipdate AS seen_at, l_orderkey * 10 + l_linenumber AS n, max(CAST(floor(l_extendedprice / 10000) AS BIGINT)) AS price FROM lineitem GROUP BY 1, 2, 3)"
 
 
 def _tracking(spark, sf_dir):
@@ -123,7 +123,7 @@ def _postings(spark, sf_dir):
 
 
 def _prices(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(L("l_orderkey").alias("id"), C("l_shipdate").alias("at"), (L("l_orderkey") * 10 + C("l_linenumber")).alias("n"), F.floor(C("l_extendedprice") / 10000).cast("long").alias("price"))
+    return table(spark, sf_dir, "lineitem").select(L("l_orderkey").alias("id"), C("l_shipdate").alias("at"), (L("l_orderkey") * 10 + C("l_linenumber")).alias("n"), F.floor(C("l_extendedprice") / 10000).cast("long").alias("price")).groupBy("id", "at", "n").agg(F.max("price").alias("price"))
 
 
 READ = f"""WITH latest AS (SELECT id, arg_max(price, (seen_at, n, price)) AS price FROM {PRICED} GROUP BY id), prev AS (SELECT l.id, l.price, arg_max(o.price, (o.seen_at, o.n, o.price)) AS previous FROM latest l LEFT JOIN {PRICED} o ON o.id = l.id AND o.price <> l.price GROUP BY 1, 2),
@@ -349,7 +349,7 @@ SCORED = f"""WITH r AS (SELECT *, CASE tier WHEN 'gps' THEN 1 WHEN 'street' THEN
     CASE WHEN NOT named THEN 0 WHEN len(sa) > 0 AND len(sb) > 0 AND len(list_intersect(sa, sb)) = 0 THEN -35 WHEN shared IS NULL THEN -8 ELSE [0, 30, 5, 5, 2][shared] END AS shared_name,
     CASE WHEN a.layout IS NULL OR b.layout IS NULL THEN 0 WHEN a.layout = b.layout THEN 15 ELSE -35 END AS layout, CASE WHEN g IS NULL THEN 0 WHEN g <= 0.10 THEN 15 * (1 - g / 0.10) ELSE -25 * least(1.0, (g - 0.10) / 0.20) END AS price,
     CASE WHEN d IS NULL THEN 0 WHEN d <= 2 THEN 10 WHEN d <= 6 THEN 10 * (1 - (d - 2) / 4.0) ELSE -15 * least(1.0, (d - 6) / 10.0) END AS size, t IS NOT NULL OR named AS evidence, coalesce(g <= 0.10, false) AND coalesce(a.layout = b.layout, false) AND coalesce(d <= 6, false) AS agrees FROM x),
-  scored AS (SELECT i, j, round(CAST(gps AS DOUBLE) + shared_name + layout + price + size, 6) AS total, evidence, agrees FROM f)"""
+  scored AS (SELECT i, j, round(CAST(gps AS DOUBLE) + shared_name + layout + price + size, 4) AS total, evidence, agrees FROM f)"""
 
 
 def _linked(spark, sf_dir):
@@ -366,7 +366,7 @@ def _linked(spark, sf_dir):
 @registered(SCORED + " SELECT i, j, total, CASE WHEN total >= 55 AND agrees THEN 'match' ELSE 'uncertain' END AS band FROM scored WHERE evidence AND total >= 30")
 def linkage_scores(spark, sf_dir):
     """All pairs of a total of 30 or more with their band, from the three blocks; the SQL looks at all pairs."""
-    return _linked(spark, sf_dir).where((C("gps_evidence") | C("name_evidence")) & (F.round("total", 6) >= 30)).select("i", "j", F.round("total", 6).alias("total"), F.when((F.round("total", 6) >= 55) & C("agrees"), "match").otherwise("uncertain").alias("band"))
+    return _linked(spark, sf_dir).where((C("gps_evidence") | C("name_evidence")) & (F.round("total", 4) >= 30)).select("i", "j", F.round("total", 4).alias("total"), F.when((F.round("total", 4) >= 55) & C("agrees"), "match").otherwise("uncertain").alias("band"))
 
 
 @registered("""WITH RECURSIVE m AS (SELECT c_custkey AS removed, c_custkey - 1 AS keeper, c_nationkey AS seq FROM customer WHERE c_custkey % 4 > 0), c AS (SELECT removed, keeper, seq FROM m UNION ALL SELECT c.removed, m.keeper, c.seq FROM c JOIN m ON m.removed = c.keeper),
