@@ -2,7 +2,9 @@
 
 Rules first: a text of fewer than 50 words, or of which more than half stands in repeated three-word windows, fails.
 Texts that pass are placed by an isolation forest over their rule statistics: trees of random splits, in which anomalous
-documents end on short paths.  The score above which a document is dropped is calibrated on all labelled rows.
+documents end on short paths.  The statistics are nine: lengths of words and lines, and shares of symbols, other signs, digits,
+upper-case letters, characters beyond ASCII, words in repeated windows and repeated lines.  The score above which a document
+is dropped is calibrated on all labelled rows.
 
 The forest is fitted on a bounded sample of labelled rows (``TREES`` x ``LEAF_ROWS``); statistics, scores and the
 calibration cover all rows.
@@ -25,6 +27,8 @@ from larkspur.llm import common
 
 #: Trees of the forest, and rows that each is grown on.
 TREES, LEAF_ROWS = 100, 256
+#: The least spread that a feature is taken to have.
+LEAST_SPREAD = 0.01
 #: Fixed values of the base rules: least words; most percent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Labelled good documents that the threshold may drop, at most, as a share.
@@ -34,10 +38,13 @@ STEPS = 2000
 #: The symbols that the rule counts.
 SYMBOLS = b"#*$%&|<>"
 
-_SYMBOL = common.byte_set(SYMBOLS)
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: What the forest sees of a document; lengths are left to the rules.
-FEATURES = ("word_length", "symbols", "symbol_share", "repeats")
+#: Other ASCII signs, upper-case letters, digits.
+SIGNS, UPPER, DIGITS = b"!\"'()+,-./:;=?@[\\]^_`{}~", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
+
+_SYMBOL, _SIGN, _UPPER, _DIGIT = (common.byte_set(b) for b in (SYMBOLS, SIGNS, UPPER, DIGITS))
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_signs", "n_wide")
+#: What the forest sees of a document; its length is left to the rules.
+FEATURES = ("word_length", "line_length", "symbols", "signs", "digits", "upper", "wide", "repeats", "dup_lines")
 
 
 def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -64,10 +71,10 @@ def _repeated(words: common.Words) -> np.ndarray:
     return _sums(np.cumsum(cover[: len(words.hash)]) > 0, words.first)
 
 
-def _dup_lines(text: bytes) -> int:
-    """Lines with a word that equal an earlier line."""
+def _lines(text: bytes) -> tuple[int, int]:
+    """Lines with a word, and those of them that equal an earlier line."""
     lines = [line for line in text.split(b"\n") if line.strip()]
-    return len(lines) - len(set(lines))
+    return len(lines), len(lines) - len(set(lines))
 
 
 def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,10 +84,11 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         for part in common.slices(batches):
             data, at = common.text_bytes(part.column(1))
             words = common.Words(data, at)
-            solid = ~common.SPACE[data] & ((data & 0xC0) != 0x80)
             raw = data.tobytes()
-            dup_lines = np.array([_dup_lines(raw[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())])
-            columns = [words.counts, _sums(solid, at), _sums(_SYMBOL[data], at), dup_lines, _repeated(words)]
+            lines, dup_lines = np.array([_lines(raw[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]).reshape(-1, 2).T
+            starts = (data & 0xC0) != 0x80
+            columns = [words.counts, _sums(~common.SPACE[data] & starts, at), _sums(_SYMBOL[data], at), dup_lines, _repeated(words), lines]
+            columns += [_sums(flags, at) for flags in (_UPPER[data], _DIGIT[data], _SIGN[data], (data >= 0xC0))]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c.astype(np.int64)) for c in columns)], ["doc_id", *COUNTS])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -89,14 +97,19 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def with_rules(counts: DataFrame) -> DataFrame:
     """base_failed, and the forest's features of each row."""
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    n, chars, lines = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
     return counts.select(
         "*",
         ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))).alias("base_failed"),
-        (F.col("word_chars") / n).alias("word_length"),
-        (F.col("n_symbols") / n).alias("symbols"),
-        (F.col("n_symbols") / (F.col("n_symbols") + n)).alias("symbol_share"),
+        F.log1p(F.col("word_chars") / n).alias("word_length"),
+        F.log1p(F.col("n_words") / lines).alias("line_length"),
+        (F.col("n_symbols") / (F.col("n_symbols") + n)).alias("symbols"),
+        (F.col("n_signs") / (F.col("n_signs") + n)).alias("signs"),
+        (F.col("n_digits") / chars).alias("digits"),
+        (F.col("n_upper") / chars).alias("upper"),
+        (F.col("n_wide") / chars).alias("wide"),
         (F.col("n_repeat_words") / n).alias("repeats"),
+        (F.col("n_dup_lines") / lines).alias("dup_lines"),
     )
 
 
@@ -105,9 +118,11 @@ def _path(n: int) -> float:
     return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator, deepest: int) -> dict[str, np.ndarray]:
+def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, scale: np.ndarray, rng: np.random.Generator, deepest: int) -> dict[str, np.ndarray]:
     """One tree over the box from low to high, as arrays: feature and threshold of each node (feature -1: a leaf),
-    children, and the path length at leaves.  A cut falls anywhere in the node's box, so that empty space ends early."""
+    children, and the path length at leaves.  A cut falls anywhere in the node's box, so that empty space ends early, and on
+    a feature with a chance that goes with the box's width there in units of scale, so that features in which nothing
+    stands out use up few cuts."""
     tree: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "right", "path")}
 
     def node(part: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
@@ -116,7 +131,8 @@ def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Gen
             tree[name].append(v)
         wide = np.flatnonzero(high > low)
         if depth < deepest and len(part) > 1 and len(wide):
-            f = int(rng.choice(wide))
+            width = (high - low)[wide] / scale[wide]
+            f = int(rng.choice(wide, p=width / width.sum()))
             cut = float(rng.uniform(low[f], high[f]))
             at = np.arange(len(low)) == f
             tree["feature"][k], tree["threshold"][k] = f, cut
@@ -136,7 +152,8 @@ def fit_forest(rows: np.ndarray, good: np.ndarray, trees: int = TREES, leaf_rows
     if not size:
         return []
     low, high, deepest = rows.min(0), rows.max(0), max(1, math.ceil(math.log2(size)))
-    return [grow(own[rng.choice(len(own), size, replace=False)], low, high, rng, deepest) for _ in range(trees)]
+    scale = np.maximum(own.std(0), LEAST_SPREAD)
+    return [grow(own[rng.choice(len(own), size, replace=False)], low, high, scale, rng, deepest) for _ in range(trees)]
 
 
 def anomaly(forest: list[dict[str, np.ndarray]], x: np.ndarray, leaf_rows: int) -> np.ndarray:
