@@ -1,13 +1,17 @@
 """Best-fit packing of documents into training sequences of several permitted lengths.
 
 A document of n tokens is cut into pieces of the largest length and a rest.  Pieces are taken by decreasing size; each goes
-into the open bin that it fills best, whatever the bin's size.  Where none has room, a bin is opened of the size that costs
-least a token among those that hold the piece and are at least a preferred size.  All preferred sizes are tried, each bin
-is at last downsized to the smallest permitted length that holds its contents, and the packing that costs least is taken.
+into the open bin that it fills best, whatever the bin's size.  Where none has room, a bin is opened of the permitted length
+that costs least a token: each length that holds the piece is filled, for a trial, with the largest of the pieces still to come
+that fit, and priced at the length that those contents would be downsized to.  Packings that open bins of at least one
+preferred length throughout are tried too, each bin is at last downsized to the smallest permitted length that holds its
+contents, and the packing that costs least is taken.
 
 Documents are dealt evenly over shards of about ``SHARD_ROWS`` rows, a task each, so that a task's work and memory do not grow
 with the input; at most the last bins of a shard are less full than they could be.  Only ids and sizes are shuffled.
 
+``sequences`` lays the token ids themselves into the bins.
+
 Defined results: a null or empty text is its end token alone; rows of equal id are packed each by itself; all pieces of a
 document are in its shard; an empty table gives no rows; other columns are not read.
 """
@@ -20,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import common
+from larkspur.llm import common, op9_token_counts
 
 #: Permitted sequence lengths in tokens.
 LENGTHS = (512, 1024, 2048, 4096)
@@ -40,14 +44,57 @@ def cost(length: int) -> float:
     return length * (1 + length / ATTENTION) + OVERHEAD
 
 
-def best_fit(sizes: list[int], lengths: tuple[int, ...], preferred: int) -> tuple[list[int], list[int], list[int]]:
-    """Bin of each size and its start there, sizes being in decreasing order; and what each bin holds."""
+class Coming:
+    """The sizes still to be packed, for the trial fillings that price an opening."""
+
+    def __init__(self, sizes: list[int], lengths: tuple[int, ...]):
+        self.lengths = sorted(lengths)
+        self.price = {c: cost(c) for c in self.lengths}
+        self.left: dict[int, int] = {}
+        self.mask = 0  # bit s: a piece of size s is still to come
+        for s in sizes:
+            self.left[s] = self.left.get(s, 0) + 1
+            self.mask |= 1 << s
+
+    def take(self, size: int) -> None:
+        self.left[size] -= 1
+        if not self.left[size]:
+            self.mask &= ~(1 << size)
+
+    def filled(self, room: int) -> int:
+        """What the largest coming pieces that fit, one after the other, fill of a room."""
+        full, mask = room, self.mask
+        while fits := mask & ((2 << room) - 1):
+            s = fits.bit_length() - 1
+            n = min(self.left[s], room // s)
+            room -= n * s
+            mask &= (1 << s) - 1
+        return full - room
+
+    def cheapest(self, size: int) -> int:
+        """The length to open for a piece: least cost a token of the trial contents, the shorter one on a tie."""
+
+        def rate(c: int) -> tuple[float, int]:
+            holds = size + self.filled(c - size)
+            return self.price[next(x for x in self.lengths if x >= holds)] / holds, c
+
+        return min(rate(c) for c in self.lengths if c >= size)[1]
+
+
+def best_fit(sizes: list[int], lengths: tuple[int, ...], preferred: int | None = None) -> tuple[list[int], list[int], list[int]]:
+    """Bin of each size and its start there, sizes being in decreasing order; and what each bin holds.
+
+    Bins are opened at the length of least cost a token by trial; with ``preferred``, of those of at least that length.
+    """
     choices = sorted(lengths, key=lambda c: (cost(c) / c, c))
     opened_for: dict[int, int] = {}
+    coming = Coming(sizes, lengths) if preferred is None else None
     bins, starts, used = [], [], []
     by_room: dict[int, list[int]] = {}
     rooms = 0  # bit r: an open bin has room r
     for size in sizes:
+        if coming:
+            coming.take(size)
         fits = rooms >> size
         if fits:
             room = size + (fits & -fits).bit_length() - 1
@@ -56,10 +103,14 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...], preferred: int) -> tupl
             if not own:
                 rooms &= ~(1 << room)
         else:
-            least = max(size, preferred)
-            if least not in opened_for:
-                opened_for[least] = next(c for c in choices if c >= least)
-            k, room = len(used), opened_for[least]
+            if coming:
+                room = coming.cheapest(size)
+            else:
+                least = max(size, preferred)
+                if least not in opened_for:
+                    opened_for[least] = next(c for c in choices if c >= least)
+                room = opened_for[least]
+            k = len(used)
             used.append(0)
         bins.append(k)
         starts.append(used[k])
@@ -78,10 +129,10 @@ def downsized(used: list[int], lengths: tuple[int, ...]) -> np.ndarray:
 
 
 def pack_sizes(sizes: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin, start and bin length of each size (in decreasing order), by the preferred size whose packing costs least."""
+    """Bin, start and bin length of each size (in decreasing order), by the way of opening bins whose packing costs least."""
     found = None
     price = {c: cost(c) for c in lengths}
-    for preferred in lengths:
+    for preferred in (None, *lengths):
         bins, starts, used = best_fit(sizes.tolist(), lengths, preferred)
         final = downsized(used, lengths)
         total = sum(price[c] * n for c, n in zip(*np.unique(final, return_counts=True)))
@@ -125,5 +176,22 @@ def pack(docs: DataFrame, n_tokens: Column, lengths: tuple[int, ...] = LENGTHS,
     return sized.repartition(shards).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
+def sequences(packed: DataFrame, tokens: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
+    """bin_id, bin_length, ids (the pieces end to end, in order of bin_start) and doc_ids of each sequence.
+
+    ``packed`` is what ``pack`` gave for the sizes of ``tokens``, which holds doc_id and ids of each document, the id being unique
+    and not null.  A bin gathers one sequence, which the longest permitted length bounds.
+    """
+    longest = max(lengths)
+    own = tokens.select(F.col("doc_id").alias("t_id"), F.col("ids").alias("t_ids"))
+    cut = packed.join(own, F.col("doc_id") == F.col("t_id")).select("bin_id", "bin_length", F.struct("bin_start", "doc_id", F.slice("t_ids", (F.col("piece") * longest + 1).cast("int"), F.col("n_tokens").cast("int")).alias("ids")).alias("part"))
+    whole = cut.groupBy("bin_id", "bin_length").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return whole.select("bin_id", "bin_length", F.flatten("parts.ids").alias("ids"), F.col("parts.doc_id").alias("doc_ids"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(common.read_table(spark, sf_dir, "documents"), word_tokens())
+    """Placement of the token counts of byte_bpe_50k.json, an end token each."""
+    import public_tokenizers
+
+    counted = op9_token_counts.count_tokens(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(counted, F.col("n_tokens") + 1)

@@ -34,11 +34,67 @@ def test_bins_equal_plain_best_fit():
             assert sorted(op.best_fit(sizes, lengths, preferred)[2]) == plain_best_fit(sizes, lengths, preferred)
 
 
+def plain_opening(sizes, lengths):
+    """Best fit by looking at all open bins, each opened by trying all lengths on the list of pieces still to come."""
+    bins, coming = [], sorted(sizes, reverse=True)
+    while coming:
+        s = coming.pop(0)
+        fits = [b for b in bins if b[0] >= s]
+        if fits:
+            b = min(fits, key=lambda b: b[0])
+        else:
+            rates = []
+            for c in lengths:
+                if c >= s:
+                    room = c - s
+                    for t in coming:
+                        room -= t if t <= room else 0
+                    holds = c - room
+                    rates.append((op.cost(min(x for x in lengths if x >= holds)) / holds, c))
+            bins.append(b := [min(rates)[1], 0])
+        b[0] -= s
+        b[1] += s
+    return sorted(b[1] for b in bins)
+
+
+def test_openings_equal_plain_trials():
+    rng = random.Random(2)
+    for _ in range(60):
+        lengths = tuple(sorted(rng.sample([8, 16, 24, 32, 64], 3)))
+        sizes = sorted((rng.randrange(1, lengths[-1] + 1) for _ in range(rng.randrange(60))), reverse=True)
+        assert sorted(op.best_fit(sizes, lengths)[2]) == plain_opening(sizes, lengths)
+
+
+def test_sequences_hold_the_ids(spark):
+    rng = random.Random(3)
+    ids = {d: [rng.randrange(1000) for _ in range(rng.choice([1, 5, 30, 64, 65, 200]))] for d in range(60)}
+    tokens = spark.createDataFrame(list(ids.items()), "doc_id long, ids array<int>")
+    packed = op.pack(tokens, F.size("ids"), (16, 32, 64), 25).cache()
+    found = {r.bin_id: r for r in op.sequences(packed, tokens, (16, 32, 64)).collect()}
+    back = defaultdict(dict)
+    for r in packed.collect():
+        assert len(found[r.bin_id].ids) <= r.bin_length
+        back[r.doc_id][r.piece] = found[r.bin_id].ids[r.bin_start : r.bin_start + r.n_tokens]
+    assert {d: sum((p[k] for k in sorted(p)), []) for d, p in back.items()} == ids
+    assert sum(len(r.ids) for r in found.values()) == sum(map(len, ids.values()))
+
+
+def test_query_packs_real_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [t for t in edge_texts() if t is None or len(t) < 50_000]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    check(op.query(spark, str(tmp_path)).collect(), want, op.LENGTHS)
+
+
 def test_the_cheapest_packing_is_taken():
     sizes = np.array(sorted(np.random.default_rng(0).integers(1, 4097, 500), reverse=True))
     bins, _, length = op.pack_sizes(sizes, op.LENGTHS)
     own = sum(op.cost(c) for c in {b: n for b, n in zip(bins.tolist(), length.tolist())}.values())
-    assert all(own <= sum(map(op.cost, op.downsized(op.best_fit(sizes.tolist(), op.LENGTHS, p)[2], op.LENGTHS))) + 1e-6 for p in op.LENGTHS)
+    assert all(own <= sum(map(op.cost, op.downsized(op.best_fit(sizes.tolist(), op.LENGTHS, p)[2], op.LENGTHS))) + 1e-6 for p in (None, *op.LENGTHS))
 
 
 def check(rows, want, lengths):
