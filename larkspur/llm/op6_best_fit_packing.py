@@ -176,6 +176,11 @@ def pack(docs: DataFrame, n_tokens: Column, lengths: tuple[int, ...] = LENGTHS,
     return sized.repartition(shards).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
+def pack_texts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``pack`` by the tokens that a tokenizer's file gives of each text, and an end token."""
+    return pack(op9_token_counts.count_tokens(docs, tokenizer, doc_id=doc_id, text=text), F.col("n_tokens") + 1)
+
+
 def sequences(packed: DataFrame, tokens: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """bin_id, bin_length, ids (the pieces end to end, in order of bin_start) and doc_ids of each sequence.
 
@@ -193,5 +198,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placement of the token counts of byte_bpe_50k.json, an end token each."""
     import public_tokenizers
 
-    counted = op9_token_counts.count_tokens(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return pack(counted, F.col("n_tokens") + 1)
+    return pack_texts(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
