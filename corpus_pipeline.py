@@ -45,8 +45,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
-    return op6_best_fit_packing.pack(docs, op6_best_fit_packing.word_tokens())
+    """Where each piece of each document goes, by its real tokens and an end token."""
+    import public_tokenizers
+
+    return op6_best_fit_packing.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
