@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -98,8 +100,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system, since Spark keeps workers for the tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def slices(batches, text: str = "text", limit: int = SLICE_BYTES):
     """Cut record batches into runs of rows of about ``limit`` text bytes; one longer text is a run of its own."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue

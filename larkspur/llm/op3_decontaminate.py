@@ -188,6 +188,7 @@ def _automaton(block) -> Automaton:
     if key not in _built:
         _built.clear()
         _built[key] = Automaton([(k, words_of(text)) for k, text in items], window)
+        common.release()
     return _built[key]
 
 
@@ -305,12 +306,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     def run(batches):
         automaton = _automaton(block)
-        for batch in batches:
-            clean = [None if t is None else remove_spans(t, automaton, max_coverage, min_span) for t in batch.column(place).to_pylist()]
-            keep = pa.array([c is not None or t is None for c, t in zip(clean, batch.column(place).to_pylist())])
-            columns = list(batch.columns)
-            columns[place] = pa.array(clean, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
+        for part in common.slices(batches, text):
+            own = part.column(place).to_pylist()
+            clean = [None if t is None else remove_spans(t, automaton, max_coverage, min_span) for t in own]
+            keep = pa.array([c is not None or t is None for c, t in zip(clean, own)])
+            columns = list(part.columns)
+            columns[place] = pa.array(clean, part.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(keep)
 
     return docs.mapInArrow(run, schema)
 

@@ -23,6 +23,9 @@ LIMIT = 1024
 #: The pre-token rule of byte-level BPE files.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+#: Bytes of pieces that a worker remembers; most are whole tokens, cheap to count again.
+REMEMBERED = 48 << 20
+
 _counters: dict[str, object] = {}
 
 
@@ -50,7 +53,7 @@ class PieceCounter:
     def __init__(self, path: str, whole: frozenset[str]):
         self.library, self.whole = pieces.Library(path), whole
         self.special = [t.content for t in self.library.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = pieces.Memo(self.count)
+        self.memo = pieces.Memo(self.count, REMEMBERED)
 
     def count(self, found: list[str]) -> list[int]:
         counts, rest, parts = [0] * len(found), {}, []

@@ -11,6 +11,7 @@ import gc
 import json
 import os
 import re
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +20,10 @@ import numpy as np
 _ADJACENT = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: Distinct pieces that a worker remembers (about 160 bytes each); beyond that it keeps those in use.
-REMEMBERED = 2_000_000
+#: Bytes of distinct pieces and their values that a worker remembers; beyond that it keeps those in use.
+REMEMBERED = 200 << 20
+#: Bytes of a slot of a dictionary, with its share of those left free.
+SLOT = 104
 #: Pieces that are handed to the library as one text.
 JOINED = 1000
 
@@ -104,7 +107,7 @@ class Library:
 
 
 class Memo:
-    """Values of pieces, computed for all unknown pieces of a batch at once and remembered up to a bound.
+    """Values of pieces, computed for all unknown pieces of a batch at once and remembered up to a bound in bytes.
 
     ``compute`` takes a list of pieces and returns a value for each.  At the bound, what the batch at hand uses is kept.
     """
@@ -113,6 +116,12 @@ class Memo:
         self.compute, self.bound = compute, bound
         self.first: dict[str, object] = {}
         self.later: dict[str, object] = {}
+        self.first_bytes = self.later_bytes = 0
+
+    @staticmethod
+    def _bytes(words, values) -> int:
+        size = sys.getsizeof
+        return SLOT * len(words) + sum(map(size, words)) + sum(map(size, values))
 
     def learn(self, texts: list[list[str]]) -> list[list]:
         """The values of the words of cut texts, in order."""
@@ -125,11 +134,12 @@ class Memo:
                 gc.enable()
 
     def _learn(self, texts: list[list[str]]) -> list[list]:
-        if len(self.first) > self.bound // 8:
-            self.first = {}
-        if len(self.later) > self.bound:
+        if self.first_bytes > self.bound // 8:
+            self.first, self.first_bytes = {}, 0
+        if self.later_bytes > self.bound:
             used = set().union(*texts)
             self.later = {w: self.later[w] for w in used & self.later.keys()}
+            self.later_bytes = self._bytes(self.later.keys(), self.later.values())
         known, again = self.later.get, []
         out = [list(map(known, words)) for words in texts]
         for words, values in zip(texts, out):
@@ -142,6 +152,8 @@ class Memo:
         found = self.compute(firsts + [" " + w for w in laters])
         self.first.update(zip(firsts, found))
         self.later.update(zip(laters, found[len(firsts) :]))
+        self.first_bytes += self._bytes(firsts, found[: len(firsts)])
+        self.later_bytes += self._bytes(laters, found[len(firsts) :])
         for words, values in again:
             values[:] = [self.later[w] if v is None else v for w, v in zip(words, values)]
         for words, values in zip(texts, out):
