@@ -21,7 +21,7 @@ _ADJACENT = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Bytes of distinct pieces and their values that a worker remembers; beyond that it keeps those in use.
-REMEMBERED = 200 << 20
+REMEMBERED = 400 << 20
 #: Bytes of a slot of a dictionary, with its share of those left free.
 SLOT = 104
 #: Pieces that are handed to the library as one text.
