@@ -19,6 +19,7 @@ MODULES = (
     "op8_jaccard_join",
     "op9_token_counts",
     "op10_secret_spans",
+    "op11_periodic_runs",
 )
 
 
