@@ -39,7 +39,7 @@ TOP = 2000
 #: Ids of a level that are sent to the tasks; positions of the others are joined.
 MOST_NAMED = 500_000
 #: Distinct words, and pairs, that a task adds up before it hands them on.
-HELD_WORDS, HELD_PAIRS = 300_000, 4_000_000
+HELD_WORDS, HELD_PAIRS = 300_000, 1_000_000
 #: Positions of a row of ids, unless a single piece is longer.
 ROW = 100_000
 #: Groups of the phrases of a language.
@@ -168,6 +168,7 @@ def name_words(rows: DataFrame, words: DataFrame, most: int) -> DataFrame:
 
 
 def _pairs(batches):
+    common.release()
     for batch in batches:
         for ids in batch.column(0):
             own = ids.values.to_numpy()
@@ -293,27 +294,27 @@ WITH piece AS (
   SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
   FROM documents
 ), gram AS (
-  SELECT lang, k, w[i + 1 : i + k] AS w FROM (SELECT lang, w, k, unnest(range(len(w) - k + 1)) AS i FROM piece CROSS JOIN range(1, 5) t(k) WHERE len(w) >= k)
+  SELECT lang, k, array_to_string(w[i + 1 : i + k], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(len(w) - k + 1)) AS i FROM piece CROSS JOIN range(1, 5) t(k) WHERE len(w) >= k)
 ), counted AS (
-  SELECT lang, k, w, count(*) AS f FROM gram GROUP BY ALL
+  SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY ALL
 ), total AS (
   SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang
 ), candidate AS (
-  SELECT * FROM counted WHERE k > 1 AND f >= 30
+  SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 30
 ), inside AS (
-  SELECT lang, w, max(f) AS longer FROM (
-    SELECT lang, f, unnest([w[i : i + j - 1] FOR j IN range(2, k) FOR i IN range(1, k - j + 2)]) AS w FROM candidate)
+  SELECT lang, array_to_string(w, ' ') AS phrase, max(f) AS longer FROM (
+    SELECT lang, f, unnest(flatten(list_transform(range(2, k), lambda j: list_transform(range(1, k - j + 2), lambda i: w[i : i + j - 1])))) AS w FROM candidate)
   GROUP BY ALL
+), parts AS (
+  SELECT *, array_to_string(w[1 : j], ' ') AS head, array_to_string(w[j + 1 : k], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM candidate)
 ), cut AS (
-  SELECT c.*, j, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidate) c
-  JOIN counted x ON x.lang = c.lang AND x.w = c.w[1 : j] JOIN counted y ON y.lang = c.lang AND y.w = c.w[j + 1 : k]
+  SELECT c.lang, c.phrase, j, c.f, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
+  FROM parts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.head JOIN counted y ON y.lang = c.lang AND y.phrase = c.tail
 ), lowest AS (
-  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, j) = 1
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
 ), ranked AS (
-  SELECT b.lang, array_to_string(b.w, ' ') AS phrase, b.f AS a, l, r, n, b.score::BIGINT AS score,
-    row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.f DESC, array_to_string(b.w, ' ')) AS rank
-  FROM lowest b JOIN total USING (lang) LEFT JOIN inside i ON i.lang = b.lang AND i.w = b.w WHERE i.w IS NULL OR 100 * i.longer < 80 * b.f
+  SELECT b.lang, b.phrase, b.f AS a, l, r, n, b.score::BIGINT AS score, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.f DESC, b.phrase) AS rank
+  FROM lowest b JOIN total USING (lang) LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.phrase IS NULL OR 100 * i.longer < 80 * b.f
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
