@@ -20,6 +20,7 @@ MODULES = (
     "op9_token_counts",
     "op10_secret_spans",
     "op11_periodic_runs",
+    "op12_license_scan",
     "op13_phrase_mining",
 )
 
