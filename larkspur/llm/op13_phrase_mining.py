@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -102,37 +103,47 @@ def _sent(ids: DataFrame, most: int) -> int:
     return 1 << (power + 1)
 
 
+class Ids(NamedTuple):
+    """A table of rows of ids, each the bytes of integers of a width."""
+
+    table: DataFrame
+    kind: str
+
+
+def _kind(n: int) -> str:
+    return "<i4" if n < 1 << 31 else "<i8"
+
+
 def _rows(parts, key: pa.DataType | None = None):
-    """Rows of ids under keys of their own; if ``key`` is given, with the places left open and the two keys of each."""
-    kinds = [pa.int64(), pa.int64(), key, key][: 4 if key else 1]
+    """Rows of ids, as bytes, under keys of their own; if ``key`` is given, with the places left open and the two keys of each."""
     task, k = TaskContext.get().partitionId() << 33, 0
-    for values in parts:
-        columns = [pa.array([x], pa.list_(kind)) for x, kind in zip(values, kinds)]
-        yield pa.RecordBatch.from_arrays([pa.array([task + k]), *columns], ["row", "ids", "places", "x", "y"][: len(columns) + 1])
+    for ids, *open_ in parts:
+        columns = [pa.array([task + k]), pa.array([ids.tobytes()], pa.binary())]
+        if key:
+            columns += [pa.array([x], pa.list_(kind)) for x, kind in zip(open_, (pa.int64(), key, key))]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "ids", "places", "x", "y"][: len(columns)])
         k += 1
 
 
-def _joined(table: DataFrame, rest: DataFrame, keys: list[str]) -> DataFrame:
+def _joined(table: DataFrame, rest: DataFrame, kind: str) -> DataFrame:
     """table with its open places filled by ``rest`` (x, y and id), joined by key."""
-    open_ = table.select("row", F.explode(F.arrays_zip("places", *keys)).alias("o")).select("row", "o.*")
-    found = open_.join(rest, keys).groupBy("row").agg(F.collect_list("places").alias("at"), F.collect_list("id").alias("found"))
+    open_ = table.select("row", F.explode(F.arrays_zip("places", "x", "y")).alias("o")).select("row", "o.*")
+    found = open_.join(rest, ["x", "y"]).groupBy("row").agg(F.collect_list("places").alias("at"), F.collect_list("id").alias("found"))
 
     def fill(batches):
         for batch in batches:
-            out = []
-            for ids, at, ids_found in zip(batch.column(0), batch.column(1), batch.column(2)):
-                own = np.array(ids.values.to_numpy(), np.int64)
+            for ids, at, names in zip(batch.column(0), batch.column(1), batch.column(2)):
+                own = np.frombuffer(ids.as_py(), kind).copy()
                 if at.is_valid:
-                    own[at.values.to_numpy()] = ids_found.values.to_numpy()
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["ids"])
+                    own[at.values.to_numpy()] = names.values.to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["ids"])
 
-    return table.select("row", "ids").join(found, "row", "left").select("ids", "at", "found").mapInArrow(fill, "ids array<long>")
+    return table.select("row", "ids").join(found, "row", "left").select("ids", "at", "found").mapInArrow(fill, "ids binary")
 
 
-def name_words(rows: DataFrame, words: DataFrame, most: int) -> DataFrame:
+def name_words(rows: DataFrame, words: DataFrame, most: int) -> Ids:
     """Rows of ids of frequent words in the order of the texts, -1 at rare ones and between pieces."""
-    least = _sent(words, most)
+    least, kind = _sent(words, most), _kind(words.count())
     sent = defaultdict(dict)
     for lang, word, i in words.where(F.col("f") >= least).select("lang", "word", "id").toLocalIterator():
         sent[lang][word.encode("utf-8")] = i
@@ -155,28 +166,30 @@ def name_words(rows: DataFrame, words: DataFrame, most: int) -> DataFrame:
                             x.append(lang)
                             y.append(token.decode("utf-8"))
                 if len(ids) >= ROW:
-                    yield np.array(ids, np.int64), places, x, y
+                    yield np.array(ids, kind), places, x, y
                     ids, places, x, y = [], [], [], []
         if ids:
-            yield np.array(ids, np.int64), places, x, y
+            yield np.array(ids, kind), places, x, y
 
     if all_sent:
-        named = rows.mapInArrow(lambda batches: _rows(parts(batches)), "row long, ids array<long>")
-        return common.materialize(named.select("ids"), "word-ids")
-    named = common.materialize(rows.mapInArrow(lambda batches: _rows(parts(batches), pa.string()), "row long, ids array<long>, places array<long>, x array<string>, y array<string>"), "word-ids-open")
-    return common.materialize(_joined(named, rest, ["x", "y"]), "word-ids")
+        named = rows.mapInArrow(lambda batches: _rows(parts(batches)), "row long, ids binary")
+        return Ids(common.materialize(named.select("ids"), "word-ids"), kind)
+    named = common.materialize(rows.mapInArrow(lambda batches: _rows(parts(batches), pa.string()), "row long, ids binary, places array<long>, x array<string>, y array<string>"), "word-ids-open")
+    return Ids(common.materialize(_joined(named, rest, kind), "word-ids"), kind)
 
 
-def _pairs(batches):
+def _pairs(batches, kind: str):
+    common.kept("")
     common.release()
     for batch in batches:
         for ids in batch.column(0):
-            own = ids.values.to_numpy()
+            own = np.frombuffer(ids.as_buffer(), kind).astype(np.int64)
             yield own, np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
 
 
-def count_pairs(table: DataFrame) -> DataFrame:
+def count_pairs(ids: Ids) -> DataFrame:
     """a, b and f of all neighbouring ids."""
+    kind = ids.kind
 
     def run(batches):
         held, size = [], 0
@@ -191,7 +204,7 @@ def count_pairs(table: DataFrame) -> DataFrame:
             f = np.diff(np.append(at, pairs.shape[1]))
             return pa.RecordBatch.from_arrays([pa.array(pairs[0, at]), pa.array(pairs[1, at]), pa.array(f)], ["a", "b", "f"])
 
-        for own, at in _pairs(batches):
+        for own, at in _pairs(batches, kind):
             held.append(np.stack([own[at], own[at + 1]]))
             size += len(at)
             if size > HELD_PAIRS:
@@ -200,38 +213,38 @@ def count_pairs(table: DataFrame) -> DataFrame:
         if size:
             yield out()
 
-    return table.mapInArrow(run, "a long, b long, f long").groupBy("a", "b").agg(F.sum("f").alias("f"))
+    return ids.table.mapInArrow(run, "a long, b long, f long").groupBy("a", "b").agg(F.sum("f").alias("f"))
 
 
-def name_pairs(table: DataFrame, pairs: DataFrame, most: int, tag: str) -> DataFrame:
+def name_pairs(ids: Ids, pairs: DataFrame, most: int, tag: str) -> Ids:
     """Rows of ids of frequent pairs at the place of the first, -1 elsewhere."""
-    least = _sent(pairs, most)
+    least, kind, before = _sent(pairs, most), _kind(pairs.count()), ids.kind
     sent = pairs.where(F.col("f") >= least).select("a", "b", "id").toArrow().sort_by([("a", "ascending"), ("b", "ascending")])
     rest = pairs.where(F.col("f") < least).select(F.col("a").alias("x"), F.col("b").alias("y"), "id")
     all_sent = least <= 1 or rest.isEmpty()
-    shared = table.sparkSession.sparkContext.broadcast([sent.column(c).to_numpy() for c in ("a", "b", "id")])
+    shared = pairs.sparkSession.sparkContext.broadcast([sent.column(c).to_numpy() for c in ("a", "b", "id")])
 
     def parts(batches):
         a, b, names = shared.value
         lefts = np.unique(a)  # pairs as numbers: place of the left id among all, and the right one
         top = int(b.max()) + 1 if len(b) else 1
         known = np.searchsorted(lefts, a) * top + b
-        for own, at in _pairs(batches):
-            x, y, ids = own[at], own[at + 1], np.full(max(len(own) - 1, 0), -1, np.int64)
+        for own, at in _pairs(batches, before):
+            x, y, found = own[at], own[at + 1], np.full(max(len(own) - 1, 0), -1, kind)
             if len(known):
                 left = np.minimum(np.searchsorted(lefts, x), len(lefts) - 1)
                 key = left * top + y
                 place = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 hit = (known[place] == key) & (lefts[left] == x) & (y < top)
-                ids[at[hit]] = names[place[hit]]
+                found[at[hit]] = names[place[hit]]
                 at, x, y = at[~hit], x[~hit], y[~hit]
-            yield ids, at, x, y
+            yield found, at, x, y
 
     if all_sent:
-        named = table.mapInArrow(lambda batches: _rows(parts(batches)), "row long, ids array<long>")
-        return common.materialize(named.select("ids"), tag)
-    named = common.materialize(table.mapInArrow(lambda batches: _rows(parts(batches), pa.int64()), "row long, ids array<long>, places array<long>, x array<long>, y array<long>"), f"{tag}-open")
-    return common.materialize(_joined(named, rest, ["x", "y"]), tag)
+        named = ids.table.mapInArrow(lambda batches: _rows(parts(batches)), "row long, ids binary")
+        return Ids(common.materialize(named.select("ids"), tag), kind)
+    named = common.materialize(ids.table.mapInArrow(lambda batches: _rows(parts(batches), pa.int64()), "row long, ids binary, places array<long>, x array<long>, y array<long>"), f"{tag}-open")
+    return Ids(common.materialize(_joined(named, rest, kind), tag), kind)
 
 
 def _phrases(pairs: DataFrame, shorter: DataFrame) -> DataFrame:
