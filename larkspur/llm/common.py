@@ -109,8 +109,22 @@ def release() -> None:
         trim(0)
 
 
-def slices(batches, text: str = "text", limit: int = SLICE_BYTES):
-    """Cut record batches into runs of rows of about ``limit`` text bytes; one longer text is a run of its own."""
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in this worker from task to task; what others have kept here is let go, as Spark uses workers again."""
+    for other in _kept.keys() - {owner}:
+        del _kept[other]
+    return _kept.setdefault(owner, {})
+
+
+def slices(batches, text: str = "text", limit: int = SLICE_BYTES, owner: str = ""):
+    """Cut record batches into runs of rows of about ``limit`` text bytes; one longer text is a run of its own.
+
+    ``owner`` is the operator whose kept things the task uses, if it has any.
+    """
+    kept(owner)
     release()
     for batch in batches:
         if not batch.num_rows:

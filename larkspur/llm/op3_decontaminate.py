@@ -38,7 +38,6 @@ MIN_SPAN = 1
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
-_built: dict[str, "Automaton"] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -185,11 +184,12 @@ class Automaton:
 def _automaton(block) -> Automaton:
     """The automaton of a broadcast block (key, items, window), built once a worker; only the last block is kept."""
     key, items, window = block.value
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton([(k, words_of(text)) for k, text in items], window)
+    built = common.kept("decontaminate")
+    if key not in built:
+        built.clear()
+        built[key] = Automaton([(k, words_of(text)) for k, text in items], window)
         common.release()
-    return _built[key]
+    return built[key]
 
 
 def item_blocks(benchmark: DataFrame, window: int, block_words: int, item_id: str = "item_id", text: str = "text"):
@@ -211,7 +211,7 @@ _FOUND = "doc_id long, row_hash long, n_words long, spans array<struct<start:int
 def _matches(rows: DataFrame, block) -> DataFrame:
     def run(batches):
         automaton = _automaton(block) if block is not None else Automaton([], WINDOW)
-        for part in common.slices(batches):
+        for part in common.slices(batches, owner="decontaminate"):
             found = {name: [] for name in ("n_words", "spans", "items", "longest")}
             for text in part.column(1).to_pylist():
                 words = words_of(text)
@@ -306,7 +306,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     def run(batches):
         automaton = _automaton(block)
-        for part in common.slices(batches, text):
+        for part in common.slices(batches, text, owner="decontaminate"):
             own = part.column(place).to_pylist()
             clean = [None if t is None else remove_spans(t, automaton, max_coverage, min_span) for t in own]
             keep = pa.array([c is not None or t is None for c, t in zip(clean, own)])

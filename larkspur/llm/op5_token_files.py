@@ -34,8 +34,6 @@ NULL_ID = -(2**63)
 #: Bytes read from a shard at a time where its file system can't be mapped.
 READ_BYTES = 8 << 20
 
-_encoders: dict[tuple, object] = {}
-
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder and the path in it; a plain path or file: is the shared mount of that name."""
@@ -80,13 +78,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 
     def write(batches):
         key = (tokenizer, width, end_id)
-        encode = _encoders.setdefault(key, None) or _encoders.__setitem__(key, Encoder(*key)) or _encoders[key]
+        encoders = common.kept("token-files")
+        if key not in encoders:
+            encoders[key] = Encoder(*key)
+        encode = encoders[key]
         shard = TaskContext.get().partitionId()
         store, base = _store(folder)
         own = f"{base}/.{shard}-{uuid.uuid4().hex}"
         sizes, names, total = [], [], 0
         with store.open_output_stream(f"{own}.ids") as out:
-            for part in common.slices(batches):
+            for part in common.slices(batches, owner="token-files"):
                 found = encode([t or "" for t in part.column(1).to_pylist()])
                 sizes.extend(len(x) // width for x in found)
                 names.extend(NULL_ID if i is None else i for i in part.column(0).to_pylist())

@@ -26,8 +26,6 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 #: Bytes of pieces that a worker remembers; most are whole tokens, cheap to count again.
 REMEMBERED = 48 << 20
 
-_counters: dict[str, object] = {}
-
 
 def whole_tokens(path: str) -> frozenset[str]:
     """The strings of the vocabulary that are one pre-token and that the library encodes alone as their own id."""
@@ -80,18 +78,19 @@ class PieceCounter:
 
 def _counter(path: str, whole: frozenset[str] | None):
     """A function from texts to token counts, made once a worker."""
-    if path not in _counters:
+    counters = common.kept("token-counts")
+    if path not in counters:
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _counters[path] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+            counters[path] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         elif whole is not None:
-            _counters[path] = PieceCounter(path, whole)
+            counters[path] = PieceCounter(path, whole)
         else:
             plain = pieces.load(path)
-            _counters[path] = lambda texts: [len(e.ids) for e in plain.encode_batch(texts, add_special_tokens=False)]
-    return _counters[path]
+            counters[path] = lambda texts: [len(e.ids) for e in plain.encode_batch(texts, add_special_tokens=False)]
+    return counters[path]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,7 +104,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: st
 
     def run(batches):
         count = _counter(tokenizer, whole.value)
-        for part in common.slices(batches):
+        for part in common.slices(batches, owner="token-counts"):
             texts = [t or "" for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(count(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
