@@ -493,4 +493,4 @@ def _is_folder(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-from larkspur.plans import fields, places, tracking  # noqa: E402, F401  (they register their queries)
+from larkspur.plans import fields, geodata, places, tracking  # noqa: E402, F401  (they register their queries)
