@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.operators.steps import Steps
+
 
 def title(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"(?s)<title[^>]*>(.*?)</title>", 1), F.lit(""))
@@ -35,7 +37,8 @@ def allowed_url(url: Column, host: str, *blocked: str) -> Column:
 
 def first_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key in the given order; the order is data, so the result is the same on each run."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    first = F.min_by(F.struct("*"), F.struct(*order)).alias("_first")
+    return rows.groupBy(F.col(key).alias("_key")).agg(first).select("_first.*")
 
 
 def new_per_page(hits: DataFrame, source: str, page: str, id_: str) -> DataFrame:
@@ -64,19 +67,30 @@ def read_cp1250_rows(files: DataFrame, n_columns: int, separator: str = ";") ->
     return files.select("content").mapInPandas(run, "parts array<string>")
 
 
-def read_sources(readers: dict, enabled: list[str]) -> tuple[DataFrame | None, dict[str, str]]:
-    """Union of the enabled sources in registry order, with source_rank; a source that fails is left out and reported."""
-    out, health = None, {}
+def read_sources(spark: SparkSession, readers: dict, enabled: list[str], position: str | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of the enabled sources, each read in a job of its own into the shared folder, and the health of each.
+
+    rows: those of all sources that could be read to their end, with source, and ord, a struct of source_rank (place in the registry) and
+    position (by the column of that name, else in the order in which they were read).  None if no source could be read.
+    health: source, source_rank, found, health (ok, zero_results or broken) and error.
+    """
+    steps, out, health = Steps(spark, "sources"), None, []
     for rank, (name, reader) in enumerate(readers.items()):
         if name not in enabled:
             continue
         try:
             rows = reader()
-            rows.schema  # analysed here, so that a broken source shows
-        except Exception as error:
-            health[name] = f"broken: {error.__class__.__name__}"
+            place = F.col(position) if position else F.monotonically_increasing_id()
+            rows = steps.written(rows.withColumn("source", F.lit(name)).withColumn("ord", F.struct(F.lit(rank).alias("source_rank"), place.cast("long").alias("position"))))
+            found = rows.count()
+        except Exception as error:  # whatever a source's reader raises, here or in a task, is that source's failure
+            health.append((name, rank, 0, "broken", str(error).split("\n")[0][:500]))
             continue
-        health[name] = "ok"
-        rows = rows.withColumn("source", F.lit(name)).withColumn("source_rank", F.lit(rank))
+        health.append((name, rank, found, "ok" if found else "zero_results", None))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out, health
+    return out, spark.createDataFrame(health, "source string, source_rank int, found long, health string, error string")
+
+
+def answered(health: DataFrame) -> bool:
+    """Whether any source could be read; without one, nothing may be counted as missed."""
+    return not health.where("health <> 'broken'").isEmpty()

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.state import advance_tracking
 
+#: Versions of a snapshot table that stay, for readers that began before the last write.
+KEPT = 3
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where it is unset and Spark runs in one process."""
@@ -40,11 +43,15 @@ class SnapshotTable:
 
     def read(self) -> DataFrame:
         found = self.versions()
+        # readers that began before a write still find their version
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={found[-1]}") if found else self.spark.createDataFrame([], self.schema)
 
     def write(self, df: DataFrame, version: int) -> None:
-        """Write a version; the same version again replaces it, so a repeated micro-batch changes nothing."""
+        """Write a version; the same version again replaces it, so a repeated micro-batch changes nothing.  Old versions are deleted."""
         df.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+        fs, _ = self._fs()
+        for old in self.versions()[:-KEPT]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v={old}"), True)
 
 
 def track(stream: DataFrame, table: SnapshotTable, key: str, at: str, checkpoint: str):
@@ -54,7 +61,7 @@ def track(stream: DataFrame, table: SnapshotTable, key: str, at: str, checkpoint
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        if number in table.versions():
+        if any(number <= v for v in table.versions()):
             return  # this batch was written before a restart
         before = table.read()
         now = batch.agg(F.max(at).alias("at")).first().at

@@ -29,14 +29,26 @@ def test_first_wins_and_paging_stops_at_a_page_without_a_new_id(spark):
     assert sorted(r.page for r in pages.first_of_each(hits, "id", "page").collect()) == [1, 1, 3]
 
 
-def test_a_broken_source_is_reported_and_the_others_are_read(spark):
+def test_a_source_that_fails_midway_leaves_the_others_readable(spark):
     def broken():
         raise OSError("no answer")
 
-    readers = {"a": lambda: spark.createDataFrame([(1,)], "id long"), "b": broken, "c": lambda: spark.createDataFrame([(2, "x")], "id long, more string")}
-    rows, health = pages.read_sources(readers, ["a", "b", "c"])
-    assert health == {"a": "ok", "b": "broken: OSError", "c": "ok"}
-    assert sorted((r.source, r.source_rank, r.id, r.more) for r in rows.collect()) == [("a", 0, 1, None), ("c", 2, 2, "x")]
+    def midway():
+        return spark.createDataFrame([(1, "3"), (2, "x")], "id long, v string").select("id", F.expr("CAST(v AS INT)").alias("v"))
+
+    make = lambda rows, kind="id long": (lambda: spark.createDataFrame(rows, kind))
+    readers = {"a": make([(7,), (1,)]), "b": broken, "c": make([(2, "x")], "id long, more string"), "d": midway, "e": make([]), "off": make([(9,)])}
+    rows, health = pages.read_sources(spark, readers, ["e", "d", "c", "b", "a"])
+    assert [(r.source, r.source_rank, r.found, r.health) for r in health.orderBy("source_rank").collect()] == [("a", 0, 2, "ok"), ("b", 1, 0, "broken"), ("c", 2, 1, "ok"), ("d", 3, 0, "broken"), ("e", 4, 0, "zero_results")]
+    assert [(r.source, r.ord.source_rank, r.id, r.more) for r in rows.orderBy("ord").collect()] == [("a", 0, 7, None), ("a", 0, 1, None), ("c", 2, 2, "x")]
+    assert pages.answered(health) and not pages.answered(health.where("source in ('b', 'd')"))
+    none, health = pages.read_sources(spark, {"b": broken}, ["b"])
+    assert none is None and not pages.answered(health)
+
+
+def test_first_of_each_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(None, 2, "x"), (None, 1, "y"), ("a", None, "z"), ("a", 1, "w")], "k string, n int, v string")
+    assert sorted((str(r.k), r.v) for r in pages.first_of_each(rows, "k", "n").collect()) == [("None", "y"), ("a", "z")]
 
 
 def test_files_in_a_central_european_code_page(spark, tmp_path):
@@ -57,7 +69,7 @@ def test_a_stream_of_scans_equals_the_batches(spark, tmp_path):
         scan.coalesce(1).write.mode("append").parquet(f"{tmp_path}/scans")
         stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/scans")
         scans.track(stream, table, "item", "seen", f"{tmp_path}/offsets").awaitTermination()
-    assert len(table.versions()) == 3
+    assert table.versions() == [0, 1, 2]
     assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, want.collect()))
 
 
