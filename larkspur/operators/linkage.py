@@ -1,21 +1,21 @@
 """Linkage of records of one thing across sources: pairwise, explainable, greedy in input order and not transitive.
 
-Records have: ord, source, lat, lon, tier (how exact the place is), names (array of name and tier), layout, price, size,
-land.  ``useful`` gives the pairs of three blocks of which no pair of the least useful score can avoid all, not all pairs.
+Records have: ord, source, lat, lon, tier (how exact the place is), names (array of name and tier), has_names, layout, price, size,
+land.  ``link`` does the whole of it: ``useful`` pairs, their scores, the greedy fold, and the survivors with what they absorbed.
+Pairs are not all looked at: they come from blocks of which no pair of the least useful score can avoid all, and those that
+cannot reach it are dropped inside the blocks' joins.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.geo import metres
+from larkspur.functions.geo import RADIUS, cell, metres, neighbour_cells
 from larkspur.functions.numbers import known
 from larkspur.operators.steps import Steps
-from larkspur.streaming import scans
 
 # Place tiers from the finest, with points, near and far in metres, and the points of a shared name.
 TIERS = ("gps", "street", "part", "quarter", "town")
@@ -56,9 +56,8 @@ def place_evidence(lat: Column, lon: Column, unit_lat: Column, unit_lon: Column,
 def shared_tier(a: Column, b: Column) -> Column:
     """The most exact tier of a name that both have (arrays of name and tier), each at the looser of the two sides; null without one."""
     rank = lambda t: F.array_position(F.array(*(F.lit(x) for x in TIERS)), t)
-    of = lambda names: F.map_from_entries(F.transform(names, lambda n: F.struct(n["name"], rank(n["tier"]))))
-    both = F.array_intersect(F.transform(a, lambda n: n["name"]), F.transform(b, lambda n: n["name"]))
-    best = F.array_min(F.transform(both, lambda n: F.greatest(F.element_at(of(a), n), F.element_at(of(b), n))))
+    shared = F.transform(a, lambda x: F.array_min(F.transform(F.filter(b, lambda y: y["name"] == x["name"]), lambda y: F.greatest(rank(x["tier"]), rank(y["tier"])))))
+    best = F.array_min(shared)
     return F.when(best > 0, F.element_at(F.array(*(F.lit(x) for x in TIERS)), F.greatest(best, F.lit(1)).cast("int")))
 
 
@@ -170,9 +169,14 @@ def band(total: Column, evidence: Column, agrees: Column) -> Column:
     return F.when(~evidence | (total < UNCERTAIN), "no_match").when((total >= MATCH) & agrees, "match").otherwise("uncertain")
 
 
-def price_block(price: Column) -> Column:
+def price_block(price: Column, share: float = PRICE_SHARE) -> Column:
     """Prices within the share of each other lie in the same block or in blocks next to each other."""
-    return F.when(known(price), F.floor(F.log(price.cast("double")) / -math.log(1 - PRICE_SHARE)))
+    return F.when(known(price), F.floor(F.log(price.cast("double")) / -math.log(1 - share)))
+
+
+def size_block(size: Column) -> Column:
+    """Sizes that give points lie in the same block or in blocks next to each other."""
+    return F.when(known(size), F.floor(size.cast("double") / SIZE_NEAR))
 
 
 def candidates(records: DataFrame, *equal: str, price: str | None = "price", id_: str = "ord", source: str = "source") -> DataFrame:
@@ -199,98 +203,172 @@ def _meet(one: DataFrame, two: DataFrame, keys: list[str], id_: str, source: str
     return pairs.where((F.col(f"a.{id_}") < F.col(f"b.{id_}")) & (F.col(f"a.{source}") != F.col(f"b.{source}"))).select("a", "b")
 
 
+def _cells(reach: float, lat: Column, lon: Column) -> Column:
+    """The cell of a point in a grid whose cells are as wide as the reach needs up to 70 degrees of latitude."""
+    side = reach / (RADIUS * math.pi / 180)
+    return cell(lat, lon, side, side / math.cos(math.radians(70)))
+
+
 def nearby(records: DataFrame, reach: float, id_: str = "ord", source: str = "source") -> DataFrame:
     """Pairs of different sources within reach metres or a little more: an equi-join of grid cells with their neighbours."""
-    from larkspur.functions.geo import RADIUS, cell, neighbour_cells
-
-    side = reach / (RADIUS * math.pi / 180)
-    # cells are as wide as the reach needs up to 70 degrees of latitude
-    at = cell(F.col("lat"), F.col("lon"), side, side / math.cos(math.radians(70)))
+    at = _cells(reach, F.col("lat"), F.col("lon"))
     one = records.where("lat is not null and lon is not null").select(F.struct("*").alias("a"), F.explode(neighbour_cells(at)).alias("_cell"))
     two = records.where("lat is not null and lon is not null").select(F.struct("*").alias("b"), at.alias("_cell"))
     return _meet(one, two, ["_cell"], id_, source).where(metres(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= reach).select("a", "b")
 
 
+def _keys(tag: str, *parts: tuple[Column, Column], given: Column | None = None) -> tuple[Column, Column]:
+    """Hashes of a block for the side of a and for that of b; parts are the blocks that a record meets and its own one."""
+    around = F.array(F.lit(0))
+    own = F.lit(0)
+    known_ = given if given is not None else F.lit(True)
+    for many, one in parts:
+        around = F.flatten(F.transform(around, lambda x: F.transform(many, lambda y: F.xxhash64(x, y))))  # noqa: B023
+        own = F.xxhash64(own, one)
+        known_ = known_ & one.isNotNull()
+    none = F.array().cast("array<bigint>")
+    end = lambda x: F.xxhash64(F.lit(tag), x)
+    return F.when(known_, F.transform(around, end)).otherwise(none), F.when(known_, F.array(end(own))).otherwise(none)
+
+
+def most_points(a, b) -> Column:
+    """What the total of a pair is at most: as ``score`` has it, but for names of which none is shared, which count nothing here."""
+    tier = looser_tier(a("tier"), b("tier"))
+    gps = F.when(tier.isNotNull(), gps_points(metres(a("lat"), a("lon"), b("lat"), b("lon")), tier)).otherwise(0.0)
+    names = F.greatest(name_points(shared_tier(a("names"), b("names")), F.lit(False)), F.lit(0.0))
+    names = F.when(F.coalesce(streets_disagree(a("names"), b("names")), F.lit(False)), float(STREETS_DISAGREE)).otherwise(names)
+    return gps + names + layout_points(a("layout"), b("layout")) + price_points(a("price"), b("price")) + size_points(a("size"), b("size"))
+
+
 def useful(records: DataFrame, id_: str = "ord", source: str = "source") -> DataFrame:
-    """All pairs a, b that can have a total of ``UNCERTAIN`` or more, and others: the distinct union of three blocks.
+    """All pairs a, b that can have a total of ``UNCERTAIN`` or more, each once, and few others: a union of blocks.
 
-    Where place and names give less than 5, the total needs equal layouts and prices within the share.  Otherwise the pair shares
-    a name of a tier below the town, or is closer than half way from near to far of the looser tier, beyond which a place gives
-    nothing.  Records have the columns named above; ``names`` is an array of (name, tier), the tier as in ``TIERS``.
+    A shared street, or a place nearer than half way from near to far of the looser tier (beyond, a place gives nothing), may do
+    with any price.  A tier of few points needs a near price or size beside it, and so does another shared name below the town.  Where
+    place and names give less than 5, layouts are equal and price and size give 10 or more: sizes near each other and prices
+    within the share, or prices within that part of it that gives 10 alone.  Pairs that miss the total are dropped in each join.
     """
-    ids = lambda pairs: pairs.select(F.col(f"a.{id_}").alias("i"), F.col(f"b.{id_}").alias("j"))
-    slim = records.select(id_, source, "layout", "price")
-    found = ids(candidates(slim, "layout", id_=id_, source=source))
-    rank = F.array_position(F.array(*(F.lit(t) for t in TIERS)), F.col("tier"))
-    placed = records.select(id_, source, "lat", "lon", rank.alias("rank")).where("rank > 0")
+    rank = F.coalesce(F.array_position(F.array(*(F.lit(t) for t in TIERS)), F.col("tier")), F.lit(0))
+    price, size, layout = price_block(F.col("price")), size_block(F.col("size")), F.col("layout")
+    one = lambda c: (F.array(c), c)
+    near = lambda c: (F.array(c - 1, c, c + 1), c)
+    close = PRICE_SHARE * (1 - 10 / PRICE_POINTS)
+    blocks = [_keys("facts", one(layout), near(price), near(size)), _keys("price", one(layout), near(price_block(F.col("price"), close)))]
     for k, tier in enumerate(TIERS, 1):
-        _, near, far = GPS[tier]
-        close = nearby(placed.where(F.col("rank") <= k), (near + far) / 2, id_, source)
-        found = found.unionByName(ids(close.where(F.greatest("a.rank", "b.rank") == k)))
-    named = records.select(id_, source, F.explode("names").alias("n")).where(F.col("n.tier").isin(*(t for t in TIERS if NAME_POINTS.get(t, 0) >= 5))).select(id_, source, F.col("n.name").alias("name")).distinct()
-    found = found.unionByName(ids(candidates(named, "name", price=None, id_=id_, source=source))).distinct()
-    side = lambda s: records.select(F.struct("*").alias(s), F.col(id_).alias("i" if s == "a" else "j"))
-    return found.join(side("a"), "i").join(side("b"), "j").select("a", "b")
+        points, low, high = GPS[tier]
+        at = _cells((low + high) / 2, F.col("lat"), F.col("lon"))
+        here = (neighbour_cells(at), at)
+        placed = (rank > 0) & (rank <= k) & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+        for more in ((),) if points > 10 else ((near(price),), (near(size),)):
+            blocks.append(_keys(f"{tier} {len(blocks)}", here, *more, given=placed))
+    of = lambda *tiers: F.transform(F.filter("names", lambda n: n["tier"].isin(*tiers)), lambda n: n["name"])
+    each = lambda names, keys: tuple(F.flatten(F.transform(names, lambda n: keys(n)[side])) for side in (0, 1))
+    blocks.append(each(of("street"), lambda n: _keys("street name", one(n))))
+    small = of(*(t for t in TIERS if NAME_POINTS.get(t, 0) >= 5))
+    blocks += [each(small, lambda n: _keys("name, price", one(n), near(price))), each(small, lambda n: _keys("name, size", one(n), near(size)))]
+    slim = F.struct(F.col(id_).alias("id"), F.col(source).alias("source"), "lat", "lon", "tier", "names", "layout", "price", "size")
+    side = lambda name, n: records.select(slim.alias(name), F.explode(F.array_distinct(F.concat(*(b[n] for b in blocks)))).alias("_key"))
+    met = _meet(side("a", 0), side("b", 1), ["_key"], "id", "source")
+    met = met.where(most_points(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")) >= UNCERTAIN - 1e-6)
+    found = met.select(F.col("a.id").alias("_i"), F.col("b.id").alias("_j")).distinct()
+    whole = lambda s, c: records.select(F.struct("*").alias(s), F.col(id_).alias(c))
+    return found.join(whole("a", "_i"), "_i").join(whole("b", "_j"), "_j").select("a", "b")
+
+
+def _meets(df: DataFrame, c: str, others: DataFrame, how: str) -> DataFrame:
+    """df by whether its record c is among (g, r) of others."""
+    return df.join(others.select(F.col("g").alias("_g"), F.col("r").alias("_r")), F.col("g").eqNullSafe(F.col("_g")) & (F.col(c) == F.col("_r")), how)
+
+
+def _heads(undecided: DataFrame, steps: Steps) -> DataFrame:
+    """g, r, head and odd of the records that one undecided pair alone can remove: where the chain of such records before each
+    begins, and whether an odd number of pairs lies between.  Steps double, so a chain takes as many rounds as its length has bits."""
+    chain = undecided.groupBy("g", F.col("j").alias("r")).agg(F.count("*").alias("n"), F.min("i").alias("head")).where("n = 1").select("g", "r", "head", F.lit(True).alias("odd"))
+    chain = steps.written(chain)
+    while True:
+        up = chain.select(F.col("g").alias("_g"), F.col("r").alias("_r"), F.col("head").alias("_head"), F.col("odd").alias("_odd"))
+        moved = chain.join(up, F.col("g").eqNullSafe(F.col("_g")) & (F.col("head") == F.col("_r")), "left")
+        moved = steps.written(moved.select("g", "r", F.coalesce("_head", "head").alias("head"), F.when(F.col("_head").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("_odd")).alias("odd"), F.col("_head").isNotNull().alias("_moved")))
+        chain = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            return chain
 
 
 def greedy_merge(matches: DataFrame, group: str) -> DataFrame:
-    """group, removed, keeper: which record each removed one is merged into.
+    """group, removed, keeper, seq: which record each removed one is merged into, at last, and the pair (turn, other) that removed it first.
 
     matches: group, i, j, keep_i (whether i is the richer one) with i < j.  Pairs are taken in the order of i, then j.  A pair is
     passed over if j is gone, or if i was gone before its own turn began; so merging is not transitive.
 
     A record is gone before its turn only by a pair (h, r) with keep_h whose h is not itself gone before its turn; a record that
     loses in its own turn stops no pair.  So the records gone early are found in rounds over those pairs: what no undecided
-    pair can remove stays, what it removes is gone, and pairs of gone records are dropped.  All state is in the shared folder.
+    pair can remove stays, what it removes is gone, and pairs of gone records are dropped.  Along chains, where a single pair
+    can remove each record, every other one stays: they are decided in the round of their head, whatever their length.  All
+    state is in the shared folder.
     """
-    spark = matches.sparkSession
-    folder = f"{scans.shared_dir(spark)}/greedy-{uuid.uuid4().hex}"
-
-    def written(df: DataFrame, name: str, mode: str = "error") -> DataFrame:
-        df.write.mode(mode).parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    def meets(df: DataFrame, c: str, others: DataFrame, how: str) -> DataFrame:
-        """df by whether its record c is among (g, r) of others."""
-        return df.join(others.select(F.col("g").alias("_g"), F.col("r").alias("_r")), F.col("g").eqNullSafe(F.col("_g")) & (F.col(c) == F.col("_r")), how)
-
-    pairs = written(matches.select(F.col(group).alias("g"), F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "keep_i"), "pairs")
+    steps = Steps(matches.sparkSession, "greedy")
+    pairs = steps.written(matches.select(F.col(group).alias("g"), F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "keep_i"))
     taking = pairs.where("keep_i").select("g", "i", "j")
-    undecided, gone, turn = taking, written(taking.select("g", F.col("j").alias("r")).limit(0), "gone"), 0
-    while undecided.limit(1).count():
-        staying = meets(undecided, "i", undecided.select("g", F.col("j").alias("r")).distinct(), "left_anti").select("g", F.col("i").alias("r")).distinct()
-        lost = written(meets(undecided, "i", staying, "left_semi").select("g", F.col("j").alias("r")).distinct(), f"lost{turn}")
-        gone = written(lost, "gone", "append")
-        undecided = written(meets(meets(undecided, "i", lost, "left_anti"), "j", lost, "left_anti"), f"undecided{turn}")
-        turn += 1
-    by = meets(taking, "i", gone, "left_anti").groupBy("g", F.col("j").alias("removed")).agg(F.min("i").alias("keeper"))
-    own = meets(pairs.where("not keep_i"), "i", gone, "left_anti")
+    undecided, gone = taking, taking.select("g", F.col("j").alias("r")).limit(0)
+    while not undecided.isEmpty():
+        removable = undecided.select("g", F.col("j").alias("r")).distinct()
+        roots = _meets(undecided, "i", removable, "left_anti").select("g", F.col("i").alias("r")).distinct()
+        chained = _meets(_heads(undecided, steps), "head", removable, "left_anti").where("not odd").select("g", "r")
+        staying = steps.written(roots.unionByName(chained))
+        lost = steps.written(_meets(undecided, "i", staying, "left_semi").select("g", F.col("j").alias("r")).distinct())
+        gone = steps.written(gone.unionByName(lost))
+        undecided = steps.written(_meets(_meets(_meets(undecided, "i", lost, "left_anti"), "j", lost, "left_anti"), "i", staying, "left_anti"))
+    seq = lambda turn, other: F.struct(turn.alias("turn"), other.alias("other")).alias("seq")
+    by = _meets(taking, "i", gone, "left_anti").groupBy("g", F.col("j").alias("removed")).agg(F.min("i").alias("keeper")).withColumn("seq", seq(F.col("keeper"), F.col("removed")))
+    own = _meets(pairs.where("not keep_i"), "i", gone, "left_anti")
     taken = by.select(F.col("g").alias("_g"), F.col("removed").alias("_r"), F.col("keeper").alias("_turn"))
     own = own.join(taken, F.col("g").eqNullSafe(F.col("_g")) & (F.col("j") == F.col("_r")), "left").where("_turn is null or _turn >= i")
-    own = own.groupBy("g", F.col("i").alias("removed")).agg(F.max("j").alias("keeper"))
-    out = by.unionByName(own).select(F.col("g").alias(group), "removed", "keeper")
-    path = f"{scans.shared_dir(spark)}/merged-{uuid.uuid4().hex}"
-    out.write.parquet(path)
-    home = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    home.getFileSystem(spark._jsc.hadoopConfiguration()).delete(home, True)
-    return spark.read.schema(out.schema).parquet(path)
+    own = own.groupBy("g", F.col("i").alias("removed")).agg(F.max("j").alias("keeper"), seq(F.first("i"), F.min("j")))
+    return steps.last(by.unionByName(own).select(F.col("g").alias(group), "removed", "keeper", "seq"))
 
 
 def final_keepers(merged: DataFrame, group: str) -> DataFrame:
     """Follow keepers that are removed themselves to the last one, by doubling the step; chains that end in a circle end after as many
     rounds as their length has bits.  The state of each round is a table in the shared folder."""
     steps = Steps(merged.sparkSession, "keepers")
-    current = steps.written(merged.select(group, "removed", "keeper"))
+    more = [c for c in merged.columns if c not in (group, "removed", "keeper")]
+    current = steps.written(merged.select(group, "removed", "keeper", *more))
     for _ in range(64):
         up = current.select(F.col(group).alias("_g"), F.col("removed").alias("_r"), F.col("keeper").alias("_k"))
         moved = current.join(up, F.col(group).eqNullSafe(F.col("_g")) & (F.col("keeper") == F.col("_r")) & (F.col("_k") != F.col("removed")), "left")
-        moved = steps.written(moved.select(group, "removed", F.coalesce("_k", "keeper").alias("keeper"), F.col("_k").isNotNull().alias("_moved")))
+        moved = steps.written(moved.select(group, "removed", F.coalesce("_k", "keeper").alias("keeper"), *more, F.col("_k").isNotNull().alias("_moved")))
         current = moved.drop("_moved")
         if moved.where("_moved").isEmpty():
             break
     return steps.last(current)
 
 
+def matches_of(scored: DataFrame, facts: DataFrame, id_: str = "ord", known: str = "facts") -> DataFrame:
+    """The matches among scored pairs as the fold takes them: all in one group, with whether i knows as much as j or more."""
+    of = lambda c, side: facts.select(F.col(id_).alias(c), F.col(known).alias(side))
+    pairs = scored.where("band = 'match'").select("i", "j").join(of("i", "_a"), "i").join(of("j", "_b"), "j")
+    return pairs.select(F.lit(0).alias("group"), "i", "j", richer_first(F.col("_a"), F.col("_b")).alias("keep_i"))
+
+
+def survivors(records: DataFrame, merged: DataFrame, id_: str = "ord", source: str = "source") -> DataFrame:
+    """The records that nothing removed, with the sources merged into each; they keep their place in the input, which is ``id_``."""
+    final = final_keepers(merged, "group")
+    left = records.join(final.select(F.col("removed").alias(id_)), id_, "left_anti")
+    own = absorbed_sources(final, records, id_, source).withColumnRenamed("keeper", id_)
+    return left.join(own, id_, "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+
+
+def link(records: DataFrame, estate: str, facts: str = "facts", id_: str = "ord", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Linkage as a whole: survivors, merges (removed, keeper, seq) and all scored pairs of ``UNCERTAIN`` points or more.
+
+    ``facts`` is how much is known of a record: the richer one of a pair is kept, the earlier one where both know as much.
+    """
+    steps = Steps(records.sparkSession, "linked")
+    scored = steps.last(score(useful(records, id_, source), estate, id_).where(F.col("band") != "no_match"))
+    merged = greedy_merge(matches_of(scored, records, id_, facts), "group")
+    return survivors(records, merged, id_, source), merged.drop("group"), scored
+
+
 def completeness(*facts: Column) -> Column:
     """How many facts are known."""
     return sum((f.isNotNull().cast("int") for f in facts), F.lit(0))

@@ -386,14 +386,6 @@ def pair_bands(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy(linkage.band(F.col("total"), F.lit(True), F.col("agrees")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@registered(None)
-def linkage_survivors(spark, sf_dir):
-    """Removed records and who keeps them, by the greedy fold within each (name, layout)."""
-    records = _records(spark, sf_dir).select("ord", F.concat_ws("|", "name", "layout").alias("group"))
-    matches = _scored(spark, sf_dir).where(linkage.band(F.col("total"), F.lit(True), F.col("agrees")) == "match").join(records, F.col("i") == F.col("ord")).select("group", "i", "j", (F.col("j") % 3 == 0).alias("keep_i"))
-    return linkage.final_keepers(linkage.greedy_merge(matches.withColumn("keep_i", ~F.col("keep_i")), "group"), "group")
-
-
 @registered("SELECT p_partkey, CAST((p_name IS NOT NULL)::INT + (nullif(p_size, 13) IS NOT NULL)::INT + (nullif(p_type, 'PROMO') IS NOT NULL)::INT + (p_retailprice IS NOT NULL)::INT AS INTEGER) AS known FROM part")
 def completeness_keeper(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", linkage.completeness(F.col("p_name"), F.nullif(F.col("p_size"), F.lit(13)), F.nullif(F.col("p_type"), F.lit("PROMO")), F.col("p_retailprice")).alias("known"))

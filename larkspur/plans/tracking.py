@@ -352,15 +352,19 @@ SCORED = f"""WITH r AS (SELECT *, CASE tier WHEN 'gps' THEN 1 WHEN 'street' THEN
   scored AS (SELECT i, j, round(CAST(gps AS DOUBLE) + shared_name + layout + price + size, 4) AS total, evidence, agrees FROM f)"""
 
 
-def _linked(spark, sf_dir):
+def _to_link(spark, sf_dir):
     k = C("p_partkey")
     tiers = F.array(*(F.lit(t) for t in ("gps", "street", "part", "quarter", "town", "district")))
     name = lambda n: F.struct(n.cast("string").alias("name"), F.when(n >= 200, "town").when(n >= 100, "quarter").when(n % 3 == 0, "part").otherwise("street").alias("tier"))
     names = F.when(k % 5 == 0, F.array().cast("array<struct<name:string,tier:string>>")).when(k % 5 == 1, F.array(name(k % 40), name(100 + k % 9))).otherwise(F.array(name(k % 40), name(200 + k % 4)))
-    records = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         L("p_partkey").alias("ord"), C("p_brand").alias("source"), F.when(k % 7 != 0, 50.0 + (k % 61) * 0.002).alias("lat"), (14.0 + (k % 53) * 0.003).alias("lon"), F.when(k % 7 != 0, F.element_at(tiers, (1 + k % 6).cast("int"))).alias("tier"), names.alias("names"),
-        (k % 5 != 0).alias("has_names"), C("p_type").alias("layout"), F.when(k % 13 != 0, (1000 + k * 37 % 700).cast("long")).alias("price"), F.nullif(C("p_size"), F.lit(13)).alias("size"), F.lit(None).cast("int").alias("land"))
-    return linkage.score(linkage.useful(records), "flat")
+        (k % 5 != 0).alias("has_names"), C("p_type").alias("layout"), F.when(k % 13 != 0, (1000 + k * 37 % 700).cast("long")).alias("price"), F.nullif(C("p_size"), F.lit(13)).alias("size"), F.lit(None).cast("int").alias("land"),
+        linkage.completeness(F.when(k % 7 != 0, 1), F.nullif(C("p_size"), F.lit(13)), F.nullif(k % 3, F.lit(0))).alias("facts"))
+
+
+def _linked(spark, sf_dir):
+    return linkage.score(linkage.useful(_to_link(spark, sf_dir)), "flat")
 
 
 @registered(SCORED + " SELECT i, j, total, CASE WHEN total >= 55 AND agrees THEN 'match' ELSE 'uncertain' END AS band FROM scored WHERE evidence AND total >= 30")
@@ -369,6 +373,34 @@ def linkage_scores(spark, sf_dir):
     return _linked(spark, sf_dir).where((C("gps_evidence") | C("name_evidence")) & (F.round("total", 4) >= 30)).select("i", "j", F.round("total", 4).alias("total"), F.when((F.round("total", 4) >= 55) & C("agrees"), "match").otherwise("uncertain").alias("band"))
 
 
+FOLD = SCORED.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + """,
+  known AS (SELECT p_partkey AS ord, (p_partkey % 7 <> 0)::INT + (nullif(p_size, 13) IS NOT NULL)::INT + (p_partkey % 3 <> 0)::INT AS facts FROM part),
+  m AS (SELECT i, j, a.facts >= b.facts AS keep_i FROM scored JOIN known a ON a.ord = i JOIN known b ON b.ord = j WHERE evidence AND total >= 55 AND agrees),
+  taking AS (SELECT i, list(j) AS js, row_number() OVER (ORDER BY i) AS k FROM m WHERE keep_i GROUP BY i),
+  walk(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT t.k, CASE WHEN list_contains(gone, t.i) THEN gone ELSE list_concat(gone, t.js) END FROM walk w JOIN taking t ON t.k = w.k + 1),
+  early AS (SELECT DISTINCT unnest(gone) AS r FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1)),
+  taken AS (SELECT j AS removed, min(i) AS keeper, min(i) AS turn, j AS other FROM m WHERE keep_i AND i NOT IN (SELECT r FROM early) GROUP BY j),
+  own AS (SELECT m.i AS removed, max(m.j) AS keeper, m.i AS turn, min(m.j) AS other FROM m LEFT JOIN taken b ON b.removed = m.j WHERE NOT keep_i AND m.i NOT IN (SELECT r FROM early) AND (b.keeper IS NULL OR b.keeper >= m.i) GROUP BY m.i),
+  fold AS (SELECT * FROM taken UNION ALL SELECT * FROM own),
+  chain(removed, keeper, turn, other) AS (SELECT * FROM fold UNION ALL SELECT c.removed, f.keeper, c.turn, c.other FROM chain c JOIN fold f ON f.removed = c.keeper),
+  final AS (SELECT * FROM chain WHERE keeper NOT IN (SELECT removed FROM fold)),
+  src AS (SELECT keeper, a.source, min((turn, other)) AS at FROM final JOIN r a ON a.ord = removed JOIN r b ON b.ord = keeper WHERE a.source <> b.source GROUP BY 1, 2)"""
+
+
+@registered(FOLD + " SELECT ord, coalesce(sources, '') AS sources FROM r LEFT JOIN (SELECT keeper AS ord, string_agg(source, ',' ORDER BY src.at) AS sources FROM src GROUP BY 1) USING (ord) WHERE ord NOT IN (SELECT removed FROM fold)")
+def linkage_survivors(spark, sf_dir):
+    """Linkage as a whole: the records that stay, in input order, and the sources that each took in."""
+    stay, _, _ = linkage.link(_to_link(spark, sf_dir), "flat")
+    return stay.select("ord", F.array_join("sources", ",").alias("sources"))
+
+
+@registered(FOLD + " SELECT removed, keeper, turn, other FROM fold")
+def linkage_merges(spark, sf_dir):
+    """Each merged record, what it was merged into at last, and the pair by which it went first."""
+    _, merged, _ = linkage.link(_to_link(spark, sf_dir), "flat")
+    return merged.select("removed", "keeper", C("seq.turn").alias("turn"), C("seq.other").alias("other"))
+
+
 @registered("""WITH RECURSIVE m AS (SELECT c_custkey AS removed, c_custkey - 1 AS keeper, c_nationkey AS seq FROM customer WHERE c_custkey % 4 > 0), c AS (SELECT removed, keeper, seq FROM m UNION ALL SELECT c.removed, m.keeper, c.seq FROM c JOIN m ON m.removed = c.keeper),
   f AS (SELECT removed, min(keeper) AS keeper, any_value(seq) AS seq FROM c GROUP BY 1), s AS (SELECT f.keeper, r.c_mktsegment AS s, min((f.seq, r.c_mktsegment)) AS o FROM f JOIN customer r ON r.c_custkey = removed JOIN customer k ON k.c_custkey = keeper WHERE r.c_mktsegment <> k.c_mktsegment GROUP BY 1, 2)
   SELECT keeper, string_agg(s, ',' ORDER BY o) AS sources FROM s GROUP BY 1""")

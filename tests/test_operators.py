@@ -154,7 +154,7 @@ def test_useful_pairs_are_all_found(spark):
     gps = F.when(known, linkage.gps_points(linkage.metres(a("lat"), a("lon"), b("lat"), b("lon")), looser)).otherwise(0.0)
     shared = F.flatten(F.transform(a("names"), lambda x: F.transform(F.filter(b("names"), lambda y: y["name"] == x["name"]), lambda y: F.greatest(place(x["tier"]), place(y["tier"])))))
     tier = F.try_element_at(tiers, F.array_min(shared).cast("int"))
-    name = F.when((F.size(a("names")) == 0) | (F.size(b("names")) == 0), 0.0).otherwise(linkage.name_points(tier, F.lit(False)))
+    name = F.when((F.size(a("names")) == 0) | (F.size(b("names")) == 0), 0.0).otherwise(linkage.name_points(tier, linkage.streets_disagree(a("names"), b("names"))))
     total = gps + name + linkage.layout_points(a("layout"), b("layout")) + linkage.price_points(a("price"), b("price")) + linkage.size_points(a("size"), b("size"))
     want = {tuple(r[:2]): r for r in every.select("a.ord", "b.ord", total.alias("t"), "a.price", "b.price").where("t >= 30").collect()}
     found = [(r.a.ord, r.b.ord) for r in linkage.useful(records).collect()]
