@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.numbers import clamp, half_even, half_up, known
+from larkspur.operators.steps import Steps
 
 # Price per square metre that scores 0, and what it loses a point.
 FULL_PRICE_PER_M2, PER_POINT = 550, 2.5
@@ -52,31 +53,65 @@ def running_index(items: DataFrame, group: str, *order: Column, start: int = 0)
     return items.withColumn("index", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) + start).cast("long"))
 
 
+def _ranked(counts: DataFrame, group: str, value: str, steps: Steps) -> DataFrame:
+    """counts (group, value, same) with below: how many known values of the group lie below, as sums over ranges of values.
+
+    Values are dealt by ranges, so those of a group lie in many tasks; each range of a group is summed by itself, and starts from
+    the sums of the ranges before, of which there is a row for each group and range at most.
+    """
+    dealt = counts.repartitionByRange(F.col(group).asc_nulls_first(), F.col(value)).withColumn("_range", F.spark_partition_id())
+    dealt = steps.written(dealt)
+    sums = dealt.groupBy(group, "_range").agg(F.sum("same").alias("_sum"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    joined = dealt.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    own = Window.partitionBy(group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.select(group, value, "same", (F.col("_before") + F.coalesce(F.sum("same").over(own), F.lit(0))).alias("below"))
+
+
 def standing(items: DataFrame, group: str, value: str) -> DataFrame:
-    """How each row stands among the others of its group.
+    """How each row stands among the others of its group that have a known value; all rows come back.
+
+    others (how many), below_percent and above_percent (strict, of the others), is_lowest, is_highest, lowest and highest (its own value
+    counts), middle (the median of the others) and middle_percent (how far the value is from it).  All are null where the value is
+    unknown or no other is known, but others, which is 0 there, and is_lowest and is_highest, which are false.
 
-    others (known values but its own), below_percent and above_percent (strict, of the others), is_lowest, is_highest and
-    middle: the median of the others.  With the values of a group in order, the median without the i-th is one or two of
-    the neighbours of the middle, so no pairs of rows are needed.
+    Without one copy of a value the k-th of a group is its k-th, or from that value on its (k + 1)-th, so a row needs the
+    counts below its value and four order statistics of its group.  They come from counts of each value and sums over ranges of
+    them: no task holds the rows of a group, or the values of a large one.
     """
-    w = Window.partitionBy(group).orderBy(value)
-    whole = Window.partitionBy(group)
-    rows = items.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count(value).over(whole)).withColumn("_rank", F.rank().over(w))
-    ties = Window.partitionBy(group, value)
-    rows = rows.withColumn("_same", F.count(value).over(ties))
-    mid = lambda k: F.max(F.when(F.col("_i") == k, F.col(value))).over(whole)
-    n, i = F.col("_n"), F.col("_i")
-    # of n - 1 others the middle ones are number a and b; without i, number k is k below i and k + 1 from i on
-    a, b = F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")
-    rows = rows.withColumn("_a0", mid(a)).withColumn("_a1", mid(a + 1)).withColumn("_b0", mid(b)).withColumn("_b1", mid(b + 1))
-    low, high = F.when(i > a, F.col("_a0")).otherwise(F.col("_a1")), F.when(i > b, F.col("_b0")).otherwise(F.col("_b1"))
-    others = n - 1
-    below, above = F.col("_rank") - 1, n - F.col("_rank") - F.col("_same") + 1
-    percent = lambda x: F.when(others > 0, half_up(100.0 * x / others))
-    out = rows.withColumn("others", others.cast("long")).withColumn("below_percent", percent(below)).withColumn("above_percent", percent(above))
-    out = out.withColumn("is_lowest", (others > 0) & (below == 0) & (F.col("_same") == 1)).withColumn("is_highest", (others > 0) & (above == 0) & (F.col("_same") == 1))
-    out = out.withColumn("middle", F.when(others > 0, (low + high) / 2))
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    steps = Steps(items.sparkSession, "standing")
+    counts = items.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_group"), F.col(value).alias("_value")).agg(F.count("*").alias("same"))
+    ranked = steps.written(_ranked(counts, "_group", "_value", steps))
+    total = ranked.groupBy("_group").agg(F.sum("same").alias("_n"), F.min("_value").alias("lowest"), F.max("_value").alias("highest"))
+    both = ranked.join(total.withColumnRenamed("_group", "_g"), F.col("_group").eqNullSafe(F.col("_g"))).drop("_g")
+    n = F.col("_n")
+    # of n - 1 others the middle ones are number a and b
+    a, b = F.floor(n / 2), F.floor((n + 1) / 2)
+    at = lambda k, name: F.max(F.when((F.col("below") < k) & (k <= F.col("below") + F.col("same")), F.col("_value"))).alias(name)
+    middles = both.groupBy(F.col("_group").alias("_g")).agg(at(a, "_a0"), at(a + 1, "_a1"), at(b, "_b0"), at(b + 1, "_b1"))
+    both = both.join(middles, F.col("_group").eqNullSafe(F.col("_g"))).drop("_g")
+    v = F.col("_value")
+    low, high = F.when(v > F.col("_a0"), F.col("_a0")).otherwise(F.col("_a1")), F.when(v > F.col("_b0"), F.col("_b0")).otherwise(F.col("_b1"))
+    others, above = n - 1, n - F.col("below") - F.col("same")
+    some = others > 0
+    percent = lambda x: F.when(some, half_up(100.0 * x / others))
+    middle = F.when(some, (low + high) / 2)
+    facts = both.select(
+        "_group",
+        "_value",
+        others.cast("long").alias("others"),
+        percent(F.col("below")).alias("below_percent"),
+        percent(above).alias("above_percent"),
+        (some & (F.col("below") == 0) & (F.col("same") == 1)).alias("is_lowest"),
+        (some & (above == 0) & (F.col("same") == 1)).alias("is_highest"),
+        F.when(some, F.col("lowest")).alias("lowest"),
+        F.when(some, F.col("highest")).alias("highest"),
+        middle.alias("middle"),
+        F.when(middle != 0, half_up(100.0 * (v - middle) / middle)).alias("middle_percent"),
+    )
+    joined = items.join(steps.last(facts), F.col(group).eqNullSafe(F.col("_group")) & (F.col(value) == F.col("_value")), "left").drop("_group", "_value")
+    return joined.withColumn("others", F.coalesce("others", F.lit(0).cast("long"))).withColumn("is_lowest", F.coalesce("is_lowest", F.lit(False))).withColumn("is_highest", F.coalesce("is_highest", F.lit(False)))
 
 
 def facet_scale(items: DataFrame, value: str, step: float, most: int = 20) -> DataFrame:

@@ -327,11 +327,14 @@ def budget_topn_per_source(spark, sf_dir):
     return ranking.budget_per_group(table(spark, sf_dir, "part"), "p_brand", 10, F.asc("p_retailprice"), F.asc("p_partkey")).select("p_partkey", "p_brand", "rank")
 
 
-@registered("""WITH r AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS i, count(*) OVER (PARTITION BY p_brand) AS n, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS k, count(*) OVER (PARTITION BY p_brand, p_size) AS t FROM part)
-  SELECT a.p_partkey, CAST(a.n - 1 AS BIGINT) AS others, CASE WHEN a.n > 1 THEN CAST(floor(100.0 * (a.k - 1) / (a.n - 1) + 0.5) AS BIGINT) END AS below_percent, CASE WHEN a.n > 1 THEN CAST(floor(100.0 * (a.n - a.k - a.t + 1) / (a.n - 1) + 0.5) AS BIGINT) END AS above_percent,
-    a.n > 1 AND a.k = 1 AND a.t = 1 AS is_lowest, a.n > 1 AND a.k = a.n AND a.t = 1 AS is_highest, (SELECT median(b.p_size) FROM r b WHERE b.p_brand = a.p_brand AND b.p_partkey <> a.p_partkey) AS middle FROM r a""")
+@registered("""WITH k AS (SELECT p_partkey, p_brand, nullif(p_size, 13) AS v FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY v) AS i, count(*) OVER (PARTITION BY p_brand) AS n, rank() OVER (PARTITION BY p_brand ORDER BY v) AS k, count(*) OVER (PARTITION BY p_brand, v) AS t, min(v) OVER (PARTITION BY p_brand) AS lo, max(v) OVER (PARTITION BY p_brand) AS hi FROM k WHERE v IS NOT NULL),
+  m AS (SELECT *, (SELECT median(b.v) FROM r b WHERE b.p_brand = a.p_brand AND b.p_partkey <> a.p_partkey) AS middle FROM r a)
+  SELECT k.p_partkey, CAST(coalesce(m.n - 1, 0) AS BIGINT) AS others, CASE WHEN m.n > 1 THEN CAST(floor(100.0 * (m.k - 1) / (m.n - 1) + 0.5) AS BIGINT) END AS below_percent, CASE WHEN m.n > 1 THEN CAST(floor(100.0 * (m.n - m.k - m.t + 1) / (m.n - 1) + 0.5) AS BIGINT) END AS above_percent,
+    coalesce(m.n > 1 AND m.k = 1 AND m.t = 1, false) AS is_lowest, coalesce(m.n > 1 AND m.k = m.n AND m.t = 1, false) AS is_highest, CASE WHEN m.n > 1 THEN lo END AS lowest, CASE WHEN m.n > 1 THEN hi END AS highest, middle,
+    CASE WHEN middle <> 0 THEN CAST(floor(100.0 * (m.v - middle) / middle + 0.5) AS BIGINT) END AS middle_percent FROM k LEFT JOIN m USING (p_partkey)""")
 def standing(spark, sf_dir):
-    return ranking.standing(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_brand", "p_size").drop("p_brand", "p_size")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.nullif(F.col("p_size"), F.lit(13)).alias("size"))
+    return ranking.standing(rows, "p_brand", "size").drop("p_brand", "size")
 
 
 @registered("SELECT low, high, stop, CAST(ceil((high - low) / stop) + 1 AS BIGINT) AS stops FROM (SELECT low, high, greatest(1, ceil((high - low) / 500.0 / 20)) * 500.0 AS stop FROM (SELECT floor(min(o_totalprice) / 500.0) * 500.0 AS low, ceil(max(o_totalprice) / 500.0) * 500.0 AS high FROM orders))")

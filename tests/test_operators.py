@@ -290,17 +290,26 @@ def test_score_skips_missing_facts(spark):
 
 
 def test_standing_equals_a_loop(spark):
+    from math import floor
     from statistics import median
 
     rng = random.Random(6)
     rows = [(i, g, rng.choice([1, 2, 3, 5, 8, None])) for i, g in enumerate(rng.choices("abcdefg", k=60) + ["z"])]
-    for r in ranking.standing(spark.createDataFrame(rows, "id long, g string, v int"), "g", "v").collect():
-        others = [v for i, g, v in rows if g == r.g and i != r.id and v is not None]
+    rows += [(100 + i, "hot", rng.randrange(500)) for i in range(400)] + [(600, None, 5), (601, None, 7), (602, "only", None), (603, "zero", 0), (604, "zero", 0)]
+    found = ranking.standing(spark.createDataFrame(rows, "id long, g string, v int"), "g", "v").collect()
+    assert sorted(r.id for r in found) == sorted(r[0] for r in rows)
+    for r in found:
+        others = [v for i, g, v in rows if g == r.g and i != r.id and v is not None] if r.v is not None else []
         assert r.others == len(others)
         assert r.middle == (median(others) if others else None)
         if others:
             assert r.below_percent == int(100 * sum(v < r.v for v in others) / len(others) + 0.5)
+            assert r.above_percent == int(100 * sum(v > r.v for v in others) / len(others) + 0.5)
             assert r.is_lowest == all(r.v < v for v in others) and r.is_highest == all(r.v > v for v in others)
+            assert (r.lowest, r.highest) == (min([r.v, *others]), max([r.v, *others]))
+            assert r.middle_percent == (floor(100 * (r.v - r.middle) / r.middle + 0.5) if r.middle else None)
+        else:
+            assert (r.below_percent, r.lowest, r.middle_percent, r.is_lowest) == (None, None, None, False)
 
 
 def test_order_puts_missing_values_last_either_way(spark):
