@@ -81,6 +81,20 @@ def bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+#: Steps of a sample's share: it may be as small as one in so many.
+SHARES = 1 << 62
+
+
+def sampled(h: Column, share: Column) -> Column:
+    """Whether a row belongs to a sample of some share (a number of ``SHARES``), by a 64-bit hash of it."""
+    return F.shiftrightunsigned(h, 2) < share
+
+
+def share_of(wanted: int, there: int) -> int:
+    """The share, of ``SHARES``, that gives about ``wanted`` of so many rows, however many there are."""
+    return SHARES * min(wanted, there) // max(there, 1)
+
+
 # -- text in Arrow batches -------------------------------------------------------------------------------------------
 
 

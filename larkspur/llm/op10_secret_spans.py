@@ -276,8 +276,8 @@ def windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, each: int = SAMPLE_
 
     Kinds: 0 around a rule's value, 1 around a long token or one with a digit, 2 around a secret's name, 3 anywhere.
     """
-    share = min(1.0, sample_docs / max(docs.count(), 1))
-    rows = docs.where(F.pmod(F.xxhash64(doc_id, F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
+    n = docs.count()
+    rows = docs.where(common.sampled(F.xxhash64(doc_id, F.lit("sample")), F.lit(common.share_of(sample_docs, n)))) if sample_docs < n else docs
 
     def run(batches):
         for part in common.slices(batches):

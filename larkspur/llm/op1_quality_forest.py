@@ -175,8 +175,8 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, label: str) -> tuple[np
     bound = TREES * LEAF_ROWS
     known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("l_id"), (F.col(label) > 0).alias("good"))
     labelled = stats.where(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("l_id"))
-    share = min(1.0, 0.9 * bound / max(labelled.count(), 1))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else labelled
+    n, most = labelled.count(), bound * 9 // 10
+    chosen = labelled.where(common.sampled(F.xxhash64("doc_id"), F.lit(common.share_of(most, n)))) if most < n else labelled
     rows = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "good", *FEATURES).limit(bound).select("good", *FEATURES).collect()
     return np.array([tuple(r)[1:] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.good for r in rows], bool)
 

@@ -175,9 +175,8 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, copies: int = COPI
                 models[g].append((family, a, b, side))
     if len(langs) == 1:
         return Classifier(langs, {})
-    share = {r.lang: min(1.0, sample / r["count"]) for r in counted}
-    picked = F.create_map(*(x for g in langs for x in (F.lit(g), F.lit(int(share[g] * 1_000_000)))))[F.col("lang")]
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < picked).withColumn("h", F.xxhash64("text", "doc_id")).dropDuplicates(["doc_id", "h"]).drop("h")
+    picked = F.create_map(*(x for r in counted for x in (F.lit(r.lang), F.lit(common.share_of(sample, r["count"])))))[F.col("lang")]
+    picked = rows.where(common.sampled(F.xxhash64("doc_id", "text"), picked)).withColumn("h", F.xxhash64("text", "doc_id")).dropDuplicates(["doc_id", "h"]).drop("h")
 
     def chosen(own: list[tuple[str, str, str, int]], x: np.ndarray) -> list[tuple[str, str, str, int]]:
         """The machines that a row goes to: of each level all, or as many as copies allow, at random by the row itself."""
@@ -244,24 +243,27 @@ def keep_identified(docs: DataFrame, classifier: Classifier | None, least_score:
     With lang, that column gets the predicted language where it is null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
-    place, filled = docs.columns.index(text), docs.columns.index(lang) if lang else None
+    # the other columns ride along under names of our own
+    rest = [c for c in docs.columns if c not in (text, lang)]
+    own = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)))
+    rows = docs.select(own.alias("row"), F.col(f"`{text}`").alias("text"), (F.col(f"`{lang}`") if lang else F.lit(None).cast("string")).alias("lang"))
 
     def run(batches):
         model = shared.value
-        for part in common.slices(batches, text):
+        for part in common.slices(batches):
             found, scores = [], []
-            for _, x in _featured(part, place) if model is not None else ():
+            for _, x in _featured(part, 1) if model is not None else ():
                 langs, score = model.predict(x)
                 found += langs
                 scores.append(score)
-            lettered = np.array([bool(t and _LETTER.search(t)) for t in part.column(place).to_pylist()])
+            lettered = np.array([bool(t and _LETTER.search(t)) for t in part.column(1).to_pylist()])
             keep = lettered & (np.concatenate(scores) >= least_score) if scores else lettered
-            if filled is not None and found:
-                own = part.column(filled)
-                part = part.set_column(filled, part.schema.field(filled), pc.coalesce(own, pa.array(found, own.type)))
+            if lang and found:
+                part = part.set_column(2, part.schema.field(2), pc.coalesce(part.column(2), pa.array(found, part.schema.field(2).type)))
             yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    place = {c: f"row.c{k}" for k, c in enumerate(rest)} | {text: "text"} | ({lang: "lang"} if lang else {})
+    return rows.mapInArrow(run, rows.schema).select(*(F.col(place[c]).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ through it and give, at each word, the longest match that ends there.  Where tha
 words are hit and the items that hold the window are known from the state; items shorter than a window count when they
 match whole.  Words that no item holds break every match, so only runs of known words walk the automaton.
 
-Items are data of unknown size: they are dealt into blocks of a bounded number of words, an automaton each, and one block
-after another is sent to the executors and run over all documents.
+Items are data of unknown size: the distinct ones, long ones cut into pieces that share a window less a word, are dealt into blocks of
+a bounded number of words, an automaton each, and one block after another is sent to the executors and run over all documents.
 
-Defined results: a null or empty text has no words and no hits; an item without words is ignored; repeated rows give a row each;
+Defined results: a null or empty text has no words and no hits; an item without words is ignored, one that is there several times counts
+once; the longest match ends where a piece of an item does; repeated rows give a row each;
 an empty table on either side gives no hits; other columns pass through ``decontaminate`` untouched, whatever their names.
 """
 
@@ -192,17 +193,33 @@ def _automaton(block) -> Automaton:
     return built[key]
 
 
+def item_pieces(benchmark: DataFrame, window: int, block_words: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """id, n (words) and text of the distinct items, cut into pieces of a sixteenth of ``block_words``, so that blocks are about equal.
+
+    A piece begins with the last window - 1 words of the one before, so that each window of an item lies whole in a piece.
+    """
+    step = max(window, block_words // 16)
+
+    def cut(batches):
+        for batch in batches:
+            for item, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(own)
+                pieces = [words[a : a + step + window - 1] for a in range(0, max(1, len(words) - window + 1), step)]
+                columns = [[item] * len(pieces), [len(w) for w in pieces], [b" ".join(w).decode("utf-8") for w in pieces]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["id", "n", "text"])
+
+    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
+    return rows.mapInArrow(cut, "id string, n long, text string").where("n > 0").distinct()
+
+
 def item_blocks(benchmark: DataFrame, window: int, block_words: int, item_id: str = "item_id", text: str = "text"):
-    """Yield broadcast blocks of items, each of about ``block_words`` words; one is on the driver at a time."""
+    """Yield broadcast blocks of items or pieces of them, each of about ``block_words`` words; one is on the driver at a time."""
     spark = benchmark.sparkSession
-    size = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
-    total = benchmark.agg(F.sum(size)).first()[0] or 0
-    n = -(-total // block_words)
+    pieces = item_pieces(benchmark, window, block_words, item_id, text)
+    n = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block_words)
     for k in range(n):
-        rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-        if n > 1:
-            rows = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.id or "", r.text) for r in rows.collect()], window))
+        rows = pieces.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else pieces
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.id, r.text) for r in rows.select("id", "text").collect()], window))
 
 
 _FOUND = "doc_id long, row_hash long, n_words long, spans array<struct<start:int,end:int>>, items array<string>, longest int"
@@ -301,20 +318,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         return _clean_by_blocks(docs, benchmark, window, max_coverage, min_span, block_words, text)
     if block is None:
         return docs
-    schema = docs.schema
-    place = docs.columns.index(text)
+    # the other columns ride along under names of our own
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest))).alias("row"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
         automaton = _automaton(block)
-        for part in common.slices(batches, text, owner="decontaminate"):
-            own = part.column(place).to_pylist()
+        for part in common.slices(batches, owner="decontaminate"):
+            own = part.column(1).to_pylist()
             clean = [None if t is None else remove_spans(t, automaton, max_coverage, min_span) for t in own]
             keep = pa.array([c is not None or t is None for c, t in zip(clean, own)])
-            columns = list(part.columns)
-            columns[place] = pa.array(clean, part.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(keep)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(clean, part.schema.field(1).type)], schema=part.schema).filter(keep)
 
-    return docs.mapInArrow(run, schema)
+    place = {c: k for k, c in enumerate(rest)}
+    return rows.mapInArrow(run, rows.schema).select(*(F.col("text" if c == text else f"row.c{place[c]}").alias(c) for c in docs.columns))
 
 
 def _clean_by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, max_coverage: float, min_span: int, block_words: int, text: str) -> DataFrame:

@@ -82,3 +82,25 @@ def test_results_do_not_depend_on_the_size_of_a_block(spark):
     assert once == several
     left = {r[0]: r[1] for r in several}
     assert len(texts) - 3 not in left and "p0" not in left[len(texts) - 2] and left[len(texts) - 1] is None
+
+
+def test_equal_and_huge_items_make_no_large_block(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(400)}" for _ in range(3000))
+    items = [("a", "one two three four five")] * 200 + [("b", long), ("c", "same same " * 400), (None, "null id item of words")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    sizes = [sum(len(words(t)) for _, t in block.value[1]) for block in op.item_blocks(benchmark, 5, 200)]
+    assert sum(sizes) < 2 * 3900 and max(sizes) < 600
+    texts = [long[200:900], "x " + " ".join(long.split()[1990:2003]) + " y", "one two three four five", "same " * 30, "clean", None]
+    found = {r.doc_id: r for r in op.match_items(documents(spark, texts), benchmark, 5, 200).collect()}
+    for i, t in enumerate(texts):
+        n, hit, keys = brute(t, [(k or "", x) for k, x in set(items)], 5)
+        assert (found[i].n_words, sum(s.end - s.start for s in found[i].spans), found[i].items) == (n, hit, keys)
+
+
+def test_columns_of_any_name_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(None, "a b c d e f", 1), (None, "a b c d e f", 1), (2, "x a b c y", 2)], "doc_id long, text string, n long").withColumnRenamed("n", "a.b")
+    for block_words in (1000, 3):
+        out = op.decontaminate(rows, spark.createDataFrame([("i", "a b c"), ("j", "q r s")], "item_id string, text string"), 3, 0.8, 1, block_words)
+        assert out.columns == ["doc_id", "text", "a.b"]
+        assert sorted((str(r.doc_id), r.text, r["a.b"]) for r in out.collect()) == [("2", "x  y", 2), ("None", " d e f", 1), ("None", " d e f", 1)]

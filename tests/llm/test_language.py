@@ -126,3 +126,20 @@ def test_filter_keeps_all_columns(spark):
     both = docs.unionByName(documents(spark, [None, "", "12"], extra=True).withColumn("doc_id", F.col("doc_id") + 1000))
     kept = op.keep_identified(both, op.fit(docs, F.lit(True)), 0.1)
     assert kept.columns == both.columns and sorted(r.doc_id for r in kept.collect()) == list(range(60))
+
+
+def test_the_sample_of_a_language_of_any_size(spark):
+    from larkspur.llm import common
+
+    for there in (10, 10**6, 10**9, 10**13):
+        share = common.share_of(1000, there)
+        assert 0 < share <= common.SHARES and abs(share / common.SHARES * there - min(1000, there)) < 1
+    n = spark.range(1_000_000).where(common.sampled(F.xxhash64("id"), F.lit(common.share_of(1000, 1_000_000)))).count()
+    assert 850 < n < 1150
+    assert spark.range(50).where(common.sampled(F.xxhash64("id"), F.lit(common.share_of(1000, 50)))).count() == 50
+
+
+def test_filter_keeps_columns_of_any_name_null_ids_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(None, "some words", None), (None, "some words", None), (3, "12 34", "en"), (4, None, "en")], "doc_id long, text string, lang string").withColumn("a.b", F.lit("x")).withColumn("row", F.lit(1))
+    out = op.keep_identified(rows, None, lang="lang")
+    assert out.columns == rows.columns and [(r.doc_id, r.text, r.lang, r["a.b"], r.row) for r in out.collect()] == [(None, "some words", None, "x", 1)] * 2
