@@ -237,7 +237,9 @@ def most_points(a, b) -> Column:
     gps = F.when(tier.isNotNull(), gps_points(metres(a("lat"), a("lon"), b("lat"), b("lon")), tier)).otherwise(0.0)
     names = F.greatest(name_points(shared_tier(a("names"), b("names")), F.lit(False)), F.lit(0.0))
     names = F.when(F.coalesce(streets_disagree(a("names"), b("names")), F.lit(False)), float(STREETS_DISAGREE)).otherwise(names)
-    return gps + names + layout_points(a("layout"), b("layout")) + price_points(a("price"), b("price")) + size_points(a("size"), b("size"))
+    rest = gps + layout_points(a("layout"), b("layout")) + price_points(a("price"), b("price")) + size_points(a("size"), b("size"))
+    # names are looked at only where they can still help
+    return F.when(rest + float(max(NAME_POINTS.values())) < UNCERTAIN, rest).otherwise(rest + names)
 
 
 def useful(records: DataFrame, id_: str = "ord", source: str = "source") -> DataFrame:

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larkspur.operators import scan
 from larkspur.plans.catalog import registered, table
+from larkspur.plans.linking import FOLD, to_link
 from larkspur.sources import paged, pages
-from larkspur.streaming import scans
+from larkspur.streaming import commit, scans
 
 C = F.col
 
@@ -69,3 +71,35 @@ def scan_order(spark, sf_dir):
     own = lambda s: (lambda: orders.where(C("o_orderstatus") == s).select("id"))
     rows, _ = pages.read_sources(spark, {"P": own("P"), "F": own("F"), "O": own("O")}, ["P", "O"], "id")
     return rows.select("source", "ord.source_rank", C("ord.position").alias("position"))
+
+
+# -- scans from their sources to their commits -----------------------------------------------------------------------
+
+N_SCANS = 5
+
+
+def _of_scan(s: int) -> str:
+    """keeper and id of all postings of a scan, by the linkage's SQL over the parts that it shows at their prices of that day."""
+    sql = FOLD.replace("p_partkey AS ord", f"p_partkey % 3 * {scan.PLACES} + p_partkey AS ord").replace("p_brand AS source", "'s' || p_partkey % 3 AS source")
+    sql = sql.replace("FROM part", f"FROM (SELECT * FROM part WHERE (p_partkey + {s}) % 7 < 4)").replace("CAST(1000 + p_partkey * 37 % 700 AS BIGINT)", f"CAST(1000 + p_partkey * 37 % 700 - (p_partkey + {s}) % 3 * 10 AS BIGINT)")
+    return f"{sql} SELECT {s} AS s, ord % {scan.PLACES} AS keeper, ord % {scan.PLACES} AS id FROM r WHERE ord NOT IN (SELECT removed FROM fold) UNION ALL SELECT {s}, keeper % {scan.PLACES}, removed % {scan.PLACES} FROM final"
+
+
+@registered(f"""WITH m AS ({' UNION ALL '.join(f'SELECT * FROM ({_of_scan(s)})' for s in range(N_SCANS))}),
+  p AS (SELECT s, keeper, id, CASE WHEN id % 13 <> 0 THEN 1000 + id * 37 % 700 - (id + s) % 3 * 10 END AS price, id % 11 = 0 AS viewed, lag(s) OVER (PARTITION BY id ORDER BY s) AS last FROM m),
+  q AS (SELECT *, last IS NOT NULL AS seen, CASE WHEN last IS NOT NULL AND id % 13 <> 0 THEN 1000 + id * 37 % 700 - (id + last) % 3 * 10 END AS old FROM p),
+  k AS (SELECT s, keeper, bool_or(seen OR viewed) AS known, bool_or(viewed) AND bool_or(NOT seen OR coalesce(old <> price, false)) AS updated, max(CASE WHEN id = keeper AND old > price THEN old END) AS dropped FROM q GROUP BY 1, 2),
+  gone AS (SELECT n.s, count(*) AS disappeared FROM (SELECT s, id FROM range({N_SCANS}) t(s), (SELECT DISTINCT id FROM m) i WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.id = i.id AND x.s = t.s)) n
+    WHERE (SELECT max(x.s) FROM m x WHERE x.id = n.id AND x.s < n.s) <= n.s - 3 GROUP BY 1)
+  SELECT CAST(s AS INTEGER) AS scan, count(*) AS total, count(*) FILTER (NOT known) AS new, count(*) FILTER (updated) AS updated, count(*) FILTER (known AND dropped IS NOT NULL) AS price_drops, coalesce(any_value(disappeared), 0) AS disappeared FROM k LEFT JOIN gone USING (s) GROUP BY s""")
+def five_scans(spark, sf_dir):
+    """Five scans of three portals one after the other, each from its sources to its commit; parts come, go and change their price."""
+    store = commit.Store(spark, f"{scans.shared_dir(spark)}/scans-{uuid.uuid4().hex}")
+    parts, out = to_link(spark, sf_dir).withColumnRenamed("ord", "id").drop("source"), None
+    for s in range(N_SCANS):
+        today = parts.where((C("id") + s) % 7 < 4).withColumn("price", C("price") - (C("id") + s) % 3 * 10)
+        own = lambda k: (lambda: today.where(C("id") % 3 == k))  # noqa: B023, E731
+        found = scan.run_scan(store, s, {f"s{k}": own(k) for k in range(3)}, ["s0", "s1", "s2"], "flat", F.lit(f"2026-03-0{s + 1} 08:00:00").cast("timestamp"), parts.where("id % 11 = 0").select("id"))
+        one = found.counts.select(F.lit(s).alias("scan"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

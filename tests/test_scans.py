@@ -116,3 +116,37 @@ def test_old_versions_go_but_those_of_the_last_manifests(spark, tmp_path):
     assert store.numbers() == [4, 5, 6] and before.first().k == 5
     assert len([p for p in (tmp_path / "store" / "a").iterdir() if p.is_dir()]) == 3
     assert store.read("b", KIND).first().k == 1 and store.read("a", KIND, 4).first().k == 4
+
+
+def test_a_scan_from_its_sources_to_its_commit(spark, tmp_path):
+    from larkspur.operators import scan
+
+    kind = "id long, lat double, lon double, tier string, names array<struct<name:string,tier:string>>, has_names boolean, layout string, price long, size int, land int, facts int"
+    row = lambda id_, price, facts=1: (id_, 50.0, 14.0, "gps", [("Dlouhá", "street")], True, "2+kk", price, 50, None, facts)
+    far = lambda id_, price: (id_, 49.0, 15.0, "gps", [("Krátká", "street")], True, "1+1", price, 30, None, 1)
+    make = lambda rows: (lambda: spark.createDataFrame(rows, kind))
+
+    def broken():
+        raise OSError("no answer")
+
+    store = commit.Store(spark, str(tmp_path / "store"))
+    none = spark.createDataFrame([], "id long")
+
+    def run(n, readers, **more):
+        return scan.run_scan(store, n, readers, list(readers), "flat", F.lit(f"2026-01-0{n} 08:00:00").cast("timestamp"), none, **more)
+
+    found = run(1, {"a": make([row(1, 100)]), "b": make([row(2, 100, 2), far(3, None)]), "c": broken})
+    assert found.status == "partial" and found.committed
+    assert {(r.ord % scan.PLACES, tuple(r.sources)) for r in found.survivors.collect()} == {(2, ("a",)), (3, ())}
+    assert found.counts.first().asDict() == {"total": 2, "new": 2, "updated": 0, "price_drops": 0, "disappeared": 0}
+    again = {"a": make([row(1, 95)]), "b": make([row(2, 95, 2), far(4, 7)])}
+    dry = run(2, again, dry_run=True)
+    failed = run(2, {"a": broken, "b": broken})
+    assert not dry.committed and failed.status == "failed" and failed.counts is None and store.numbers() == [1]
+    found = run(2, again)
+    assert found.counts.first() == dry.counts.first() and found.counts.first().asDict() == {"total": 2, "new": 1, "updated": 0, "price_drops": 1, "disappeared": 0}
+    assert {r.id: r.misses for r in store.read("tracking", scan.tracking_kind("timestamp")).collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+    assert {r.id: r.price for r in store.read("prices", scan.PRICES).collect()} == {1: 95, 2: 95, 4: 7}
+    assert not run(2, again).committed
+    found = run(3, again, keep=F.col("price") > 50)
+    assert found.counts.first().total == 1 and {r.id: r.misses for r in store.read("tracking", scan.tracking_kind("timestamp")).collect()} == {1: 0, 2: 0, 3: 2, 4: 1}
