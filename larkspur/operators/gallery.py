@@ -60,17 +60,19 @@ def main_photos(listings: DataFrame, photos: DataFrame, requests: DataFrame) ->
 
 
 def requested_photos(listings: DataFrame, photos: DataFrame, requests: DataFrame) -> DataFrame:
-    """All photos still to be fetched of the galleries asked for, with their order: the latest request first, then listing and position."""
+    """All photos still to be fetched of the galleries asked for; rank is their order within a request, the latest of which come first."""
     shown = gallery_listings(listings, photos).join(requests, "property")
     rows = photos.where(pending(F.col("file"), F.col("attempts"))).join(shown, "listing")
-    return rows.select("property", "listing", "position", "url", "requested_at").orderBy(F.desc("requested_at"), "listing", "position")
+    rank = F.row_number().over(Window.partitionBy("property", "requested_at").orderBy("listing", "position"))
+    return rows.select("property", "listing", "position", "url", "requested_at", rank.cast("long").alias("rank"))
 
 
 def requested_pages(listings: DataFrame, photos: DataFrame, requests: DataFrame, reads: DataFrame) -> DataFrame:
-    """Unread detail pages of the galleries asked for, the latest request first."""
+    """Unread detail pages of the galleries asked for; rank is their order within a request, the latest of which come first."""
     unread = reads.where(F.col("read_at").isNull() & (F.col("attempts") < MOST_ATTEMPTS)).select("listing")
     rows = gallery_listings(listings, photos).join(requests, "property").join(unread, "listing")
-    return rows.select("property", "listing", "requested_at").orderBy(F.desc("requested_at"), "listing")
+    rank = F.row_number().over(Window.partitionBy("property", "requested_at").orderBy("listing"))
+    return rows.select("property", "listing", "requested_at", rank.cast("long").alias("rank"))
 
 
 def status(n_photos: Column, stored: Column, waiting: Column, reading: Column) -> Column:

@@ -19,13 +19,15 @@ def latest(log: DataFrame, key: str, at: str, id_: str, *values: str) -> DataFra
 def previous_different(log: DataFrame, key: str, at: str, id_: str, price: str) -> DataFrame:
     """key, price (the latest) and previous (the latest that differs from it; null if none does).
 
-    One pass: the latest of each price, then of those the last two that differ.
+    The latest of each price, of those the latest, and then the latest of the others: nothing is collected.
     """
     each = log.groupBy(key, price).agg(F.max(F.struct(at, id_)).alias("_at"))
-    ranked = F.sort_array(F.collect_list(F.struct("_at", price)), asc=False)
-    found = each.groupBy(key).agg(ranked.alias("_all"))
-    second = F.try_element_at("_all", F.lit(2))
-    return found.select(key, F.col("_all")[0][price].alias(price), second[price].alias("previous"))
+    last = each.groupBy(key).agg(F.max_by(F.struct(price), "_at").alias("_last"))
+    own = last.select(F.col(key).alias("_key"), "_last")
+    others = each.join(own, F.col(key).eqNullSafe(F.col("_key"))).where(~F.col(price).eqNullSafe(F.col(f"_last.{price}")))
+    before = others.groupBy(F.col("_key")).agg(F.max_by(F.struct(price), "_at").alias("_before"))
+    found = last.join(before, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return found.select(key, F.col(f"_last.{price}").alias(price), F.col(f"_before.{price}").alias("previous"))
 
 
 def with_drop(latest_and_previous: DataFrame, price: str) -> DataFrame:

@@ -162,7 +162,10 @@ def changes_since(events: DataFrame, since: Column) -> DataFrame:
     return events.where(F.col("kind").isin("posted", "price_change") & (F.col("at") > since))
 
 
-def last_of_runs(rows: DataFrame, value: str, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """The last row of each run of equal values, in the given order within ``by``."""
+def last_of_runs(rows: DataFrame, value: str, *order: str, by: tuple[str, ...]) -> DataFrame:
+    """The last row of each run of equal values, in the given order within ``by``, of which there must be a column: the runs of a whole
+    table would be one task's work."""
+    if not by:
+        raise ValueError("runs are those of some key")
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("_next", F.lead(F.struct(value)).over(w)).where(F.col("_next").isNull() | ~F.col(f"_next.{value}").eqNullSafe(F.col(value))).drop("_next")

@@ -489,4 +489,4 @@ def stream_state(spark, sf_dir):
     return tracked.read()
 
 
-from larkspur.plans import fields, geodata, places, scanning, tracking  # noqa: E402, F401  (they register their queries)
+from larkspur.plans import evidence, fields, geodata, places, scanning, tracking  # noqa: E402, F401  (they register their queries)

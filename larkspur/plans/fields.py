@@ -13,10 +13,10 @@ C = F.col
 NB = " "
 
 
-@registered("SELECT p_partkey, CAST(1000 + p_partkey AS INTEGER) AS area, CAST(2000 + p_size AS INTEGER) AS plot, CAST(100 + p_size AS INTEGER) AS plain FROM part WHERE p_partkey < 8000")
+@registered("SELECT p_partkey, CAST(1000 + p_partkey AS INTEGER) AS area, CAST(2000 + p_size AS INTEGER) AS plot, CAST(100 + p_size AS INTEGER) AS plain FROM part")
 def grouped_areas(spark, sf_dir):
-    group = lambda n: F.concat(F.floor(n / 1000).cast("string"), F.lit(NB), F.lpad((n % 1000).cast("string"), 3, "0"))
-    p = table(spark, sf_dir, "part").where("p_partkey < 8000")
+    group = lambda n: F.replace(F.format_number(n, 0), F.lit(","), F.lit(NB))
+    p = table(spark, sf_dir, "part")
     house = F.concat(F.lit("Prodej domu "), group(1000 + C("p_partkey")), F.lit(f"{NB}m² s pozemkem "), group(2000 + C("p_size")), F.lit(f"{NB}m²"))
     flat = F.concat(F.lit("bytu 3+1 "), (100 + C("p_size")).cast("string"), F.lit(f"{NB}m²"))
     return p.select("p_partkey", fields.grouped_area(house).alias("area"), fields.grouped_plot(house).alias("plot"), fields.grouped_area(flat).alias("plain"))

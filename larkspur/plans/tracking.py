@@ -218,13 +218,13 @@ def main_photos(spark, sf_dir):
     return gallery.main_photos(listings, photos, asked)
 
 
-@registered(f"SELECT property, listing, position, url, requested_at FROM {SHOWN} JOIN {PHOTOS} USING (listing) JOIN {ASKED} USING (property) WHERE file IS NULL AND attempts < 3")
+@registered(f"SELECT property, listing, position, url, requested_at, row_number() OVER (PARTITION BY property, requested_at ORDER BY listing, position) AS rank FROM {SHOWN} JOIN {PHOTOS} USING (listing) JOIN {ASKED} USING (property) WHERE file IS NULL AND attempts < 3")
 def requested_photos(spark, sf_dir):
     listings, photos, asked, _ = _gallery(spark, sf_dir)
     return gallery.requested_photos(listings, photos, asked)
 
 
-@registered(f"SELECT property, listing, requested_at FROM {SHOWN} JOIN {ASKED} USING (property) JOIN {READS} USING (listing) WHERE read_at IS NULL AND attempts < 3")
+@registered(f"SELECT property, listing, requested_at, row_number() OVER (PARTITION BY property, requested_at ORDER BY listing) AS rank FROM {SHOWN} JOIN {ASKED} USING (property) JOIN {READS} USING (listing) WHERE read_at IS NULL AND attempts < 3")
 def requested_pages(spark, sf_dir):
     listings, photos, asked, reads = _gallery(spark, sf_dir)
     return gallery.requested_pages(listings, photos, asked, reads)
@@ -258,10 +258,11 @@ def photo_failures(spark, sf_dir):
     return gallery.after_failures(photos, photos.where("position % 3 > 0").select("listing", "position", (C("position") % 3 == 2).alias("give_up")))
 
 
-@registered("SELECT DISTINCT 'f' || p_partkey AS file FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag <> 'N')")
+@registered("SELECT 'old' || p_partkey AS file FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT DISTINCT 'f' || p_partkey FROM part WHERE p_partkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag <> 'N')")
 def orphan_files(spark, sf_dir):
     _, photos, _, _ = _gallery(spark, sf_dir)
-    return gallery.orphan_files(table(spark, sf_dir, "part").select(F.concat(F.lit("f"), C("p_partkey").cast("string")).alias("file")), photos)
+    stored = F.concat(F.when(C("p_partkey") % 3 == 0, "old").otherwise("f"), C("p_partkey").cast("string"))
+    return gallery.orphan_files(table(spark, sf_dir, "part").select(stored.alias("file")), photos)
 
 
 @registered("SELECT user_id AS listing, CAST(k AS INTEGER) AS position, event_id AS url FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events) WHERE k < 20")
@@ -327,10 +328,10 @@ def weights_split(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(profiles.split_total(w), lambda x: x.cast("string")), ",").alias("parts"))
 
 
-@registered("""WITH s AS (SELECT k, CAST(round_even(100 - abs(k - 70) * 1.3, 0) AS BIGINT) AS score FROM range(0, 101) r(k)), t AS (SELECT unnest([100, 50, 10]) AS target, unnest([0, 1, 2]) AS n),
+@registered("""WITH s AS (SELECT p_partkey AS k, CAST(round_even(100 - abs(p_size - 30) * 2.3, 0) AS BIGINT) AS score FROM part), t AS (SELECT unnest([100, 50, 10]) AS target, unnest([0, 1, 2]) AS n),
   p AS (SELECT target, n, arg_min(k, (abs(score - target), k)) AS k FROM s, t GROUP BY 1, 2), q AS (SELECT target, n, p.k, score FROM p JOIN s USING (k)) SELECT target, k, score FROM q WHERE n = (SELECT max(n) FROM q x WHERE x.score = q.score)""")
 def nearest_examples(spark, sf_dir):
-    samples = spark.range(101).select(C("id").alias("k"), F.rint(100 - F.abs(C("id") - 70) * 1.3).cast("long").alias("score"))
+    samples = table(spark, sf_dir, "part").select(C("p_partkey").alias("k"), F.rint(100 - F.abs(C("p_size") - 30) * 2.3).cast("long").alias("score"))
     return profiles.nearest_examples(samples, "score", (100, 50, 10), "k").select("target", "k", "score")
 
 
