@@ -13,6 +13,12 @@ from pyspark.sql.types import StringType
 MARKED = "áäčďéěëíľĺňóôöőřŕšťúůüűýžàâçèêîïñûùÁÄČĎÉĚËÍĽĹŇÓÔÖŐŘŔŠŤÚŮÜŰÝŽÀÂÇÈÊÎÏÑÛÙ"
 PLAIN = "aacdeeeillnoooorrstuuuuyzaaceeiinuuAACDEEEILLNOOOORRSTUUUUYZAACEEIINUU"
 
+# The grammars of listing texts: living area, plot, number with entrance, layout, and what separates address parts.
+SIZE = r"(\d+)\s*m[2²]"
+PLOT = r"(?i)pozemek\s+([\d\s\u00a0]+)\s*m[2²]"
+NUMBER_AND_ENTRANCE = r"(\d+[a-zA-Z]?)\s*/\s*(\d+[a-zA-Z]?)$"
+LAYOUT = r"^([1-9])\s*\+\s*(kk|1)$"
+PART_DASH = r"\s+[-–]\s+"
 # Fixed value: a house number in a normalised name.
 HOUSE_NUMBER = r"\b\d+[a-z]?(\s*/\s*\d+[a-z]?)?\b"
 
@@ -56,31 +62,31 @@ def _number(text: Column) -> Column:
 
 def size_m2(text: Column) -> Column:
     """The first number before m² or m2."""
-    return _number(F.regexp_extract(text, r"(\d+)\s*m[2²]", 1))
+    return _number(F.regexp_extract(text, SIZE, 1))
 
 
 def land_m2(text: Column) -> Column:
     """The number after the word for a plot, its thousands grouped by spaces."""
-    return _number(F.regexp_replace(F.regexp_extract(text, r"(?i)pozemek\s+([\d\s ]+)\s*m[2²]", 1), r"[\s ]", ""))
+    return _number(F.regexp_replace(F.regexp_extract(text, PLOT, 1), r"[\s ]", ""))
 
 
 def house_numbers(text: Column) -> Column:
     """number and entrance of an address that ends in a/b; a repeated number is the number alone."""
-    first, second = (F.nullif(F.regexp_extract(text, r"(\d+[a-zA-Z]?)\s*/\s*(\d+[a-zA-Z]?)$", k), F.lit("")) for k in (1, 2))
+    first, second = (F.nullif(F.regexp_extract(text, NUMBER_AND_ENTRANCE, k), F.lit("")) for k in (1, 2))
     return F.struct(first.alias("number"), F.when(first != second, second).alias("entrance"))
 
 
 def layout_code(text: Column) -> Column:
     """Canonical layout: 'n+kk', 'n+1' or 'atypical'; null if the text is none."""
     name = normalize_name(text)
-    rooms, kitchen = (F.regexp_extract(name, r"^([1-9])\s*\+\s*(kk|1)$", k) for k in (1, 2))
+    rooms, kitchen = (F.regexp_extract(name, LAYOUT, k) for k in (1, 2))
     return F.when(name.isin("garsoniera", "garsonka"), "1+kk").when(name == "atypicky", "atypical").when(rooms != "", F.concat(rooms, F.lit("+"), kitchen))
 
 
 def split_address(text: Column) -> Column:
     """names (distinct, in order) and district of a free-text address: parts between commas and spaced dashes; 'okres X' names the
     district, the last one if there are several."""
-    parts = F.filter(F.transform(F.flatten(F.transform(F.split(text, ","), lambda p: F.split(p, r"\s+[-–]\s+"))), collapse), lambda p: p != "")
+    parts = F.filter(F.transform(F.flatten(F.transform(F.split(text, ","), lambda p: F.split(p, PART_DASH))), collapse), lambda p: p != "")
     stated = lambda p: F.lower(p).startswith("okres ")
     last = F.try_element_at(F.filter(parts, stated), F.lit(-1))
     district = F.trim(F.substring(last, F.lit(7), F.char_length(last)))
