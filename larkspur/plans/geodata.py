@@ -173,3 +173,27 @@ def nearest_points(spark, sf_dir):
     points = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 50 > 0, 48.5 + (k % 2113) * 0.001).alias("lat"), (12.1 + (k % 3313) * 0.002).alias("lon"))
     places = table(spark, sf_dir, "supplier").select(s.cast("long").alias("s_suppkey"), (48.6 + s % 37 * 0.05).alias("lat"), F.when(s % 40 > 0, 12.2 + s % 41 * 0.15).alias("lon"))
     return nearest.nearest(points, places, "c_custkey", "s_suppkey").select("c_custkey", "place", F.round("metres", 3).alias("metres"))
+
+
+# -- portals' parameters ---------------------------------------------------------------------------------------------
+
+HEADING, BOX, PAIR = r"<h4>([^<]*)</h4>", r'<input name="regions\[(\d+)\]\[(\d+)\]"[^>]*><label>([^<]*)</label>', r'\{name:"([^"]*)",osmId:"(R\d+)"\}'
+
+
+@registered("""SELECT 'district' AS kind, CAST(s_suppkey AS BIGINT) AS code, s_name AS name, (s_nationkey + 500) || '/' || s_suppkey AS form, 'R' || s_suppkey AS script FROM supplier
+  UNION ALL SELECT 'region', CAST(n_nationkey AS BIGINT), n_name, (n_nationkey + 500) || '/' || coalesce(string_agg(s_suppkey, ',' ORDER BY s_suppkey), ''), 'R' || (1000000 + n_nationkey) FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name""")
+def portal_index(spark, sf_dir):
+    """The parameters by which two portals name nations (with all districts of theirs) and suppliers as districts, out of a form and scripts."""
+    both = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), C("s_nationkey") == C("n_nationkey"))
+    box = F.format_string('<input name="regions[%d][%d]" value="on"><label> %s </label>\n', C("n_nationkey") + 500, "s_suppkey", "s_name")
+    pair = F.format_string('{name:"%s",osmId:"R%d"}', "s_name", "s_suppkey")
+    pages = both.groupBy("n_nationkey", "n_name", F.floor(C("s_suppkey") / 100)).agg(F.array_join(F.collect_list(box), "").alias("boxes"), F.array_join(F.collect_list(pair), ",").alias("pairs"))
+    pages = pages.select(F.concat(F.lit("<form><h4> "), "n_name", F.lit(" </h4>"), "boxes", F.lit("</form>")).alias("html"), F.concat(F.lit("var t=["), F.format_string('{name:"%s",osmId:"R%d"},', "n_name", C("n_nationkey") + 1000000), "pairs", F.lit("];")).alias("script"))
+    items = payloads.headed_items(pages, "html", HEADING, BOX).withColumn("label", F.trim("g3"))
+    districts = items.select(F.lit("district").alias("kind"), C("label").alias("name"), F.concat_ws("/", "g1", "g2").alias("id"))
+    numbers = F.array_join(F.transform(F.array_sort(F.collect_set(C("g2").cast("long"))), lambda x: x.cast("string")), ",")
+    regions = items.groupBy(C("heading").alias("name"), "g1").agg(numbers.alias("all")).select(F.lit("region").alias("kind"), "name", F.concat_ws("/", "g1", "all").alias("id"))
+    region_names = table(spark, sf_dir, "nation").select(C("n_name").alias("g1"), F.lit("region").alias("is"))
+    script = payloads.script_pairs(pages, "script", PAIR).join(F.broadcast(region_names), "g1", "left").select(F.coalesce("is", F.lit("district")).alias("kind"), C("g1").alias("name"), C("g2").alias("id"))
+    units = both.select(F.lit("district").alias("kind"), C("s_suppkey").cast("long").alias("code"), C("s_name").alias("name")).union(both.select(F.lit("region"), C("n_nationkey").cast("long"), "n_name").distinct())
+    return payloads.parameter_index(units, form=districts.unionByName(regions), script=script).select("kind", "code", "name", "form", "script")

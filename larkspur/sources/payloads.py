@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +71,48 @@ def verified(counts: dict[str, tuple[DataFrame, int, int]], parents: dict[str, t
         one = df.select(F.lit(name).alias("rule"), "found", F.col("found").between(low, high).alias("ok"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def headed_items(pages: DataFrame, html: str, heading: str, item: str, *keep: str) -> DataFrame:
+    """Items of a form under their headings, in order: place, heading and the groups of ``item`` (g1, g2 ...).
+
+    heading has one group, item as many as it needs; items before the first heading have none.  A window is within one page.
+    """
+    n = len(re.findall(r"(?<!\\)\((?!\?)", item))
+    token = F.regexp_extract_all(F.col(html), F.lit(rf"(?s)((?:{_plain(heading)})|(?:{_plain(item)}))"), F.lit(1))
+    rows = pages.withColumn("_page", F.monotonically_increasing_id()).select("_page", *keep, F.posexplode(token).alias("place", "_token"))
+    rows = rows.withColumn("_heading", F.when(F.col("_token").rlike(heading), F.trim(F.regexp_extract("_token", heading, 1))))
+    rows = rows.withColumn("heading", F.last("_heading", ignorenulls=True).over(Window.partitionBy("_page").orderBy("place")))
+    groups = [F.regexp_extract("_token", item, k).alias(f"g{k}") for k in range(1, n + 1)]
+    return rows.where(F.col("_heading").isNull()).select(*keep, "place", "heading", *groups)
+
+
+def _plain(pattern: str) -> str:
+    """A pattern whose groups catch nothing."""
+    return re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
+
+
+def script_pairs(pages: DataFrame, text: str, pair: str, *keep: str) -> DataFrame:
+    """Pairs (g1, g2) that a pattern of two groups finds in script texts, in order."""
+    found = F.regexp_extract_all(F.col(text), F.lit(f"({_plain(pair)})"), F.lit(1))
+    rows = pages.select(*keep, F.posexplode(found).alias("place", "_pair"))
+    return rows.select(*keep, "place", F.regexp_extract("_pair", pair, 1).alias("g1"), F.regexp_extract("_pair", pair, 2).alias("g2"))
+
+
+def parameter_index(units: DataFrame, **portals: DataFrame) -> DataFrame:
+    """units (kind, code, name and more) with the parameter by which each portal names them, a column a portal.
+
+    Portals have kind, name and id.  Each unit needs exactly one id of each portal, and an id names one unit of a kind: a unit without
+    one, a name with several, or an id of several units is an error that names it.
+    """
+    out = units
+    for portal, rows in portals.items():
+        own = rows.select("kind", "name", "id").distinct()
+        each = own.groupBy("kind", "name").agg(F.count("*").alias("_n"), F.min("id").alias("_id"))
+        shared = own.groupBy("kind", "id").agg(F.count("*").alias("_names")).select(F.col("kind").alias("_kind"), F.col("id").alias("_of"), "_names")
+        out = out.join(each, ["kind", "name"], "left")
+        out = out.join(shared, (F.col("kind") == F.col("_kind")) & (F.col("_id") == F.col("_of")), "left").drop("_kind", "_of")
+        wrong = F.when(F.col("_n").isNull(), "has no id").when(F.col("_n") > 1, "has several ids").when(F.col("_names") > 1, "shares its id")
+        said = F.concat(F.lit(f"{portal}: "), "kind", F.lit(" "), "name", F.lit(" "), wrong)
+        out = out.withColumn(portal, F.when(wrong.isNotNull(), F.raise_error(said)).otherwise(F.col("_id"))).drop("_n", "_id", "_names")
+    return out

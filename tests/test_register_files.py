@@ -170,3 +170,26 @@ def test_nearest_has_no_pairs_of_all(spark):
     points = spark.range(4000).select("id", (F.col("id") % 200 * 0.01).alias("lat"), (F.col("id") % 20 * 0.01).alias("lon"))
     out = nearest.nearest(points, points.withColumnRenamed("id", "pid"), "id", "pid")
     assert out.where("metres > 0").count() == 0 and out.count() == 4000
+
+
+def test_items_of_a_form_belong_to_the_heading_before_them(spark):
+    from larkspur.sources import payloads
+
+    html = '<input name="regions[1][1]" x><label>early</label><h4> A </h4><input name="regions[1][2]"><label>one</label>\n<input name="regions[1][3]" on><label>two</label><h4>B</h4><p>(none)</p><h4>C</h4><input name="regions[9][4]"><label>x y</label>'
+    pages = spark.createDataFrame([(7, html), (8, ""), (9, None)], "id long, html string")
+    got = [(r.id, r.heading, r.g1, r.g2, r.g3) for r in payloads.headed_items(pages, "html", geodata.HEADING, geodata.BOX, "id").orderBy("place").collect()]
+    assert got == [(7, None, "1", "1", "early"), (7, "A", "1", "2", "one"), (7, "A", "1", "3", "two"), (7, "C", "9", "4", "x y")]
+    text = spark.createDataFrame([('var t=[{name:"Praha 1",osmId:"R12"},{name:"x"},{name:"Brno",osmId:"R3"}]',)], "t string")
+    assert [(r.g1, r.g2) for r in payloads.script_pairs(text, "t", geodata.PAIR).orderBy("place").collect()] == [("Praha 1", "R12"), ("Brno", "R3")]
+
+
+@pytest.mark.parametrize("rows,what", [([("d", "a", "1")], "d b has no id"), ([("d", "a", "1"), ("d", "a", "2"), ("d", "b", "3")], "d a has several ids"), ([("d", "a", "1"), ("d", "b", "1")], "shares its id")])
+def test_an_index_of_parameters_is_total_and_one_to_one(spark, rows, what):
+    from larkspur.sources import payloads
+
+    units = spark.createDataFrame([("d", 1, "a"), ("d", 2, "b")], "kind string, code long, name string")
+    portal = lambda rows: spark.createDataFrame(rows, "kind string, name string, id string")
+    good = portal([("d", "a", "1"), ("d", "a", "1"), ("d", "b", "2"), ("e", "a", "1"), ("d", "unknown", "9")])
+    assert sorted((r.code, r.one, r.two) for r in payloads.parameter_index(units, one=good, two=good).collect()) == [(1, "1", "1"), (2, "2", "2")]
+    with pytest.raises(Exception, match=what):
+        payloads.parameter_index(units, one=good, two=portal(rows)).collect()
