@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.ranking import budget_per_group
+from larkspur.operators.ranking import budget_per_group, ranked_overall
 
 # Photos of a gallery, and attempts to fetch one.
 MOST_PHOTOS, MOST_ATTEMPTS = 20, 3
@@ -68,11 +68,10 @@ def requested_photos(listings: DataFrame, photos: DataFrame, requests: DataFrame
 
 
 def requested_pages(listings: DataFrame, photos: DataFrame, requests: DataFrame, reads: DataFrame) -> DataFrame:
-    """Unread detail pages of the galleries asked for; rank is their order within a request, the latest of which come first."""
+    """Unread detail pages of the galleries asked for; rank is their order over all requests, the latest first, then by listing."""
     unread = reads.where(F.col("read_at").isNull() & (F.col("attempts") < MOST_ATTEMPTS)).select("listing")
     rows = gallery_listings(listings, photos).join(requests, "property").join(unread, "listing")
-    rank = F.row_number().over(Window.partitionBy("property", "requested_at").orderBy("listing"))
-    return rows.select("property", "listing", "requested_at", rank.cast("long").alias("rank"))
+    return ranked_overall(rows.select("property", "listing", "requested_at"), F.desc("requested_at"), F.asc("listing"))
 
 
 def status(n_photos: Column, stored: Column, waiting: Column, reading: Column) -> Column:

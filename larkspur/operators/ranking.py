@@ -49,6 +49,22 @@ def budget_per_group(items: DataFrame, group: str, n: int, *order: Column) -> Da
     return items.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")).where(F.col("rank") <= n)
 
 
+def ranked_overall(items: DataFrame, *order: Column) -> DataFrame:
+    """All rows and their rank in one order over all of them.
+
+    Rows are dealt by ranges of the order and numbered in their range, from the number of rows in the ranges before: no task holds
+    more than a range, and of the counts there is a row for each range.
+    """
+    steps = Steps(items.sparkSession, "ranked")
+    dealt = steps.written(steps.written(items).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = dealt.join(starts, F.col("_range") == F.col("_r")).withColumn("rank", (F.col("_before") + place).cast("long"))
+    return steps.last(numbered.select(*items.columns, "rank"))
+
+
 def running_index(items: DataFrame, group: str, *order: Column, start: int = 0) -> DataFrame:
     return items.withColumn("index", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) + start).cast("long"))
 

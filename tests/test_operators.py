@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import normalize_name
-from larkspur.operators import criteria, history, linkage, ranking, register, resolver, state
+from larkspur.operators import criteria, gallery, history, linkage, ranking, register, resolver, state
 from larkspur.plans import catalog
 
 T = dt.datetime(2024, 1, 1)
@@ -316,3 +316,21 @@ def test_order_puts_missing_values_last_either_way(spark):
     items = spark.createDataFrame([(1, None, T), (2, 5, T), (3, 9, T), (4, 5, T + dt.timedelta(1))], "id long, v int, at timestamp_ntz")
     assert [r.id for r in ranking.ordered(items, "v", "at", "id").collect()] == [3, 4, 2, 1]
     assert [r.id for r in ranking.ordered(items, "v", "at", "id", False).collect()] == [4, 2, 3, 1]
+
+
+def test_rank_over_all_rows_equals_a_sort(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice([1, 2, 3, None])) for i in rng.sample(range(1000), 300)]
+    found = ranking.ranked_overall(spark.createDataFrame(rows, "id long, at int"), F.desc("at"), F.asc("id")).orderBy("rank").collect()
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [tuple(r) for r in found] == [(*r, k + 1) for k, r in enumerate(want)]
+    assert ranking.ranked_overall(spark.createDataFrame([], "id long"), F.asc("id")).collect() == []
+
+
+def test_requested_pages_come_latest_request_first(spark):
+    listings = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 40), (5, 50)], "listing long, property long")
+    photos = spark.createDataFrame([(1, 0)], "listing long, position int")
+    asked = spark.createDataFrame([(10, 1), (20, 3), (30, 1), (40, 2), (50, 9)], "property long, requested_at long")
+    reads = spark.createDataFrame([(k, 7 if k == 5 else None, 0) for k in range(1, 6)], "listing long, read_at int, attempts int")
+    found = gallery.requested_pages(listings, photos, asked, reads).orderBy("rank").collect()
+    assert [(r.listing, r["rank"]) for r in found] == [(2, 1), (4, 2), (1, 3), (3, 4)]
