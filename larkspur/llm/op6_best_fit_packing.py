@@ -32,6 +32,8 @@ LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD, ATTENTION = 64, 8192
 #: Documents packed together by a task.
 SHARD_ROWS = 20_000
+#: Bytes of pieces that a worker of the query remembers while it counts tokens; nothing else needs its memory then.
+REMEMBERED = 192 << 20
 
 
 def word_tokens(text: str = "text") -> Column:
@@ -176,9 +178,9 @@ def pack(docs: DataFrame, n_tokens: Column, lengths: tuple[int, ...] = LENGTHS,
     return sized.repartition(shards).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_texts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", remembered: int = op9_token_counts.REMEMBERED) -> DataFrame:
     """``pack`` by the tokens that a tokenizer's file gives of each text, and an end token."""
-    return pack(op9_token_counts.count_tokens(docs, tokenizer, doc_id=doc_id, text=text), F.col("n_tokens") + 1)
+    return pack(op9_token_counts.count_tokens(docs, tokenizer, doc_id=doc_id, text=text, remembered=remembered), F.col("n_tokens") + 1)
 
 
 def sequences(packed: DataFrame, tokens: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
@@ -198,4 +200,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placement of the token counts of byte_bpe_50k.json, an end token each."""
     import public_tokenizers
 
-    return pack_texts(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_texts(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)

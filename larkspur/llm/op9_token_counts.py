@@ -48,26 +48,33 @@ def whole_tokens(path: str) -> frozenset[str]:
 class PieceCounter:
     """Counts of pieces: whole tokens at once, other pre-tokens through the library, each distinct one once a batch."""
 
-    def __init__(self, path: str, whole: frozenset[str]):
+    def __init__(self, path: str, whole: frozenset[str], remembered: int = REMEMBERED):
         self.library, self.whole = pieces.Library(path), whole
         self.special = [t.content for t in self.library.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = pieces.Memo(self.count, REMEMBERED)
+        self.memo = pieces.Memo(self.count, remembered)
 
     def count(self, found: list[str]) -> list[int]:
         counts, rest, parts = [0] * len(found), {}, []
+        together = "\n".join(found)
+        special = [s for s in self.special if s in together]
+        whole, tokens = self.whole, PRE_TOKEN.findall
         for k, piece in enumerate(found):
-            if any(s in piece for s in self.special):
+            if special and any(s in piece for s in special):
                 parts.append((k, piece))
                 rest[piece] = 0
-                continue
-            for token in PRE_TOKEN.findall(piece):
-                if token in self.whole:
-                    counts[k] += 1
-                else:
-                    parts.append((k, token))
-                    rest[token] = 0
-        _, spans = self.library.encode(list(rest))
-        rest = dict(zip(rest, (spans[:, 1] - spans[:, 0]).tolist()))
+            elif piece in whole:
+                counts[k] = 1
+            elif piece[1:].isalpha():  # mostly one pre-token; the library would cut it anyway
+                parts.append((k, piece))
+                rest[piece] = 0
+            else:
+                for token in tokens(piece):
+                    if token in whole:
+                        counts[k] += 1
+                    else:
+                        parts.append((k, token))
+                        rest[token] = 0
+        rest = dict(zip(rest, self.library.counts(list(rest))))
         for k, token in parts:
             counts[k] += rest[token]
         return counts
@@ -76,25 +83,26 @@ class PieceCounter:
         return list(map(sum, self.memo.learn([pieces.split(t) for t in texts])))
 
 
-def _counter(path: str, whole: frozenset[str] | None):
+def _counter(path: str, whole: frozenset[str] | None, remembered: int):
     """A function from texts to token counts, made once a worker."""
     counters = common.kept("token-counts")
-    if path not in counters:
+    key = path, remembered
+    if key not in counters:
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            counters[path] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+            counters[key] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         elif whole is not None:
-            counters[path] = PieceCounter(path, whole)
+            counters[key] = PieceCounter(path, whole, remembered)
         else:
             plain = pieces.load(path)
-            counters[path] = lambda texts: [len(e.ids) for e in plain.encode_batch(texts, add_special_tokens=False)]
-    return counters[path]
+            counters[key] = lambda texts: [len(e.ids) for e in plain.encode_batch(texts, add_special_tokens=False)]
+    return counters[key]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of each row of docs.
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of each row of docs; a worker remembers up to ``remembered`` bytes of pieces.
 
     A byte-level BPE .json file takes the shortcut; other files are counted by their library, text by text.  One pass
     without a shuffle.  The vocabulary that is sent to the executors is as large as the tokenizer's file, not the data.
@@ -103,7 +111,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: st
     whole = spark.sparkContext.broadcast(whole_tokens(tokenizer) if pieces.cuts_at_spaces(tokenizer) else None)
 
     def run(batches):
-        count = _counter(tokenizer, whole.value)
+        count = _counter(tokenizer, whole.value, remembered)
         for part in common.slices(batches, owner="token-counts"):
             texts = [t or "" for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(count(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

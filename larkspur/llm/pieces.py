@@ -78,32 +78,45 @@ class Library:
         for i, token in added.items():
             self.size[i] = len(token.content.encode("utf-8"))
 
-    def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces end to end, in their order, and the offsets of each piece in them."""
-        joint, alone, parts = [], [], []
-        counts = np.zeros(len(found), np.int64)
+    def _coded(self, found: list[str]):
+        """Places of the pieces coded together, and the ids of each such group with their numbers by piece; places of the others, and
+        their encodings."""
+        joint, alone, together = [], [], []
         for k, piece in enumerate(found):
             inner = piece[1:]
             (joint if piece[:1] == " " and inner and not inner[0].isspace() and not inner[-1].isspace() else alone).append(k)
-        groups = [joint[a : a + JOINED] for a in range(0, len(joint), JOINED)]
-        texts = ["".join([found[k] for k in g]) for g in groups] + [found[k] for k in alone]
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        groups = [[found[k] for k in joint[a : a + JOINED]] for a in range(0, len(joint), JOINED)]
+        coded = self.tokenizer.encode_batch_fast(["".join(g) for g in groups] + [found[k] for k in alone], add_special_tokens=False)
         for g, e in zip(groups, coded):
             ids = np.array(e.ids, np.int64)
-            ends = np.cumsum([len(found[k].encode("utf-8")) for k in g])
+            ends = np.cumsum([len(piece.encode("utf-8")) for piece in g])
             stops = np.cumsum(self.size[ids])
             last = np.searchsorted(stops, ends)
             assert stops[-1] == ends[-1] and (stops[last] == ends).all()
-            counts[g] = np.diff(np.concatenate([[0], last + 1]))
-            parts.append(ids)
-        for k, e in zip(alone, coded[len(groups) :]):
-            counts[k] = len(e)
-            parts.append(np.array(e.ids, np.int64))
+            together.append((ids, np.diff(last, prepend=-1)))
+        return joint, together, alone, coded[len(groups) :]
+
+    def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces end to end, in their order, and the offsets of each piece in them."""
+        joint, together, alone, coded = self._coded(found)
+        parts = [ids for ids, _ in together] + [np.array(e.ids, np.int64) for e in coded]
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         order = np.array(joint + alone, np.int64)
+        counts = np.concatenate([*(n for _, n in together), np.array([len(e) for e in coded], np.int64)])
         begins = np.zeros(len(found), np.int64)
-        begins[order] = np.cumsum(counts[order]) - counts[order]
-        return flat, np.stack([begins, begins + counts], 1)
+        begins[order] = np.cumsum(counts) - counts
+        ends = np.zeros(len(found), np.int64)
+        ends[order] = np.cumsum(counts)
+        return flat, np.stack([begins, ends], 1)
+
+    def counts(self, found: list[str]) -> list[int]:
+        """How many ids each piece has."""
+        joint, together, alone, coded = self._coded(found)
+        counts = np.zeros(len(found), np.int64)
+        if joint:
+            counts[joint] = np.concatenate([n for _, n in together])
+        counts[alone] = [len(e) for e in coded]
+        return counts.tolist()
 
 
 class Memo:

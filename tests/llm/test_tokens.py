@@ -41,6 +41,29 @@ def test_counts_equal_the_library(spark):
         assert got[i].over_limit == (len(ids) > 1024)
 
 
+def test_counts_of_pieces_equal_their_ids():
+    library = pieces.Library(BPE)
+    found = list(dict.fromkeys(p for t in odd_texts() for p in [t, " " + t.strip(), *t.split()])) + [" <|endoftext|>x", " Ǆé", ""]
+    for own in (found, [], found[:1], [" foreredingwh"]):
+        assert library.counts(own) == [len(ids) for ids in expected(own)]
+        _, spans = library.encode(own)
+        assert library.counts(own) == (spans[:, 1] - spans[:, 0]).tolist()
+
+
+def test_more_memory_counts_fewer_pieces_again():
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("aeiouwhst", k=8)) for _ in range(300)) for _ in range(20)]
+    whole = counts.whole_tokens(BPE)
+    sent = {}
+    for remembered in (1 << 16, 1 << 24):
+        counter, n = counts.PieceCounter(BPE, whole, remembered), []
+        own = counter.memo.compute
+        counter.memo.compute = lambda found: (n.append(len(found)), own(found))[1]
+        assert [counter([t])[0] for t in texts * 2] == [len(ids) for ids in expected(texts)] * 2
+        sent[remembered] = sum(n)
+    assert sent[1 << 24] < 0.6 * sent[1 << 16]
+
+
 def test_whole_tokens_are_single_ids():
     whole = counts.whole_tokens(BPE)
     library = Tokenizer.from_file(BPE)
