@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns the columns of documents; the last
 one returns the packing.  Its decisions take effect: rejected documents are gone, deleted lines and passages are gone from text
-(and n_chars follows).
+(and n_chars follows), and the language found decides which documents may share a sequence.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from larkspur.llm import common, op2_language_id, op3_decontaminate, op6_best_fi
 
 #: Near duplicates: word shingles of five, similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
+#: From this score on the language found in a text stands against its label.
+SURE = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -23,10 +25,11 @@ def _with_text(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told, with the predicted one as lang where that is missing; texts without a letter go."""
+    """Documents whose language can be told; texts without a letter go.  lang becomes the predicted one where that is sure or lang is
+    missing, and the packing goes by it."""
     docs = docs.select(*COLUMNS)
     classifier = op2_language_id.fit(docs, common.bucket(F.col("doc_id"), 5) != 0)
-    return op2_language_id.keep_identified(docs, classifier, lang="lang")
+    return op2_language_id.keep_identified(docs, classifier, lang="lang", sure=SURE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +48,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes, by its real tokens and an end token."""
+    """Where each piece of each document goes, by its real tokens and an end token; a sequence holds documents of one language."""
     import public_tokenizers
 
-    return op6_best_fit_packing.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return op6_best_fit_packing.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), by="lang")
 
 
 STAGES = [

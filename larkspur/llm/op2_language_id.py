@@ -237,10 +237,10 @@ def predict_languages(docs: DataFrame, classifier: Classifier | None, extra: tup
     return rows.mapInArrow(run, "doc_id long, row_hash long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, classifier: Classifier | None, least_score: float = 0.0, text: str = "text", lang: str | None = None) -> DataFrame:
+def keep_identified(docs: DataFrame, classifier: Classifier | None, least_score: float = 0.0, text: str = "text", lang: str | None = None, sure: float | None = None) -> DataFrame:
     """docs with all its columns, without rows whose language is undetermined or whose score is below least_score.
 
-    With lang, that column gets the predicted language where it is null.
+    With lang, that column gets the predicted language where it is null, and with sure also where the score is that or more.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     # the other columns ride along under names of our own
@@ -259,7 +259,10 @@ def keep_identified(docs: DataFrame, classifier: Classifier | None, least_score:
             lettered = np.array([bool(t and _LETTER.search(t)) for t in part.column(1).to_pylist()])
             keep = lettered & (np.concatenate(scores) >= least_score) if scores else lettered
             if lang and found:
-                part = part.set_column(2, part.schema.field(2), pc.coalesce(part.column(2), pa.array(found, part.schema.field(2).type)))
+                own, predicted = part.column(2), pa.array(found, part.schema.field(2).type)
+                if sure is not None:
+                    own = pc.if_else(pa.array(np.concatenate(scores) >= sure), predicted, own)
+                part = part.set_column(2, part.schema.field(2), pc.coalesce(own, predicted))
             yield part.filter(pa.array(keep))
 
     place = {c: f"row.c{k}" for k, c in enumerate(rest)} | {text: "text"} | ({lang: "lang"} if lang else {})

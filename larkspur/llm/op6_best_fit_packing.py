@@ -9,11 +9,13 @@ contents, and the packing that costs least is taken.
 
 Documents are dealt evenly over shards of about ``SHARD_ROWS`` rows, a task each, so that a task's work and memory do not grow
 with the input; at most the last bins of a shard are less full than they could be.  Only ids and sizes are shuffled.
+With a column to pack by, such as the language, documents of one value share bins with no others: the rows of each value in a
+shard are packed by themselves, and the value is shuffled too.
 
 ``sequences`` lays the token ids themselves into the bins.
 
 Defined results: a null or empty text is its end token alone; rows of equal id are packed each by itself; all pieces of a
-document are in its shard; an empty table gives no rows; other columns are not read.
+document are in its shard; an empty table gives no rows; null is a value to pack by like others; other columns are not read.
 """
 
 from __future__ import annotations
@@ -144,43 +146,52 @@ def pack_sizes(sizes: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray,
     return bins, starts, final[bins] if len(bins) else bins
 
 
-def pack(docs: DataFrame, n_tokens: Column, lengths: tuple[int, ...] = LENGTHS, shard_rows: int = SHARD_ROWS, doc_id: str = "doc_id") -> DataFrame:
-    """One row a piece: doc_id, piece (from 0), n_tokens, bin_id, bin_start (its place in the bin) and bin_length.
+def pack(docs: DataFrame, n_tokens: Column, lengths: tuple[int, ...] = LENGTHS, shard_rows: int = SHARD_ROWS, doc_id: str = "doc_id", by: str | None = None) -> DataFrame:
+    """One row a piece: doc_id, piece (from 0), n_tokens, bin_id, bin_start (its place in the bin), bin_length, and the column
+    ``by`` as text, if there is one, of which a bin holds one value.
 
     n_tokens is the size of a document, at least 1.
     """
     lengths = tuple(sorted(lengths))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.greatest(n_tokens, F.lit(1)).cast("long").alias("n"))
+    value = F.col(by) if by else F.lit(None)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.greatest(n_tokens, F.lit(1)).cast("long").alias("n"), value.cast("string").alias("by"))
     sized = common.materialize(rows, "sizes")
     shards = max(1, -(-sized.count() // shard_rows))
-    names = ["doc_id", "piece", "n_tokens", "bin_id", "bin_start", "bin_length"]
+    names = ["doc_id", "piece", "n_tokens", "bin_id", "bin_start", "bin_length", "by"]
 
     def run(batches):
-        got = [(b.column(0), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        got = [(b.column(0), b.column(1).to_numpy(), b.column(2).cast(pa.string())) for b in batches if b.num_rows]
         if not got:
             return
-        ids, n = pa.chunked_array([a for a, _ in got], pa.int64()), np.concatenate([b for _, b in got])
+        ids, n = pa.chunked_array([a for a, _, _ in got], pa.int64()), np.concatenate([b for _, b, _ in got])
+        values = pa.concat_arrays([c for _, _, c in got]).dictionary_encode("encode")
+        kind = values.indices.to_numpy()
         pieces = -(-n // lengths[-1])
         row = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.where(piece == pieces[row] - 1, n[row] - (pieces[row] - 1) * lengths[-1], lengths[-1])
         order = np.lexsort((piece, ids.fill_null(-(2**63)).to_numpy()[row], -size))
-        row, piece, size = row[order], piece[order], size[order]
-        bins, starts, length = pack_sizes(size, lengths)
-        base = TaskContext.get().partitionId() << 32
-        own = ids.take(pa.array(row)).combine_chunks()
-        columns = [own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own, pa.array(piece), pa.array(size), pa.array(bins + base), pa.array(starts), pa.array(length)]
-        whole = pa.RecordBatch.from_arrays(columns, names)
-        for a in range(0, whole.num_rows, 10_000):
-            yield whole.slice(a, 10_000)
+        first = TaskContext.get().partitionId() << 32
+        found = values.dictionary.to_pylist()
+        for k in sorted(range(len(found)), key=lambda k: (found[k] is not None, found[k])):
+            own = order[kind[row[order]] == k]
+            bins, starts, length = pack_sizes(size[own], lengths)
+            own_ids = ids.take(pa.array(row[own])).combine_chunks()
+            columns = [own_ids.combine_chunks() if isinstance(own_ids, pa.ChunkedArray) else own_ids, pa.array(piece[own]), pa.array(size[own]), pa.array(bins + first), pa.array(starts), pa.array(length), pa.array([found[k]] * len(own), pa.string())]
+            whole = pa.RecordBatch.from_arrays(columns, names)
+            first += int(bins.max()) + 1
+            for a in range(0, whole.num_rows, 10_000):
+                yield whole.slice(a, 10_000)
 
     # dealt in turn, so that no key gathers in a task; Spark sorts rows before, so that a repeated task deals them alike
-    return sized.repartition(shards).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    packed = sized.repartition(shards).mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", by string")
+    return packed.withColumnRenamed("by", by) if by else packed.drop("by")
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", remembered: int = op9_token_counts.REMEMBERED) -> DataFrame:
+def pack_texts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", remembered: int = op9_token_counts.REMEMBERED, by: str | None = None) -> DataFrame:
     """``pack`` by the tokens that a tokenizer's file gives of each text, and an end token."""
-    return pack(op9_token_counts.count_tokens(docs, tokenizer, doc_id=doc_id, text=text, remembered=remembered), F.col("n_tokens") + 1)
+    counted = op9_token_counts.count_tokens(docs, tokenizer, doc_id=doc_id, text=text, remembered=remembered, beside=by)
+    return pack(counted, F.col("n_tokens") + 1, by=by)
 
 
 def sequences(packed: DataFrame, tokens: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:

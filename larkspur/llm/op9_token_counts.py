@@ -101,8 +101,9 @@ def _counter(path: str, whole: frozenset[str] | None, remembered: int):
     return counters[key]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of each row of docs; a worker remembers up to ``remembered`` bytes of pieces.
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text", remembered: int = REMEMBERED, beside: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of each row of docs, and as text its column ``beside``, if one is named; a worker
+    remembers up to ``remembered`` bytes of pieces.
 
     A byte-level BPE .json file takes the shortcut; other files are counted by their library, text by text.  One pass
     without a shuffle.  The vocabulary that is sent to the executors is as large as the tokenizer's file, not the data.
@@ -114,11 +115,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: st
         count = _counter(tokenizer, whole.value, remembered)
         for part in common.slices(batches, owner="token-counts"):
             texts = [t or "" for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(count(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+            columns = [part.column(0), part.column(2), pa.array(count(texts), pa.int64()), *([part.column(3)] if beside else [])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "beside"][: len(columns)])
+
+    other = [F.col(beside).cast("string").alias("beside")] if beside else []
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), *other)
+    counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long" + (", beside string" if beside else ""))
+    found = counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    return found.withColumnRenamed("beside", beside) if beside else found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,16 @@ def test_missing_languages_are_filled_in(spark):
     assert all(kept[i] == g for i, g in enumerate(langs) if i % 4) and np.mean([kept[i] == g for i, g in enumerate(langs)]) > 0.9
 
 
+def test_sure_predictions_stand_against_labels(spark):
+    docs, langs = table(spark, 200)
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") == 7, "xx").otherwise(F.col("lang")))
+    classifier = op.fit(docs, F.lit(True))
+    score = {r.doc_id: r.score for r in op.predict_languages(docs, classifier).collect()}
+    for sure in (None, 0.5, 2.0):
+        kept = {r.doc_id: r.lang for r in op.keep_identified(wrong, classifier, lang="lang", sure=sure).collect()}
+        assert kept[7] == (langs[7] if sure is not None and score[7] >= sure else "xx")
+
+
 def test_filter_keeps_all_columns(spark):
     docs, _ = table(spark, 60)
     both = docs.unionByName(documents(spark, [None, "", "12"], extra=True).withColumn("doc_id", F.col("doc_id") + 1000))

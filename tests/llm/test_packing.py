@@ -125,3 +125,18 @@ def test_null_and_repeated_ids_and_an_empty_table(spark):
     rows = op.pack(df, F.col("n")).collect()
     assert sum(r.n_tokens for r in rows) == 617 and sum(r.doc_id == 1 for r in rows) == 2
     assert op.pack(spark.createDataFrame([], SCHEMA), op.word_tokens()).count() == 0
+
+
+def test_packing_by_a_column(spark):
+    rng = random.Random(5)
+    want = {i: rng.randrange(1, 150) for i in range(200)}
+    kind = {i: rng.choice(["a", "b", "", None]) for i in want}
+    docs = spark.createDataFrame([(i, n, kind[i]) for i, n in want.items()], "doc_id long, n long, kind string")
+    rows = op.pack(docs, F.col("n"), (16, 64), 90, by="kind").collect()
+    check(rows, want, (16, 64))
+    bins = defaultdict(set)
+    for r in rows:
+        assert r.kind == kind[r.doc_id]
+        bins[r.bin_id].add(r.kind)
+    assert all(len(own) == 1 for own in bins.values())
+    assert op.pack(docs, F.col("n"), (16, 64), 90).columns == [c for c in rows[0].asDict() if c != "kind"]

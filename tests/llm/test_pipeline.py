@@ -77,3 +77,18 @@ def test_stages_equal_brute_force(spark, tmp_path):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert sizes == {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in want.items()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(want)
+
+
+def test_language_found_decides_what_shares_a_sequence(spark, tmp_path):
+    rng = random.Random(12)
+    langs = [["en", "de", "fr", "es"][k % 4] for k in range(160)]
+    texts = [prose(g, rng, 60) for g in langs]
+    labels = [None if k in (16, 17) else "en" if k in (41, 42, 43) else g for k, g in enumerate(langs)]  # three are labelled wrongly
+    documents(spark, texts, labels).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, prose("en", rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == set(range(160)) and all(r.lang == langs[r.doc_id] for r in packed)
+    bins = {}
+    for r in packed:
+        bins.setdefault(r.bin_id, set()).add(r.lang)
+    assert all(len(own) == 1 for own in bins.values()) and set.union(*bins.values()) == {"en", "de", "fr", "es"}
