@@ -118,3 +118,29 @@ def test_tiers_of_names_and_places(spark):
     assert f(2, 2) and f(3, 2) and not f(1, 2)
     row = spark.range(1).select(linkage.evidence_json(F.lit(61.5), F.lit("match"), {"gps": (F.lit(35.0), F.lit("80 m")), "price": (F.lit(0.0), F.lit(None).cast("string"))}).alias("j")).first().j
     assert row == '{"total":61.5,"band":"match","factors":[{"name":"gps","contribution":35.0,"evidence":"80 m"},{"name":"price","contribution":0.0}]}'
+
+
+def every_pair(records):
+    return records.select(F.struct("*").alias("a")).crossJoin(records.select(F.struct("*").alias("b"))).where("a.ord < b.ord and a.source <> b.source")
+
+
+@pytest.mark.parametrize("small_block", [3, 1000])
+def test_useful_pairs_of_large_and_small_layouts(spark, small_block):
+    """Each pair comes from one block, also where layouts are large, and where only place and another name add up to the score."""
+    at = lambda k, source, names: (k, source, 50.0, 14.0, "quarter", names, True, "2+kk", None, None, None, 1, "x")
+    rows = made(random.Random(5), 90) + [at(90, "a", [("Karlín", "part")]), at(91, "b", [("Karlín", "part")])]
+    records = spark.createDataFrame(rows, KIND)
+    want = {(r.i, r.j) for r in linkage.score(every_pair(records), "flat").where("total >= 30").collect()}
+    found = [(r.i, r.j) for r in linkage.useful(records, small_block=small_block).select("a.ord", "b.ord").toDF("i", "j").collect()]
+    assert (90, 91) in want and len(found) == len(set(found)) and want <= set(found) and len(found) < 90 * 91 // 2
+
+
+@pytest.mark.parametrize("estate", ["flat", "house", "land"])
+def test_matches_come_from_their_own_blocks(spark, estate):
+    rows = [(*r[:10], None if r[0] % 4 == 0 else 300 + r[0] % 3 * 25, *r[11:]) for r in made(random.Random(7), 90)]
+    records = spark.createDataFrame(rows, KIND).coalesce(1)
+    want = {(r.i, r.j) for r in linkage.score(every_pair(records), estate).where("band = 'match'").collect()}
+    pairs = linkage.matching(records, estate)
+    found = [(r.i, r.j) for r in linkage.score(pairs, estate).where("band = 'match'").collect()]
+    assert want and len(found) == len(set(found)) and set(found) == want
+    assert pairs.rdd.getNumPartitions() > 1  # records of one file are met in several tasks
