@@ -334,3 +334,21 @@ def test_requested_pages_come_latest_request_first(spark):
     reads = spark.createDataFrame([(k, 7 if k == 5 else None, 0) for k in range(1, 6)], "listing long, read_at int, attempts int")
     found = gallery.requested_pages(listings, photos, asked, reads).orderBy("rank").collect()
     assert [(r.listing, r["rank"]) for r in found] == [(2, 1), (4, 2), (1, 3), (3, 4)]
+
+
+def test_listings_that_name_the_same_are_placed_together(spark):
+    """Each listing has its row, but the work is done once a kind, in several tasks whatever the files, hot names included."""
+    rows = [(k, ["Dlouhá", "Praha 7"] if k % 2 else ["Holešovice"], None if k % 2 else "Rudná") for k in range(40)] + [(40, ["Nikde"], None), (41, None, "Domažlice")]
+    listings = spark.createDataFrame(rows, "id long, names array<string>, district string").coalesce(1)
+    register_ = small_register(spark)
+    kinds, members = resolver.kinds_of(listings)
+    assert kinds.count() == 4 and members.count() == 42
+    found = {r.id: (r["pass"], r.town_code, r.street_code) for r in resolver.locate(listings, register_).collect()}
+    assert {k for k in found if k < 40} == set(range(40)) and 40 not in found and all(found[k] == ((1, 10, 200) if k % 2 else (2, 11, None)) for k in range(40))
+    assert resolver.pool(listings, register_.places.coalesce(1)).rdd.getNumPartitions() > 1
+
+
+def test_a_hot_name_is_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(resolver, "HOT_NAME", 3)
+    listings = spark.createDataFrame([(k, ["Dlouhá"], None) for k in range(20)], "id long, names array<string>, district string")
+    assert sorted((r.id, r.code) for r in resolver.pool(listings, small_register(spark).places).collect()) == sorted((k, c) for k in range(20) for c in (200, 201))
