@@ -193,3 +193,15 @@ def test_an_index_of_parameters_is_total_and_one_to_one(spark, rows, what):
     assert sorted((r.code, r.one, r.two) for r in payloads.parameter_index(units, one=good, two=good).collect()) == [(1, "1", "1"), (2, "2", "2")]
     with pytest.raises(Exception, match=what):
         payloads.parameter_index(units, one=good, two=portal(rows)).collect()
+
+
+def test_archives_of_customers_with_missing_values(spark, tmp_path):
+    from larkspur.plans import catalog
+
+    customers = catalog.table(spark, "/root/testdata/sf0.001", "customer")
+    missing = lambda c, n: F.when(F.col("c_custkey") % n > 0, F.col(c))
+    customers.withColumn("c_nationkey", missing("c_nationkey", 7)).withColumn("c_name", missing("c_name", 11)).write.parquet(f"{tmp_path}/customer.parquet")
+    made = catalog.table(spark, tmp_path, "customer")
+    found = {r.code: (r.name, r.part, r.segment) for r in catalog.QUERIES["zipped_addresses"](spark, str(tmp_path)).collect()}
+    name = lambda n: None if n is None else f'{n} "ulice"; Žižkov\né'
+    assert found == {r.c_custkey: (name(r.c_name), r.c_nationkey if r.c_custkey % 4 else None, r.c_mktsegment) for r in made.collect()}
