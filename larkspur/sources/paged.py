@@ -1,7 +1,7 @@
 """Paged scans over stored pages: a source that plans its partitions by page ranges, and the rules by which a scan stops.
 
-Pages lie as JSON lines, one a page, in ``source=<name>/range=<k>``: range k holds the pages from k * ``RANGE`` + 1 on.  A file is a
-partition, and files of pages beyond the most that a scan reads are never opened.  Where a scan stops is decided from counts of
+Pages lie as JSON lines, one a page, in ``source=<name>/range=<k>``: range k holds the pages from k * ``RANGE`` + 1 on, and is one file.  A
+file is a partition; of more than ``MOST_PARTITIONS``, several are.  Files of pages beyond the most that a scan reads are never opened.  Where a scan stops is decided from counts of
 each page, not by reading pages in turn.
 
 Defined results: a page without results or pagination is an error that names its source; an empty page is a row without a place; results
@@ -28,16 +28,23 @@ RANGE = 25
 MOST_PAGES = 50
 #: Results that a task holds.
 BATCH = 10_000
+#: Partitions that a scan is read in at most.
+MOST_PARTITIONS = 512
 SCHEMA = "source string, page int, place int, total long, has_next boolean, id string, result string"
 _AT = re.compile(r"/source=([^/]*)/range=(\d+)/[^/]*$")
 
 
-class PageRange(InputPartition):
+class PageRange:
     def __init__(self, source: str, number: int, file: str):
-        super().__init__((source, number))
         self.source, self.number, self.file = source, number, file
 
 
+class PageRanges(InputPartition):
+    def __init__(self, number: int, ranges: list[PageRange]):
+        super().__init__(number)
+        self.ranges = ranges
+
+
 class StoredPagesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.most, self.key = options["folder"], int(options.get("most_pages", MOST_PAGES)), options.get("id", "hash_id")
@@ -46,7 +53,8 @@ class StoredPagesReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         found = [PageRange(unquote(m[1]), int(m[2]), f) for f in files(self.folder) if (m := _AT.search(f))]
         planned = [p for p in found if p.number * RANGE < self.most and self.only in (None, p.source)]
-        return planned or [PageRange("", 0, "")]
+        n = min(len(planned), MOST_PARTITIONS)
+        return [PageRanges(k, planned[k::n]) for k in range(n)] or [PageRanges(0, [])]
 
     def _rows(self, part: PageRange):
         fs, path = store(part.file)
@@ -62,12 +70,10 @@ class StoredPagesReader(DataSourceReader):
                     own = (result or {}).get(self.key)
                     yield *about[0], place, *about[1], None if own is None else str(own), None if result is None else json.dumps(result, ensure_ascii=False)
 
-    def read(self, partition: PageRange):
-        if not partition.file:
-            return
+    def read(self, partition: PageRanges):
         kinds = pa.schema([("source", pa.string()), ("page", pa.int32()), ("place", pa.int32()), ("total", pa.int64()), ("has_next", pa.bool_()), ("id", pa.string()), ("result", pa.string())])
         held = []
-        for row in self._rows(partition):
+        for row in (row for part in partition.ranges for row in self._rows(part)):
             held.append(row)
             if len(held) == BATCH:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held), kinds)], schema=kinds)
@@ -89,12 +95,14 @@ class StoredPages(DataSource):
 
 
 def write_pages(results: DataFrame, folder: str, source: str, page: str, place: str, result: str, total: str, has_next: str | None = None) -> None:
-    """Store rows of results (a struct; null for an empty page) as pages."""
+    """Store rows of results (a struct; null for an empty page) as pages, each range of a source as one file."""
     next_ = F.first(has_next) if has_next else F.first(F.lit(None).cast("boolean"))
     listed = F.transform(F.array_sort(F.collect_list(F.when(F.col(result).isNotNull(), F.struct(F.col(place).alias("p"), F.col(result).alias("r"))))), lambda x: x["r"])
     pages = results.groupBy(source, page).agg(listed.alias("results"), F.struct(F.first(total).alias("total"), next_.alias("next")).alias("pagination"))
     line = F.to_json(F.struct(F.col(page).alias("page"), "results", "pagination"))
-    pages.select(F.col(source).alias("source"), F.floor((F.col(page) - 1) / RANGE).cast("int").alias("range"), line.alias("line")).write.partitionBy("source", "range").text(folder)
+    stored = pages.select(F.col(source).alias("source"), F.floor((F.col(page) - 1) / RANGE).cast("int").alias("range"), line.alias("line"))
+    # by range, or each task would write a file for its few pages of every range
+    stored.repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "range").write.partitionBy("source", "range").text(folder)
 
 
 def stored_pages(spark: SparkSession, folder: str, id_: str = "hash_id", most_pages: int = MOST_PAGES, source: str | None = None) -> DataFrame:

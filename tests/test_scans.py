@@ -150,3 +150,18 @@ def test_a_scan_from_its_sources_to_its_commit(spark, tmp_path):
     assert not run(2, again).committed
     found = run(3, again, keep=F.col("price") > 50)
     assert found.counts.first().total == 1 and {r.id: r.misses for r in store.read("tracking", scan.tracking_kind("timestamp")).collect()} == {1: 0, 2: 0, 3: 2, 4: 1}
+
+
+def test_ranges_are_single_files_and_share_partitions(spark, tmp_path, monkeypatch):
+    rows = spark.range(60_000).repartition(4).selectExpr("id % 30 AS source", "CAST(id div 30 div 20 + 1 AS INT) AS page", "id div 30 % 20 AS place", "named_struct('hash_id', id) AS result", "2000L AS total")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        paged.write_pages(rows, f"{tmp_path}/pages", "source", "page", "place", "result", "total")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(len(list(f.glob("part-*"))) == 1 for f in (tmp_path / "pages").glob("source=*/range=*"))
+    monkeypatch.setattr(paged, "MOST_PARTITIONS", 7)
+    reader = paged.StoredPagesReader({"folder": f"{tmp_path}/pages"})
+    parts = reader.partitions()
+    assert len(parts) == 7 and sorted((r.source, r.number) for p in parts for r in p.ranges) == sorted((str(s), k) for s in range(30) for k in (0, 1))
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 30 * 1000
